@@ -98,8 +98,46 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round0(spark, sf_dir).select(cols).unionByName(round1(spark, sf_dir).select(cols))
 
 
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round 0 as plotted points: text cluster, 2-D coordinates (a few NaN and
+    +Inf values, as an unguarded projection can give), the model's raw JSON and
+    the analysis text."""
+    r0 = round0(spark, sf_dir)
+    d = F.col("doc_id")
+    x = F.when(d % 97 == 0, F.lit(float("nan"))).otherwise(((d * 17) % 200 - 100) / 50.0)
+    y = F.when(d % 89 == 0, F.lit(float("inf"))).otherwise(((d * 29) % 200 - 100) / 40.0)
+    raw = F.concat(
+        F.lit('{"analysis": "Text in '), F.col("lang"), F.lit(' from '), F.col("source"),
+        F.lit('", "annotation": "'), F.col("annotation"),
+        F.lit('", "confidence": '), F.col("confidence").cast("bigint").cast("string"),
+        F.lit(', "edge_case_id": '), ((d * 3) % 20).cast("string"), F.lit("}"))
+    return r0.select(
+        "*", ((d * 7) % 4).cast("int").alias("cluster"), x.alias("pca_x"), y.alias("pca_y"),
+        raw.alias("raw_annotations"),
+        F.concat(F.lit("Text in "), F.col("lang"), F.lit(" from "), F.col("source"), F.lit("."))
+        .alias("analyses"))
+
+
+def edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge-case rows of round 0 with a rule id from their source; rows of the
+    last source are not covered by any rule (null id)."""
+    p = points(spark, sf_dir).where(F.col("guideline_improvement") != "EMPTY")
+    src_no = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    return p.select("*", F.when(F.col("source") != "src19", src_no).alias("edge_case_id"))
+
+
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One generalised rule per source number (keys ``edge_case_<n>``)."""
+    src = table(spark, sf_dir, "documents").select("source").distinct()
+    n = F.regexp_extract("source", r"(\d+)$", 1)
+    return src.select(
+        F.concat(F.lit("edge_case_"), n).alias("rule_key"),
+        F.concat(F.lit("When text comes from "), F.col("source"), F.lit(" -> review by hand"))
+        .alias("rule"))
+
+
 # The same views as SQL common table expressions (DuckDB and Spark SQL).
-SQL_VIEWS = """
+SQL_VIEWS = r"""
 r0 AS (
   SELECT b.*,
          (b.confidence <= 75 OR b.annotation = '-1') AS new_edge_case,
@@ -129,6 +167,25 @@ r1 AS (
         SELECT 'docs', 1, concat('b', CAST(item_id AS VARCHAR)), CAST(NULL AS BIGINT), text,
                CAST(NULL AS VARCHAR), 'benchmark', '-1', CAST((item_id * 53) % 101 AS DOUBLE), false
         FROM benchmark) c),
+pts AS (
+  SELECT r0.*, CAST((doc_id * 7) % 4 AS INTEGER) AS cluster,
+         CASE WHEN doc_id % 97 = 0 THEN CAST('NaN' AS DOUBLE)
+              ELSE ((doc_id * 17) % 200 - 100) / 50.0 END AS pca_x,
+         CASE WHEN doc_id % 89 = 0 THEN CAST('Infinity' AS DOUBLE)
+              ELSE ((doc_id * 29) % 200 - 100) / 40.0 END AS pca_y,
+         concat('{"analysis": "Text in ', lang, ' from ', source, '", "annotation": "', annotation,
+                '", "confidence": ', CAST(CAST(confidence AS BIGINT) AS VARCHAR),
+                ', "edge_case_id": ', CAST((doc_id * 3) % 20 AS VARCHAR), '}') AS raw_annotations,
+         concat('Text in ', lang, ' from ', source, '.') AS analyses
+  FROM r0),
+ec AS (
+  SELECT pts.*, CASE WHEN source <> 'src19'
+                     THEN CAST(regexp_extract(source, '(\d+)$', 1) AS INTEGER) END AS edge_case_id
+  FROM pts WHERE guideline_improvement <> 'EMPTY'),
+sugg AS (
+  SELECT DISTINCT concat('edge_case_', regexp_extract(source, '(\d+)$', 1)) AS rule_key,
+         concat('When text comes from ', source, ' -> review by hand') AS rule
+  FROM documents),
 hist AS (
   SELECT task_id, round, uid, text_to_annotate, annotation, confidence, new_edge_case,
          guideline_improvement FROM r0
