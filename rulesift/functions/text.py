@@ -53,7 +53,7 @@ def rule_condition(c: str | Column) -> Column:
 
 def rule_key_number(c: str | Column) -> Column:
     """``edge_case_12`` -> 12, else the first run of digits; null if none."""
-    named = F.regexp_extract(col(c), r"^edge_case_(\d+)$", 1)
+    named = F.regexp_extract(col(c), r"edge_case_(\d+)", 1)
     first = F.regexp_extract(col(c), r"(\d+)", 1)
     picked = F.when(named != "", named).when(first != "", first)
     return picked.try_cast("int")

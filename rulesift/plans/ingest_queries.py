@@ -276,7 +276,7 @@ def prompt_keys(spark, sf_dir):
         UNION SELECT DISTINCT 'edge_case_' || regexp_extract(source, '(\d+)$', 1) FROM documents
         UNION SELECT DISTINCT 'rule ' || lang FROM documents)
 SELECT k AS rule_key,
-       TRY_CAST(CASE WHEN regexp_extract(k, '^edge_case_(\d+)$', 1) <> '' THEN regexp_extract(k, '^edge_case_(\d+)$', 1)
+       TRY_CAST(CASE WHEN regexp_extract(k, 'edge_case_(\d+)', 1) <> '' THEN regexp_extract(k, 'edge_case_(\d+)', 1)
                      WHEN regexp_extract(k, '(\d+)', 1) <> '' THEN regexp_extract(k, '(\d+)', 1) END AS INTEGER)
          AS rule_no
 FROM k

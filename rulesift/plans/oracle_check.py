@@ -58,7 +58,7 @@ _FAMILY = {
     "bigint": "int64", "BIGINT": "int64", "int": "int32", "INTEGER": "int32",
     "double": "float64", "DOUBLE": "float64", "float": "float32", "FLOAT": "float32",
     "string": "str", "VARCHAR": "str", "boolean": "bool", "BOOLEAN": "bool",
-    "timestamp": "ts", "TIMESTAMP": "ts", "TIMESTAMP WITH TIME ZONE": "ts",
+    "timestamp": "ts", "timestamp_ntz": "ts", "TIMESTAMP": "ts", "TIMESTAMP WITH TIME ZONE": "ts",
     "smallint": "int16", "SMALLINT": "int16", "date": "date", "DATE": "date",
 }
 
