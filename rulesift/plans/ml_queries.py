@@ -1 +1,79 @@
-"""Queries registered by this module (filled in as operators land)."""
+"""Embedding, clustering and projection queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rulesift.operators import features as M
+from rulesift.operators.balance import balanced_clusters
+from rulesift.operators.generalise import generalise, merge_similar
+from rulesift.operators.rules import numbered_lists
+from rulesift.plans.catalog import register
+from rulesift.plans.fixtures import with_views
+from rulesift.session import ensure_checkpoint_dir, shared_path, table
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("uid"), "vec_id", "embedding", "label")
+
+
+@register("nearest_centroid", with_views("""
+, e AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
+c AS (SELECT label, pos, avg(v) AS m FROM e GROUP BY label, pos),
+d AS (SELECT e.vec_id, c.label, sum((e.v - c.m) * (e.v - c.m)) AS d2 FROM e JOIN c ON e.pos = c.pos
+      GROUP BY e.vec_id, c.label),
+b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d2, 9), label) AS rn FROM d)
+SELECT vec_id, label AS nearest, round(round(d2, 9), 6) AS distance2 FROM b WHERE rn = 1
+"""))
+def nearest_centroid(spark, sf_dir):
+    """M3 (SQL form): nearest of the per-label centres for every embedding."""
+    emb = table(spark, sf_dir, "embeddings")
+    return M.nearest_centroid(emb, M.centroids_by_label(emb))
+
+
+@register("kmeans_texts")
+def kmeans_texts(spark, sf_dir):
+    """M2: k-means (k = 4, seed 42) fit and assignment."""
+    v = M.with_vector(_vectors(spark, sf_dir))
+    model = M.fit_kmeans(v, v.count())
+    return M.assign_clusters(model, v).select("vec_id", "cluster")
+
+
+@register("pca_projection")
+def pca_projection(spark, sf_dir):
+    """M4: centred PCA to 2-D."""
+    v = M.with_vector(_vectors(spark, sf_dir))
+    return M.project(M.fit_projection(v), v).select("vec_id", "pca_x", "pca_y")
+
+
+@register("model_reuse")
+def model_reuse(spark, sf_dir):
+    """M5: models saved per task/round and reused when the training keys match."""
+    ensure_checkpoint_dir(spark)
+    root = shared_path(spark, "models")
+    v = M.with_vector(_vectors(spark, sf_dir))
+    m1, fitted1 = M.load_or_fit(spark, root, "docs", 0, "projection", v, M.fit_projection)
+    m2, fitted2 = M.load_or_fit(spark, root, "docs", 0, "projection", v, M.fit_projection)
+    out = M.project(m2, v).select("vec_id", "pca_x", "pca_y")
+    return out.withColumn("first_fit", F.lit(fitted1)).withColumn("second_fit", F.lit(fitted2))
+
+
+@register("balanced_rule_clusters")
+def balanced_rule_clusters(spark, sf_dir):
+    """M8: size-constrained clusters (n div 15 + 1 of them, sizes within M7's limits)."""
+    return balanced_clusters(_vectors(spark, sf_dir).select("uid", "embedding"))
+
+
+@register("generalise_rules")
+def generalise_rules(spark, sf_dir):
+    """One synthesizer call per rule cluster, answers parsed into categories."""
+    from rulesift.plans.rules_queries import numbered
+    return generalise(numbered_lists(numbered(spark, sf_dir)))
+
+
+@register("merge_similar_rules")
+def merge_similar_rules(spark, sf_dir):
+    """Similar generalised rules merged (LSH blocking, star links, components)."""
+    from rulesift.plans.rules_queries import rule_chain
+    return merge_similar(rule_chain(spark, sf_dir)["ordered"])
