@@ -27,7 +27,7 @@ from rulesift.functions.parse import parse_categories
 from rulesift.session import cut_lineage
 
 Synthesizer = Callable[[str], str]
-JACCARD_MIN = 0.6
+JACCARD_MIN = 0.8
 HASH_TABLES = 6
 MAX_ROUNDS = 50
 
