@@ -21,14 +21,25 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+WHITESPACE = " \t\n\x0b\x0c\r"   # the \s class of Java regular expressions
+
+
 def ws_trim(c: str | Column) -> Column:
-    """Strip all leading/trailing whitespace (Spark ``trim`` strips spaces only)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Strip all leading/trailing whitespace (plain ``trim`` strips spaces only).
+
+    Built-in ``trim`` with an explicit character set: the same result as the
+    whitespace regex, several times faster on long texts.
+    """
+    return F.trim(col(c), F.lit(WHITESPACE))
+
+
+_CONTROL_SET = "".join(chr(i) for i in range(0x20) if i not in (0x09, 0x0A, 0x0D))
 
 
 def strip_controls(c: str | Column) -> Column:
-    """Drop control characters except tab, line feed and carriage return."""
-    return F.regexp_replace(col(c), CONTROL_CHARS, "")
+    """Drop control characters except tab, line feed and carriage return
+    (``translate`` deletes the 29 characters; no regex)."""
+    return F.translate(col(c), _CONTROL_SET, "")
 
 
 def clean_text(c: str | Column) -> Column:

@@ -22,6 +22,7 @@ from rulesift.operators.balance import balanced_clusters
 from rulesift.operators.generalise import Synthesizer, generalise, merge_similar, offline_synthesizer
 from rulesift.operators.identity import assign_ids
 from rulesift.operators.registry import upsert_relabelled
+from rulesift.session import cut_lineage
 from rulesift.sources.ingest import clean_examples, input_report, raise_on_violations
 
 DEFAULT_TEMPLATE = (
@@ -71,10 +72,13 @@ def annotate_round(examples: DataFrame, guidelines: DataFrame, task_id: str, rou
     ex = examples.where(F.col("task_id") == task_id)
     if check:
         raise_on_violations(input_report(ex, guidelines.where(F.col("task_id") == task_id)))
+    # Lineage cuts: the ids feed embedding and prompts; the vectors feed a
+    # count, two fingerprints and several passes of the fits.
     ex, _ = assign_ids(clean_examples(ex), registry)
+    ex = cut_lineage(ex)
     emb = C.embed_with_cache(ex.select("uid", "text_to_annotate"), f"{work_dir}/embedding_cache",
                              plugins.embed_model, plugins.embedder, text="text_to_annotate")
-    vec = M.with_vector(emb)
+    vec = cut_lineage(M.with_vector(emb))
     n = vec.count()
     root = f"{work_dir}/models"
     km, _ = M.load_or_fit(spark, root, task_id, round_no, "text_kmeans", vec,
@@ -107,9 +111,9 @@ def discover_edge_cases(annotations: DataFrame, task_id: str, round_no: int, wor
     Returns ``(suggestions(rule_key, rule_no, rule), edge_cases)``.
     """
     spark = annotations.sparkSession
-    rules = RU.proposed_rules(annotations, require_flag=require_flag)
-    emb = C.embed_with_cache(rules, f"{work_dir}/embedding_cache", plugins.embed_model, plugins.embedder,
-                             text="condition")
+    rules = cut_lineage(RU.proposed_rules(annotations, require_flag=require_flag))
+    emb = cut_lineage(C.embed_with_cache(rules, f"{work_dir}/embedding_cache", plugins.embed_model,
+                                         plugins.embedder, text="condition"))
     vec = M.with_vector(emb)
     n = vec.count()
     empty_sugg = spark.createDataFrame([], "rule_key string, rule_no int, rule string")
@@ -159,6 +163,7 @@ def annotate_increment(new_examples: DataFrame, annotations: DataFrame, guidelin
     except Exception as e:  # noqa: BLE001
         raise RuntimeError(f"no fitted models for task {task_id!r} round {round_no}; run annotate_round first") from e
     ex, _ = assign_ids(clean_examples(new_examples.where(F.col("task_id") == task_id)), registry)
+    ex = cut_lineage(ex)
     emb = C.embed_with_cache(ex.select("uid", "text_to_annotate"), f"{work_dir}/embedding_cache",
                              plugins.embed_model, plugins.embedder, text="text_to_annotate")
     placed = M.project(pca, M.assign_clusters(km, M.with_vector(emb))).select("uid", "cluster", "pca_x", "pca_y")
