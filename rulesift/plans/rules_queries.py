@@ -255,3 +255,51 @@ def final_rules(spark, sf_dir):
     """J10 + P7: final rule id and text per edge case (last rule wins; uncovered -> null)."""
     out = RU.assign_final_rules(rule_rows(spark, sf_dir), rule_chain(spark, sf_dir)["members"])
     return out.select("uid", "edge_case_id", "guideline_improvement", "low_level_rule")
+
+
+def cluster_result_documents(spark, sf_dir):
+    """One result document per rule cluster in one of the three shapes
+    (cluster_id % 3: object, pair, single), one document per line."""
+    rr = numbered(spark, sf_dir)
+    row = F.struct("text_to_annotate", "uid", F.col("cluster_id").cast("double").alias("edge_case_id"),
+                   F.lit(0.0).alias("pca_x"), F.lit(0.0).alias("pca_y"), "raw_annotations", "annotation",
+                   F.col("confidence").cast("string").alias("confidence"), "guideline_improvement")
+    per = rr.withColumn("raw_annotations", F.lit(None).cast("string")).groupBy("cluster_id").agg(
+        F.array_sort(F.collect_list(row)).alias("rows"))                  # <= 20 rows per cluster
+    sugg = F.create_map(F.concat(F.lit("edge_case_"), F.col("cluster_id").cast("string")),
+                        F.concat(F.lit("Rules of cluster "), F.col("cluster_id").cast("string")))
+    obj = F.to_json(F.struct(sugg.alias("suggestions"), F.col("rows").alias("improvement_clusters")))
+    pair = F.concat(F.lit("["), F.to_json(sugg), F.lit(", "), F.to_json("rows"), F.lit("]"))
+    single = F.concat(F.lit('[{"suggestions": '), F.to_json(sugg), F.lit("}]"))
+    shape = F.col("cluster_id") % 3
+    return per.select(F.when(shape == 0, obj).when(shape == 1, pair).otherwise(single).alias("value"))
+
+
+@register("cluster_results", with_views(_CHAIN + """
+SELECT uid, CAST(cluster_id AS DOUBLE) AS edge_case_id, CAST(confidence AS VARCHAR) AS confidence
+FROM nr WHERE cluster_id % 3 IN (0, 1)
+"""))
+def cluster_results(spark, sf_dir):
+    """S3: result documents in the object / pair / single shapes read back."""
+    from rulesift.session import ensure_checkpoint_dir, shared_path
+    from rulesift.sources.ingest import read_cluster_results
+    ensure_checkpoint_dir(spark)
+    path = shared_path(spark, "cluster_results")
+    cluster_result_documents(spark, sf_dir).write.mode("overwrite").text(path)
+    _, edge = read_cluster_results(spark, path, lines=True)
+    return edge.select("uid", "edge_case_id", "confidence")
+
+
+@register("cluster_result_rules", with_views(_CHAIN + """
+SELECT DISTINCT 'edge_case_' || CAST(cluster_id AS VARCHAR) AS rule_key,
+       'Rules of cluster ' || CAST(cluster_id AS VARCHAR) AS rule FROM nr
+"""))
+def cluster_result_rules(spark, sf_dir):
+    """S3: the suggestions of every shape read back."""
+    from rulesift.session import ensure_checkpoint_dir, shared_path
+    from rulesift.sources.ingest import read_cluster_results
+    ensure_checkpoint_dir(spark)
+    path = shared_path(spark, "cluster_results")
+    cluster_result_documents(spark, sf_dir).write.mode("overwrite").text(path)
+    rules, _ = read_cluster_results(spark, path, lines=True)
+    return rules.select("rule_key", "rule")

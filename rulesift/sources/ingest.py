@@ -115,19 +115,23 @@ _ROW = T.StructType([
 _SUGG = T.MapType(T.StringType(), T.StringType())
 
 
-def read_cluster_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_cluster_results(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """S3: cluster-result JSON documents in any of the three shapes.
 
     * object ``{"suggestions": {...}, "improvement_clusters": [...]}``
     * pair ``[{...suggestions...}, [...rows...]]``
     * single ``[{"suggestions": {...}}]``
 
-    Each file is one document (one task's result); files are read in parallel.
-    Returns ``(rules, edge_cases)``: ``rules(file, rule_key, rule)`` and the
-    rows with their file.
+    With ``lines=False`` each file is one document (pretty-printed JSON, one
+    task's result per file; files are read in parallel). With ``lines=True``
+    every line is a document, so large collections split across tasks.
+    Returns ``(rules, edge_cases)``: ``rules(file, doc_no, rule_key, rule)``
+    and the rows with their file and document number.
     """
-    docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc"))
+    docs = spark.read.text(path, wholetext=not lines).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_blk"),
+        F.xxhash64("value").alias("doc_no"), F.col("value").alias("doc")).drop("_blk")
     obj = F.from_json("doc", T.StructType([
         T.StructField("suggestions", _SUGG), T.StructField("improvement_clusters", T.ArrayType(_ROW))]))
     pair_s = F.from_json(F.get_json_object("doc", "$[0]"), _SUGG)
@@ -137,7 +141,7 @@ def read_cluster_results(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     sugg = F.when(is_obj, obj["suggestions"]).when(single.isNotNull(), single).otherwise(pair_s)
     rows = F.when(is_obj, obj["improvement_clusters"]).when(single.isNotNull(), F.lit(None)) \
         .otherwise(pair_r)
-    parsed = docs.select("file", sugg.alias("_s"), rows.alias("_r"))
-    rules = parsed.select("file", F.explode("_s").alias("rule_key", "rule"))
-    edge = parsed.select("file", F.explode("_r").alias("_x")).select("file", "_x.*")
+    parsed = docs.select("file", "doc_no", sugg.alias("_s"), rows.alias("_r"))
+    rules = parsed.select("file", "doc_no", F.explode("_s").alias("rule_key", "rule"))
+    edge = parsed.select("file", "doc_no", F.explode("_r").alias("_x")).select("file", "doc_no", "_x.*")
     return rules, edge
