@@ -211,12 +211,11 @@ def page(df: DataFrame, option: str, pages: int = 1, pinned_uid: str | None = No
     if pinned_text is not None:
         cond = cond | (F.col("text_to_annotate") == pinned_text)
     cond = F.coalesce(cond, F.lit(False))
-    # Selected = the first row of the sort that matches; added when not shown.
-    sel = keyed.where(cond).orderBy("sort_group", "sort_value", "uid").limit(1)
-    shown = top.where(cond).limit(1).select(F.lit(True).alias("_shown"))
-    sel = (sel.withColumn("_j", F.lit(1))
-           .join(shown.withColumn("_j", F.lit(1)), "_j", "left_anti")
-           .drop("_j")
+    # Selected = the first row of the sort that matches; added only when the
+    # page (k rows) does not already show it - a check on at most k rows.
+    if top.where(cond).limit(1).count() > 0:
+        return top
+    sel = (keyed.where(cond).orderBy("sort_group", "sort_value", "uid").limit(1)
            .withColumn("page_rank", F.lit(k + 1).cast("bigint")))
     return top.unionByName(sel)
 
