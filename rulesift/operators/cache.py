@@ -8,6 +8,11 @@ append the results to the cache table and read the cache back. Results are
 written before they are used, so a retried task or a re-run job never calls
 the function again for keys already stored; duplicate appends from a re-run
 job are harmless because reads take one row per key.
+
+The joined result is checkpointed before it is returned. A later plan that
+also reads the cache folder (an earlier or later round) would otherwise hold
+two scans of the same path with different file listings, which Spark treats
+as the same exchange and may reuse - giving one of them stale contents.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import types as T
 
 from rulesift.functions.text import text_key
 from rulesift.schema import EMBEDDING_CACHE, RESPONSE_CACHE
+from rulesift.session import cut_lineage
 
 BATCH_SIZE = 20          # items per call to a pluggable function
 MAX_ATTEMPTS = 3         # bounded retries, then an error column (ledger L10)
@@ -106,10 +112,11 @@ def respond_with_cache(requests: DataFrame, cache_path: str, model: str, annotat
         F.col("error").isNotNull().alias("_bad"), "response", "response_reasoning",
         "input_tokens", "output_tokens", "error")).alias("_r"))
     was_hit = ok_cache.select("prompt_key").distinct().withColumn("cache_hit", F.lit(True))
-    return (keyed.join(one, "prompt_key", "left")
-            .join(was_hit, "prompt_key", "left")
-            .select(*keyed.columns, "_r.response", "_r.response_reasoning", "_r.input_tokens",
-                    "_r.output_tokens", "_r.error", F.coalesce("cache_hit", F.lit(False)).alias("cache_hit")))
+    return cut_lineage(keyed.join(one, "prompt_key", "left")
+                       .join(was_hit, "prompt_key", "left")
+                       .select(*keyed.columns, "_r.response", "_r.response_reasoning", "_r.input_tokens",
+                               "_r.output_tokens", "_r.error",
+                               F.coalesce("cache_hit", F.lit(False)).alias("cache_hit")))
 
 
 def run_cost(answered: DataFrame, model_col: str = "model", prices: DataFrame | None = None) -> DataFrame:
@@ -174,8 +181,8 @@ def embed_with_cache(df: DataFrame, cache_path: str, model: str, embedder: Embed
     fresh = _read_cache(spark, cache_path, EMBEDDING_CACHE).where(F.col("model") == model)
     one = fresh.groupBy("text_key").agg(F.min(F.struct(
         F.col("error").isNotNull().alias("_bad"), "embedding", "error")).alias("_e"))
-    return keyed.join(one, "text_key", "left").select(
-        *df.columns, "text_key", F.col("_e.embedding").alias("embedding"), F.col("_e.error").alias("embed_error"))
+    return cut_lineage(keyed.join(one, "text_key", "left").select(
+        *df.columns, "text_key", F.col("_e.embedding").alias("embedding"), F.col("_e.error").alias("embed_error")))
 
 
 # --- offline plug-ins (deterministic, no network) ----------------------------------

@@ -223,3 +223,19 @@ def test_sorted_output_is_ordered(spark):
     rows = sort_confidence_change(spark, SF001).collect()
     keys = [(r["sort_group"], r["sort_value"], r["uid"] or "") for r in rows if r["uid"] is not None]
     assert keys == sorted(keys)
+
+
+def test_stream_equals_batch(spark):
+    """The table built by the streaming increment equals the batch increment."""
+    from rulesift.plans.jobs_queries import annotate_increment, stream_increment
+    cols = ["uid", "cluster", "annotation", "confidence", "is_reannotated"]
+    key = lambda df: sorted(tuple("" if v is None else str(v) for v in r) for r in df.select(cols).collect())
+    assert key(stream_increment(spark, SF001)) == key(annotate_increment(spark, SF001))
+
+
+def test_entry_flagship_values(spark):
+    """The flagship query's rollup row equals the sum of its two groups."""
+    import __spark_entry__ as e
+    rows = {r["edge_before"]: r for r in e.entry(spark).collect()}
+    assert rows[None]["rows"] == rows[True]["rows"] + rows[False]["rows"]
+    assert rows[None]["resolved"] == rows[True]["resolved"]
