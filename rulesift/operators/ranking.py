@@ -16,11 +16,24 @@ from pyspark.sql import types as T
 from rulesift.session import cut_lineage
 
 
+ROWS_PER_PARTITION = 1_000_000
+
+
 def global_row_number(df: DataFrame, order: list[str], out: str = "rn",
                       partitions: int | None = None) -> DataFrame:
-    """1-based row number over a total order (ties must be broken by ``order``)."""
+    """1-based row number over a total order (ties must be broken by ``order``).
+
+    Range partitions hold about a million rows each, capped by
+    ``spark.sql.shuffle.partitions`` (one count sizes them).
+    """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions:
+        n = partitions
+    else:
+        df = cut_lineage(df)            # the count and the sort read the same rows once computed
+        cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.count()
+        n = max(1, min(cap, -(-rows // ROWS_PER_PARTITION)))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     schema = T.StructType(ranged.schema.fields + [
         T.StructField("_pid", T.IntegerType(), False), T.StructField("_ln", T.LongType(), False)])
