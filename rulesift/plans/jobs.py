@@ -72,13 +72,13 @@ def annotate_round(examples: DataFrame, guidelines: DataFrame, task_id: str, rou
     ex = examples.where(F.col("task_id") == task_id)
     if check:
         raise_on_violations(input_report(ex, guidelines.where(F.col("task_id") == task_id)))
-    # Lineage cuts: the ids feed embedding and prompts; the vectors feed a
-    # count, two fingerprints and several passes of the fits.
+    # Lineage cuts: the ids feed embedding and prompts; the embeddings come
+    # back checkpointed and feed a count, two fingerprints and the fits.
     ex, _ = assign_ids(clean_examples(ex), registry)
     ex = cut_lineage(ex)
     emb = C.embed_with_cache(ex.select("uid", "text_to_annotate"), f"{work_dir}/embedding_cache",
                              plugins.embed_model, plugins.embedder, text="text_to_annotate")
-    vec = cut_lineage(M.with_vector(emb))
+    vec = M.with_vector(emb)
     n = vec.count()
     root = f"{work_dir}/models"
     km, _ = M.load_or_fit(spark, root, task_id, round_no, "text_kmeans", vec,
@@ -112,8 +112,8 @@ def discover_edge_cases(annotations: DataFrame, task_id: str, round_no: int, wor
     """
     spark = annotations.sparkSession
     rules = cut_lineage(RU.proposed_rules(annotations, require_flag=require_flag))
-    emb = cut_lineage(C.embed_with_cache(rules, f"{work_dir}/embedding_cache", plugins.embed_model,
-                                         plugins.embedder, text="condition"))
+    emb = C.embed_with_cache(rules, f"{work_dir}/embedding_cache", plugins.embed_model,
+                             plugins.embedder, text="condition")
     vec = M.with_vector(emb)
     n = vec.count()
     empty_sugg = spark.createDataFrame([], "rule_key string, rule_no int, rule string")
