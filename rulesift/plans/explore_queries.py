@@ -195,7 +195,9 @@ def sort_class(spark, sf_dir):
     return X.sort_rows(round1(spark, sf_dir), "class").select("uid", "doc_id", "sort_group", "sort_value")
 
 
-@register("sort_alphabetical")
+@register("sort_alphabetical", with_views("""
+SELECT uid, doc_id, text_to_annotate FROM r1
+"""))
 def sort_alphabetical(spark, sf_dir):
     """Locale-aware alphabetical order (ICU UNICODE collation)."""
     return X.sort_rows(round1(spark, sf_dir), "alphabetical").select("uid", "doc_id", "text_to_annotate")

@@ -65,7 +65,22 @@ def balanced_rule_clusters(spark, sf_dir):
     return balanced_clusters(_vectors(spark, sf_dir).select("uid", "embedding"))
 
 
-@register("generalise_rules")
+_GEN_SQL = r"""
+, rr AS (SELECT *, CAST(doc_id // 20 AS INTEGER) AS cluster_id FROM r0
+         WHERE guideline_improvement IS NOT NULL
+           AND upper(regexp_replace(guideline_improvement, '^\s+|\s+$', '', 'g')) <> 'EMPTY'),
+nr AS (SELECT *, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY uid) AS INTEGER) AS n,
+              regexp_replace(split_part(guideline_improvement, '->', 1), '^\s+|\s+$', '', 'g') AS cond FROM rr),
+fc AS (SELECT cluster_id, cond, min(n) AS first_n FROM nr GROUP BY cluster_id, cond),
+cn AS (SELECT cluster_id, cond, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY first_n) AS INTEGER)
+              AS category_no FROM fc)
+SELECT nr.cluster_id, cn.category_no, nr.cond || ' -> handle as the members agree' AS category_description,
+       nr.n AS edge_case
+FROM nr JOIN cn ON nr.cluster_id = cn.cluster_id AND nr.cond = cn.cond
+"""
+
+
+@register("generalise_rules", with_views(_GEN_SQL))
 def generalise_rules(spark, sf_dir):
     """One synthesizer call per rule cluster, answers parsed into categories."""
     from rulesift.plans.rules_queries import numbered
