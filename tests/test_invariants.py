@@ -239,3 +239,29 @@ def test_entry_flagship_values(spark):
     rows = {r["edge_before"]: r for r in e.entry(spark).collect()}
     assert rows[None]["rows"] == rows[True]["rows"] + rows[False]["rows"]
     assert rows[None]["resolved"] == rows[True]["resolved"]
+
+
+def test_hot_text_third_of_rows(spark):
+    """A text holding a third of all rows: reduced map-side, results whole."""
+    from rulesift.operators.identity import assign_ids
+    from rulesift.operators.rounds import match_rounds
+    from rulesift.sources.ingest import clean_examples
+    n = 3000
+    ex = spark.range(n).select(
+        F.lit("t").alias("task_id"), F.col("id").alias("ordinal"),
+        F.when(F.col("id") % 3 == 0, F.lit("the same text")).otherwise(F.concat(F.lit("text "), F.col("id").cast("string")))
+        .alias("text_to_annotate"))
+    cleaned = clean_examples(ex)
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan or "partial_min" in plan            # combined before the shuffle
+    rows = {r["text_to_annotate"]: r["ordinal"] for r in cleaned.collect()}
+    assert len(rows) == n - n // 3 + 1 and rows["the same text"] == 0
+    ids, adds = assign_ids(ex, None)
+    assert ids.count() == n                                               # no row dropped or multiplied
+    assert ids.where(F.col("text_to_annotate") == "the same text").select("uid").distinct().count() == 1
+    assert adds.count() == n - n // 3 + 1
+    prev = ids.select("uid", "text_to_annotate", F.lit(50.0).alias("confidence"),
+                      F.lit(False).alias("new_edge_case"), F.lit("0").alias("annotation"))
+    cur = ids.select(F.lit(None).cast("string").alias("uid"), "text_to_annotate", F.lit(60.0).alias("confidence"))
+    m = match_rounds(cur, prev)
+    assert m.count() == n and m.where("match_way = 'text'").count() == n
