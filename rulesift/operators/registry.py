@@ -115,8 +115,21 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
             .select(*keys, "_l.*"))
 
 
-def merge_sections(df: DataFrame, keys: list[str], section: str, value: str, order: list[str]) -> DataFrame:
-    """Per key and section, the latest non-null value (later saves win,
-    sections a save does not carry keep their stored value)."""
-    return (df.where(F.col(value).isNotNull())
-            .groupBy(*keys, section).agg(F.max_by(F.col(value), F.struct(*order)).alias(value)))
+def merge_sections(df: DataFrame, keys: list[str], section: str, value: str, order: list[str],
+                   defaults: dict[str, str] | None = None) -> DataFrame:
+    """Per key and section, the latest non-null value: defaults, then
+    stored saves, then newer saves win; sections a save does not carry keep
+    their earlier value. ``defaults`` maps section -> value (a small fixed
+    set) and is generated per key with ``explode`` (no join); it ranks below
+    any save."""
+    saves = df.where(F.col(value).isNotNull()).select(
+        *keys, section, value, F.struct(F.lit(1).alias("_layer"), *order).alias("_o"))
+    if defaults:
+        pad = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order]
+        lit_defaults = F.array(*[F.struct(F.lit(k).alias("s"), F.lit(v).alias("v")) for k, v in defaults.items()])
+        dflt = (df.select(*keys).distinct()
+                .select(*keys, F.explode(lit_defaults).alias("_d"))
+                .select(*keys, F.col("_d.s").alias(section), F.col("_d.v").alias(value),
+                        F.struct(F.lit(0).alias("_layer"), *pad).alias("_o")))
+        saves = saves.unionByName(dflt)
+    return saves.groupBy(*keys, section).agg(F.max_by(F.col(value), F.col("_o")).alias(value))

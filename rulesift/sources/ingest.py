@@ -27,6 +27,8 @@ def read_texts_csv(spark: SparkSession, path: str, task_id: str) -> DataFrame:
     by_name = {c.strip().lower(): c for c in raw.columns}
     if TEXT_COLUMN not in by_name:
         raise ValueError(f"CSV must have a '{TEXT_COLUMN}' column; found {raw.columns}")
+    if raw.limit(1).count() == 0:
+        raise ValueError(f"CSV at {path} has a header but no data row")
     rows = raw.select(F.col(f"`{by_name[TEXT_COLUMN]}`").alias(TEXT_COLUMN),
                       F.col("_metadata.file_path").alias("_file"),
                       F.monotonically_increasing_id().alias("_mid"))

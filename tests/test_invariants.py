@@ -265,3 +265,20 @@ def test_hot_text_third_of_rows(spark):
     cur = ids.select(F.lit(None).cast("string").alias("uid"), "text_to_annotate", F.lit(60.0).alias("confidence"))
     m = match_rounds(cur, prev)
     assert m.count() == n and m.where("match_way = 'text'").count() == n
+
+
+def test_merge_sections_defaults(spark):
+    from rulesift.operators.registry import merge_sections
+    df = spark.createDataFrame([(1, "a", "x1", 1), (1, "a", None, 2), (1, "b", "y", 3), (2, "b", "z", 1)],
+                               "k int, sec string, val string, v int")
+    got = {(r["k"], r["sec"]): r["val"] for r in merge_sections(df, ["k"], "sec", "val", ["v"],
+                                                                 defaults={"a": "d", "c": "dc"}).collect()}
+    assert got == {(1, "a"): "x1", (1, "b"): "y", (1, "c"): "dc", (2, "a"): "d", (2, "b"): "z", (2, "c"): "dc"}
+
+
+def test_csv_without_data_row(spark, tmp_path):
+    from rulesift.sources.ingest import read_texts_csv
+    p = tmp_path / "empty.csv"
+    p.write_text("﻿ Text_To_Annotate \n")
+    with pytest.raises(ValueError):
+        read_texts_csv(spark, str(p), "t")
