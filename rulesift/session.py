@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid as _uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Session settings we rely on at scale; AQE re-plans joins, splits skewed
@@ -78,10 +79,19 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
+    """Reliable checkpoint into the shared folder (survives executor loss).
+
+    The rows are persisted first, so the eager checkpoint computes them once
+    (count) and writes them from the persisted copy instead of recomputing
+    the whole lineage; the persisted copy is released afterwards.
+    """
     if not checkpoint_dir(df.sparkSession):
         raise RuntimeError("spark.checkpoint.dir is not set")
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
