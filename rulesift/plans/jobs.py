@@ -23,7 +23,8 @@ from rulesift.operators.generalise import Synthesizer, generalise, merge_similar
 from rulesift.operators.identity import assign_ids
 from rulesift.operators.registry import upsert_relabelled
 from rulesift.session import cut_lineage
-from rulesift.sources.ingest import clean_examples, input_report, raise_on_violations
+from rulesift.sources.ingest import clean_examples, input_report, raise_on_violations, read_round
+from rulesift.sources.sinks import write_round
 
 DEFAULT_TEMPLATE = (
     "You label texts by the guideline below.\n"
@@ -62,11 +63,12 @@ def _guideline_row(guidelines: DataFrame, task_id: str) -> DataFrame:
 
 def annotate_round(examples: DataFrame, guidelines: DataFrame, task_id: str, round_no: int, work_dir: str,
                    plugins: Plugins, registry: DataFrame | None = None, template: str = DEFAULT_TEMPLATE,
-                   reuse_models: bool = False, check: bool = True) -> DataFrame:
-    """B1: P14 -> P1/P2 -> J1 -> M1 -> M2/M4 (M5) -> F3 -> J2 -> F4-F6.
+                   reuse_models: bool = False, check: bool = True, out_path: str | None = None) -> DataFrame:
+    """B1: P14 -> P1/P2 -> J1 -> M1 -> M2/M4 (M5) -> F3 -> J2 -> F4-F6 (-> S4).
 
     ``examples``: (task_id, ordinal, text_to_annotate). Returns one row per
-    distinct text in the ANNOTATIONS shape.
+    distinct text in the ANNOTATIONS shape; with ``out_path`` the round is
+    written partitioned by task and round (dynamic overwrite) and read back.
     """
     spark = examples.sparkSession
     ex = examples.where(F.col("task_id") == task_id)
@@ -97,11 +99,15 @@ def annotate_round(examples: DataFrame, guidelines: DataFrame, task_id: str, rou
     answered = C.respond_with_cache(req.select("uid", "ordinal", "text_to_annotate", "labels", "prompt"),
                                     f"{work_dir}/response_cache", plugins.annotate_model, plugins.annotator)
     parsed = parse_annotations(answered.withColumnRenamed("response", "raw_annotations"), labels="labels")
-    return (parsed.join(placed, "uid", "left")
-            .select(F.lit(task_id).alias("task_id"), F.lit(round_no).alias("round"), "uid", "ordinal",
-                    "text_to_annotate", "cluster", "pca_x", "pca_y", "raw_annotations", "analyses", "annotation",
-                    "confidence", "new_edge_case", "guideline_improvement", "parse_ok",
-                    F.lit(False).alias("is_reannotated")))
+    out = (parsed.join(placed, "uid", "left")
+           .select(F.lit(task_id).alias("task_id"), F.lit(round_no).alias("round"), "uid", "ordinal",
+                   "text_to_annotate", "cluster", "pca_x", "pca_y", "raw_annotations", "analyses", "annotation",
+                   "confidence", "new_edge_case", "guideline_improvement", "parse_ok",
+                   F.lit(False).alias("is_reannotated")))
+    if out_path is None:
+        return out
+    write_round(out, out_path)
+    return read_round(spark, out_path, task_id, round_no).select(*out.columns)
 
 
 def discover_edge_cases(annotations: DataFrame, task_id: str, round_no: int, work_dir: str, plugins: Plugins,

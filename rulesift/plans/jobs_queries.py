@@ -22,7 +22,8 @@ def _guidelines(spark):
 def _round0_job(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     work = shared_path(spark, "work")
-    ann = J.annotate_round(_examples(spark, sf_dir), _guidelines(spark), TASK_ID, 0, work, J.offline_plugins())
+    ann = J.annotate_round(_examples(spark, sf_dir), _guidelines(spark), TASK_ID, 0, work, J.offline_plugins(),
+                           out_path=f"{work}/rounds")
     return work, ann
 
 
