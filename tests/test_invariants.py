@@ -282,3 +282,50 @@ def test_csv_without_data_row(spark, tmp_path):
     p.write_text("﻿ Text_To_Annotate \n")
     with pytest.raises(ValueError):
         read_texts_csv(spark, str(p), "t")
+
+
+def test_ledger_l10_bounded_retries_then_error(spark, tmp_path):
+    from rulesift.operators import cache as C
+    from rulesift.session import shared_path
+    marks = str(tmp_path / "attempts")
+
+    def broken(prompts):
+        with open(marks, "a") as f:        # the function runs in a Python worker
+            f.write("x")
+        raise RuntimeError("service down")
+
+    req = spark.createDataFrame([("u1", "same prompt"), ("u2", "same prompt")], "uid string, prompt string")
+    out = C.respond_with_cache(req, shared_path(spark, "t_err"), "m", broken).collect()
+    assert len(out) == 2 and all(r["response"] is None and "service down" in r["error"] for r in out)
+    # Misses are deduplicated: one prompt, one batch, bounded attempts, then the error column.
+    assert len(open(marks).read()) == C.MAX_ATTEMPTS
+
+
+def test_ledger_l14_require_flag(spark):
+    from rulesift.operators.rules import proposed_rules
+    df = spark.createDataFrame([("a", "When x -> y", True), ("b", "When z -> w", False), ("c", " empty ", True),
+                                ("d", None, True)], "uid string, guideline_improvement string, new_edge_case boolean")
+    assert sorted(r["uid"] for r in proposed_rules(df).collect()) == ["a", "b"]          # L3: null is no rule
+    assert [r["uid"] for r in proposed_rules(df, require_flag=True).collect()] == ["a"]
+
+
+def test_ledger_l23_missing_models(spark):
+    from rulesift.plans import jobs as J
+    from rulesift.session import shared_path
+    ex = spark.createDataFrame([("t", 0, "hello")], "task_id string, ordinal long, text_to_annotate string")
+    g = spark.createDataFrame([("t", "Task\n\nLabels:\n- a\n- b")], "task_id string, guideline string")
+    with pytest.raises(RuntimeError, match="no fitted models for task 't' round 3"):
+        J.annotate_increment(ex, ex, g, "t", 3, shared_path(spark, "t_nomodel"), J.offline_plugins())
+
+
+def test_ledger_l25_refit_when_keys_change(spark):
+    from rulesift.operators import features as M
+    from rulesift.session import shared_path
+    root = shared_path(spark, "t_models")
+    v = M.with_vector(spark.read.parquet(f"{SF001}/embeddings.parquet").select(
+        F.col("vec_id").cast("string").alias("uid"), "embedding"))
+    _, first = M.load_or_fit(spark, root, "t", 0, "p", v, M.fit_projection)
+    _, same = M.load_or_fit(spark, root, "t", 0, "p", v, M.fit_projection)
+    _, changed = M.load_or_fit(spark, root, "t", 0, "p", v.where("uid <> '0'"), M.fit_projection)
+    _, reused = M.load_or_fit(spark, root, "t", 0, "p", v, M.fit_projection, reuse=True)
+    assert (first, same, changed, reused) == (True, False, True, False)
