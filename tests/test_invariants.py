@@ -329,3 +329,17 @@ def test_ledger_l25_refit_when_keys_change(spark):
     _, changed = M.load_or_fit(spark, root, "t", 0, "p", v.where("uid <> '0'"), M.fit_projection)
     _, reused = M.load_or_fit(spark, root, "t", 0, "p", v, M.fit_projection, reuse=True)
     assert (first, same, changed, reused) == (True, False, True, False)
+
+
+def test_input_checks(spark):
+    from rulesift.sources.ingest import input_report, raise_on_violations
+    ex = spark.createDataFrame([("t", 0, "a"), ("t", 1, "  "), ("u", 0, "b")],
+                               "task_id string, ordinal long, text_to_annotate string")
+    g = spark.createDataFrame([("t", "Task\n\nLabels:\n- a"), ("u", "\n\nLabels:\n- a\n- b")],
+                              "task_id string, guideline string")
+    rep = {r["task_id"]: r for r in input_report(ex, g).collect()}
+    assert rep["t"]["blank_examples"] == 1 and rep["t"]["one_label_warning"]        # L24: a warning
+    assert rep["u"]["missing_task_text"]
+    raise_on_violations(input_report(ex.where("task_id = 't'"), g.where("task_id = 't'")))   # blanks pass
+    with pytest.raises(ValueError):
+        raise_on_violations(input_report(ex, g))
