@@ -183,9 +183,29 @@ def annotate_increment(new_examples: DataFrame, annotations: DataFrame, guidelin
         F.lit(task_id).alias("task_id"), F.lit(round_no).alias("round"), "uid", "ordinal", "text_to_annotate",
         "cluster", "pca_x", "pca_y", "raw_annotations", "analyses", "annotation", "confidence", "new_edge_case",
         "guideline_improvement", "parse_ok")
+    new_rows = project_rules(new_rows, task_id, round_no, work_dir, plugins)
     return upsert_relabelled(annotations, new_rows)
 
 
+def project_rules(rows: DataFrame, task_id: str, round_no: int, work_dir: str, plugins: Plugins) -> DataFrame:
+    """B3's rule projection: a new edge case with a rule (flag required,
+    ledger L14) gets its rule condition embedded and placed with the round's
+    rule projection (from B2) as ``edge_case_pca_x/y``; null when the round
+    has no rule model or the row is not an edge case."""
+    from pyspark.ml import PipelineModel
+    nulls = rows.withColumn("edge_case_pca_x", F.lit(None).cast("double")) \
+        .withColumn("edge_case_pca_y", F.lit(None).cast("double"))
+    try:
+        model = PipelineModel.load(M.model_path(f"{work_dir}/models", task_id, round_no, "rule_pca") + "/model")
+    except Exception:  # noqa: BLE001 - B2 has not run for this round
+        return nulls
+    flagged = RU.proposed_rules(rows.select("uid", "guideline_improvement", "new_edge_case"), require_flag=True)
+    emb = C.embed_with_cache(flagged.select("uid", "condition"), f"{work_dir}/embedding_cache",
+                             plugins.embed_model, plugins.embedder, text="condition")
+    placed = M.project(model, M.with_vector(emb), names=("edge_case_pca_x", "edge_case_pca_y"))
+    return rows.join(placed.select("uid", "edge_case_pca_x", "edge_case_pca_y"), "uid", "left")
+
+
 def iterate(examples: DataFrame, guidelines: DataFrame, saved_rules: DataFrame, task_id: str, next_round: int,
             work_dir: str, plugins: Plugins, registry: DataFrame | None = None) -> dict[str, DataFrame]:
     """Guideline + saved rules (A9) -> B1 and B2 at the next round."""

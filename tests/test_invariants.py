@@ -343,3 +343,18 @@ def test_input_checks(spark):
     raise_on_violations(input_report(ex.where("task_id = 't'"), g.where("task_id = 't'")))   # blanks pass
     with pytest.raises(ValueError):
         raise_on_violations(input_report(ex, g))
+
+
+def test_increment_projects_new_edge_rules(spark):
+    """With a rule model for the round, flagged new edge cases get rule coordinates."""
+    from rulesift.plans import jobs as J
+    from rulesift.plans.jobs_queries import _guidelines, _round0_job
+    work, ann = _round0_job(spark, SF001)
+    J.discover_edge_cases(ann, "docs", 0, work, J.offline_plugins())          # fits the round's rule model
+    new = spark.read.parquet(f"{SF001}/benchmark.parquet").select(
+        F.lit("docs").alias("task_id"), F.col("item_id").alias("ordinal"), F.col("text").alias("text_to_annotate"))
+    out = J.annotate_increment(new, ann, _guidelines(spark), "docs", 0, work, J.offline_plugins())
+    fresh = out.where("is_reannotated").collect()
+    flagged = [r for r in fresh if r["new_edge_case"] and r["guideline_improvement"] not in (None, "EMPTY")]
+    assert flagged and all(r["edge_case_pca_x"] is not None for r in flagged)
+    assert all(r["edge_case_pca_x"] is None for r in fresh if not r["new_edge_case"])
