@@ -207,10 +207,12 @@ def project_rules(rows: DataFrame, task_id: str, round_no: int, work_dir: str, p
 
 
 def iterate(examples: DataFrame, guidelines: DataFrame, saved_rules: DataFrame, task_id: str, next_round: int,
-            work_dir: str, plugins: Plugins, registry: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Guideline + saved rules (A9) -> B1 and B2 at the next round."""
+            work_dir: str, plugins: Plugins, registry: DataFrame | None = None,
+            out_path: str | None = None) -> dict[str, DataFrame]:
+    """Guideline + saved rules (A9) -> B1 and B2 at the next round (U3:
+    with ``out_path`` the new round is one more partition of the rounds table)."""
     complete = RU.complete_guideline(guidelines.where(F.col("task_id") == task_id), saved_rules)
-    ann = annotate_round(examples, complete, task_id, next_round, work_dir, plugins, registry)
+    ann = annotate_round(examples, complete, task_id, next_round, work_dir, plugins, registry, out_path=out_path)
     sugg, edge = discover_edge_cases(ann, task_id, next_round, work_dir, plugins)
     return {"guideline": complete, "annotations": ann, "suggestions": sugg, "edge_cases": edge}
 

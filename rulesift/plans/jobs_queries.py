@@ -59,7 +59,8 @@ def iterate(spark, sf_dir):
     work, ann = _round0_job(spark, sf_dir)
     sugg, _ = J.discover_edge_cases(ann, TASK_ID, 0, work, J.offline_plugins())
     saved = sugg.select(F.lit(TASK_ID).alias("task_id"), F.col("rule_no").alias("cluster_no"), "rule")
-    out = J.iterate(_examples(spark, sf_dir), _guidelines(spark), saved, TASK_ID, 1, work, J.offline_plugins())
+    out = J.iterate(_examples(spark, sf_dir), _guidelines(spark), saved, TASK_ID, 1, work, J.offline_plugins(),
+                    out_path=f"{work}/rounds")
     return out["annotations"].select("uid", "round", "annotation", "confidence", "new_edge_case")
 
 
