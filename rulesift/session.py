@@ -8,9 +8,13 @@ is unset.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid as _uuid
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +50,48 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions that run in the workers are pickled by module name, so a worker
+    needs the package even where the driver was started from another folder.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="rulesift-ship-")  # Spark serves the file from here until the end
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "rulesift_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    z.write(full, os.path.join("rulesift", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; set a scratch one only if unset."""
+    """The session's shared folder; the package is shipped to the workers with it.
+
+    A scratch folder is made only for a local master, where driver and executors
+    are one process. On a cluster an unset folder is an error: executors would
+    write checkpoints to disks of their own.
+    """
+    ship_package(spark)
     current = checkpoint_dir(spark)
     if current:
         return current
-    path = tempfile.mkdtemp(prefix="rulesift-ckpt-", dir="/tmp")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set; name a folder that all executors of {master} share")
+    path = tempfile.mkdtemp(prefix="rulesift-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(path)
     return checkpoint_dir(spark) or path
 
