@@ -46,7 +46,7 @@ from rulesift.session import ensure_checkpoint_dir
 #: The hash of the end token: a byte string that can't be a word.
 END = T.hash_bytes(b" ")
 #: Tokens a task gathers before it sends their distinct keys.
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 2_000_000
 #: Input bytes for each shard of counts.
 SHARD_BYTES = 16 << 20
 _PACKED = "shard int, payload binary"

@@ -34,3 +34,15 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     model = KneserNey.train(docs, ~held_out)
     return model.score(docs).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
+@register
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulesift.llm.ngram_jaccard import jaccard_components
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+@register
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulesift.llm.suffix_dedup import cut_repeats
+    return cut_repeats(read(spark, sf_dir, "documents"))
