@@ -46,3 +46,92 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rulesift.llm.suffix_dedup import cut_repeats
     return cut_repeats(read(spark, sf_dir, "documents"))
+
+
+def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The digest columns of op6 from the index's matches."""
+    from rulesift.llm.decontaminate import PositionalIndex
+    ids = F.array_sort(F.transform("items", lambda x: F.coalesce(x.cast("string"), F.lit("null"))))
+    return (PositionalIndex.build(docs).search(items, width=10)
+            .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                    F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")))
+
+
+@register
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op6_decontamination"] = rf"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+       FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i
+             FROM b WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+       FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, ns WHERE len(w) >= n)),
+m AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+        FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM m) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS h
+       FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), 'null') AS s FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items, coalesce(it.h, sha256('')) AS items_sha256,
+       coalesce(hit.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+_WORDS = rf"regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+')"
+
+ORACLE["op5_ngram_jaccard"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(g) AS h
+      FROM (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT r.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id
+FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""
+
+ORACLE["op7_suffix_dedup"] = """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(b[i:i + 99]) AS h
+      FROM (SELECT doc_id, b, unnest(generate_series(1, octet_length(b) - 99)) AS i FROM t WHERE octet_length(b) >= 100)),
+c AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, i, sum(brk) OVER (PARTITION BY doc_id ORDER BY i) AS run
+      FROM (SELECT doc_id, i, CASE WHEN i > 100 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS brk FROM c)),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 99 AS z FROM g GROUP BY doc_id, run),
+e AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM s
+      UNION ALL SELECT t.doc_id, coalesce(max(s.z), 0) + 1, max(octet_length(t.b)) FROM t LEFT JOIN s USING (doc_id) GROUP BY t.doc_id),
+k AS (SELECT e.doc_id, string_agg(lower(hex(t.b[e.a:e.z])), '' ORDER BY e.a) AS x FROM e JOIN t USING (doc_id) WHERE e.z >= e.a GROUP BY e.doc_id),
+q AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT t.doc_id, CAST(octet_length(t.b) AS BIGINT) AS n_bytes, CAST(coalesce(q.n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(q.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.x, ''))) AS kept_sha256
+FROM t LEFT JOIN q USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+def vocabulary(name: str):
+    """A public vocabulary file by name; the path is only read here, on the driver."""
+    import public_tokenizers
+    from rulesift.llm.pieces import Pieces
+    return Pieces.load(public_tokenizers.path(name))
+
+
+@register
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulesift.llm.bpe_table import PrefixTable, encode
+    return encode(read(spark, sf_dir, "documents"), PrefixTable(vocabulary("piece_bpe_32k.model")))
+
+
+@register
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulesift.llm.unigram_count import UnigramCounter, count_tokens
+    return count_tokens(read(spark, sf_dir, "documents"), UnigramCounter(vocabulary("piece_bpe_32k.model")))
