@@ -39,15 +39,17 @@ from pyspark.sql import functions as F
 
 from rulesift.llm import files
 from rulesift.llm import textarrays as T
+from rulesift.llm.pieces import ragged
 from rulesift.session import ensure_checkpoint_dir
 
 SEED = 50
-FLUSH_ANCHORS = 1_000_000
-SHARD_BYTES = 16 << 20
+FLUSH_ANCHORS = 400_000
+SHARD_BYTES = 6 << 20
 ANCHOR_BITS, CONTEXT_BITS = 40, 48
-#: Context bytes in one suffix array; an anchor's contexts are never divided.
-BWT_BYTES = 1 << 20
+#: Context bytes in one suffix array; the contexts of one key are never divided.
+BWT_BYTES = 1 << 19
 _PLACE_BITS = 26
+_OTHER = T.U64(0x6A09E667F3BCC909)
 
 
 def anchors(buf: np.ndarray, offsets: np.ndarray, length: int):
@@ -89,7 +91,7 @@ def sliding_min(v: np.ndarray, wide: int) -> np.ndarray:
     return out
 
 
-_SENT = "shard int, doc_id long, tie long, payload binary"
+_SENT = "shard int, doc_id long, tie long, spans array<long>, payload binary"
 
 
 def _find_anchors(length: int, bits: int):
@@ -98,13 +100,13 @@ def _find_anchors(length: int, bits: int):
         held, n = [], 0
         for rows, buf, offsets in T.chunks(batches):
             at, text, prefix = anchors(buf, offsets, length)
-            ids = T.column_ids(rows)
-            ties = T.column_ids(rows, "tie")
             left = np.minimum(at - offsets[text], length - SEED)
             right = np.minimum(offsets[text + 1] - at, length)
-            key = T.mix(T.range_hash(prefix, at, at + SEED))
+            # anchors have small hashes; another hash of the same bytes deals them evenly
+            key = T.mix(T.range_hash(prefix, at, at + SEED) ^ _OTHER)
             context = T.mix(T.range_hash(prefix, at - left, at + right) + (left * 256 + right).astype(T.U64)) >> T.U64(64 - CONTEXT_BITS)
-            held.append((key, context, ids[text], ties[text], at - offsets[text], left, right))
+            held.append((key, context, T.column_ids(rows)[text], T.column_ids(rows, "tie")[text], at - offsets[text],
+                         left.astype(np.int16), right.astype(np.int16)))
             n += len(at)
             if n >= FLUSH_ANCHORS:
                 yield from _send(held, bits)
@@ -114,18 +116,40 @@ def _find_anchors(length: int, bits: int):
     return run
 
 
+def _equal_runs(*columns: np.ndarray) -> np.ndarray:
+    """For sorted rows: whether a row equals the one before in all ``columns``."""
+    same = np.ones(max(len(columns[0]) - 1, 0), bool)
+    for c in columns:
+        same &= c[1:] == c[:-1]
+    return np.concatenate([[False], same]) if len(columns[0]) else np.zeros(0, bool)
+
+
+def _in_runs(equal: np.ndarray) -> np.ndarray:
+    """Members of runs of two or more."""
+    out = equal.copy()
+    out[:-1] |= equal[1:]
+    return out
+
+
+def _collapse(key, context, ids, ties, at):
+    """(rows to keep, rows that repeat an equal context elsewhere): the first place of each (key, context) is kept."""
+    order = np.argsort(key)
+    equal = _equal_runs(key[order])
+    twice = _in_runs(equal)
+    alone, order = order[~twice], order[twice]
+    order = order[np.lexsort((at[order], ties[order], ids[order], context[order], key[order]))]
+    equal = _equal_runs(key[order], context[order])
+    first = order[np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))] if len(order) else order
+    # repeated rows of one document meet at one place, which is no repeat
+    other = equal & ((ids[order] != ids[first]) | (ties[order] != ties[first]) | (at[order] != at[first]))
+    return np.concatenate([alone, order[~equal]]), order[other]
+
+
 def _send(held: list, bits: int) -> Iterator[pa.RecordBatch]:
     key, context, ids, ties, at, left, right = (np.concatenate(x) for x in zip(*held))
-    # repeated rows are one document: its anchors fall together here or at the shard
-    order = np.lexsort((at, ties, ids, context, key))
-    same = np.zeros(len(order), bool)
-    k, c = key[order], context[order]
-    same[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
-    first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-    other = same & ((ids[order] != ids[first]) | (ties[order] != ties[first]) | (at[order] != at[first]))
-    covered = order[other]
-    yield _covers(ids[covered], ties[covered], at[covered] - left[covered], at[covered] + right[covered], spread=1 << bits)
-    order = order[~same]
+    keep, covered = _collapse(key, context, ids, ties, at)
+    yield _spans(ids[covered], ties[covered], at[covered] - left[covered], at[covered] + right[covered], spread=1 << bits)
+    order = keep[np.argsort(key[keep])]
     key, context, ids, ties, at, left, right = (x[order] for x in (key, context, ids, ties, at, left, right))
     cuts = np.searchsorted((key >> T.U64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
     kept = (key >> T.U64(64 - bits - ANCHOR_BITS)) & T.U64((1 << ANCHOR_BITS) - 1)
@@ -133,33 +157,49 @@ def _send(held: list, bits: int) -> Iterator[pa.RecordBatch]:
     out = []
     for s in shards:
         a = slice(cuts[s], cuts[s + 1])
-        doc = np.stack([ids[a], ties[a]], 1)
-        docs, place = np.unique(doc, axis=0, return_inverse=True)
-        out.append(T.pack_many((kept[a], True), (context[a], False), (place.ravel(), False), (at[a], False), (left[a], False), (right[a], False),
-                               (docs[:, 0].view(T.U64), False), (docs[:, 1].view(T.U64), False)))
+        docs, place = _distinct_docs(ids[a], ties[a])
+        out.append(T.pack_many((kept[a], True), (context[a], False), (place, False), (at[a], False), (left[a], False), (right[a], False),
+                               (docs[0].view(T.U64), False), (docs[1].view(T.U64), False)))
+    yield _packed_rows(shards, out)
+
+
+def _packed_rows(shards, payloads) -> pa.RecordBatch:
     n = len(shards)
-    yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(out, pa.binary())],
-                                     names=["shard", "doc_id", "tie", "payload"])
-
-
-def _covers(ids, ties, start, end, spread: int = 0) -> pa.RecordBatch:
-    """One row for each document: its united spans, packed. With ``spread`` the rows are
-    dealt over so many shards, to travel with the anchors."""
-    order = np.lexsort((start, ties, ids))
-    ids, ties, start, end = ids[order], ties[order], start[order], end[order]
-    rows: list = [[], [], []]
-    if len(ids):
-        new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])])
-        cuts = np.append(np.flatnonzero(new), len(ids))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            s, e = unite(start[a:b], end[a:b])
-            rows[0].append(ids[a])
-            rows[1].append(ties[a])
-            rows[2].append(T.pack_many((s, True), (e - s, False)))
-    n = len(rows[0])
-    shard = (np.array(rows[1], np.int64).view(T.U64) % T.U64(spread)).astype(np.int32) if spread else np.full(n, -1, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.array(rows[0], np.int64)), pa.array(np.array(rows[1], np.int64)),
-                                       pa.array(rows[2], pa.binary())], names=["shard", "doc_id", "tie", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())),
+                                       pa.array(payloads, pa.binary())], names=["shard", "doc_id", "tie", "spans", "payload"])
+
+
+def _distinct_docs(ids, ties):
+    order = np.lexsort((ties, ids))
+    new = ~_equal_runs(ids[order], ties[order])
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.cumsum(new) - 1
+    head = order[new]
+    return (ids[head], ties[head]), place
+
+
+def _spans(ids, ties, start, end, spread: int = 0) -> pa.RecordBatch:
+    """Covers: one row for each document with its united spans, as start * 2**32 + bytes.
+
+    With ``spread`` the rows are dealt over so many shards, to travel with the anchors.
+    """
+    docs, doc = _distinct_docs(ids, ties)
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order].astype(np.int64), end[order].astype(np.int64)
+    far = (int(end.max()) + 1) if len(end) else 1
+    s, e = unite(start + doc * far, end + doc * far)
+    doc = s // far
+    flat = ((s - doc * far) << 32) | (e - s)
+    return _doc_rows(docs, doc, flat, (docs[1].view(T.U64) % T.U64(spread)).astype(np.int32) if spread else -1)
+
+
+def _doc_rows(docs, doc, flat, shard) -> pa.RecordBatch:
+    n = len(docs[0])
+    offsets = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
+    shards = np.full(n, shard, np.int32) if np.isscalar(shard) else shard
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(docs[0], pa.int64()), pa.array(docs[1], pa.int64()),
+                                       pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())), pa.nulls(n, pa.binary())],
+                                      names=["shard", "doc_id", "tie", "spans", "payload"])
 
 
 def unite(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,141 +211,164 @@ def unite(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[head], reach[np.append(head[1:], len(start)) - 1]
 
 
-def _meet():
+def _split(table: pa.Table) -> tuple[pa.Table, list[list[np.ndarray]]]:
+    """(cover rows that only pass, unpacked payloads)."""
+    sent = table.column("doc_id").is_null()
+    passed = table.filter(pc.invert(sent))
+    passed = passed.set_column(0, "shard", pa.array(np.full(len(passed), -1), pa.int32()))
+    return passed, [T.unpack_many(c.as_py()) for c in table.filter(sent).column("payload")]
+
+
+def _meet(length: int):
     """Of a shard of anchors: covers (shard -1) and the places whose bytes are needed (shard -2)."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        sent = table.column("doc_id").is_null()
-        passed = table.filter(pc.invert(sent)).set_column(0, "shard", pa.array([-1] * (len(table) - pc.sum(sent).as_py()), pa.int32()))
-        parts = [T.unpack_many(c.as_py()) for c in table.filter(sent).column("payload")]
+        passed, parts = _split(table)
         if not parts:
             return passed
-        kept, context, at, left, right = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4, 5))
-        ids = np.concatenate([p[6].view(np.int64)[p[2].astype(np.int64)] for p in parts])
-        ties = np.concatenate([p[7].view(np.int64)[p[2].astype(np.int64)] for p in parts])
+        kept = np.concatenate([p[0] for p in parts])
+        order = np.argsort(kept)
+        order = np.sort(order[_in_runs(_equal_runs(kept[order]))])
+        base = np.cumsum([0, *(len(p[0]) for p in parts)])
+        cuts = np.searchsorted(order, base)
+        columns: list = [[], [], [], [], [], []]
+        for i, p in enumerate(parts):
+            own = order[cuts[i]:cuts[i + 1]] - base[i]
+            doc = p[2][own].astype(np.int64)
+            for c, v in zip(columns, (p[1][own], p[6].view(np.int64)[doc], p[7].view(np.int64)[doc], *(p[k][own].astype(np.int64) for k in (3, 4, 5)))):
+                c.append(v)
         del parts
-        order = np.argsort(kept, kind="stable")
-        k = kept[order]
-        same = k[1:] == k[:-1]
-        more = np.zeros(len(k), bool)
-        more[1:] |= same
-        more[:-1] |= same
-        order = order[more]
-        kept, context, ids, ties = kept[order], context[order], ids[order], ties[order]
-        at, left, right = (x[order].astype(np.int64) for x in (at, left, right))
-        order = np.lexsort((at, ties, ids, context, kept))
-        kept, context, ids, ties, at, left, right = (x[order] for x in (kept, context, ids, ties, at, left, right))
-        n = len(kept)
-        equal = np.zeros(n, bool)
-        equal[1:] = (kept[1:] == kept[:-1]) & (context[1:] == context[:-1])
-        first = np.maximum.accumulate(np.where(equal, 0, np.arange(n)))
-        other = equal & ((ids != ids[first]) | (ties != ties[first]) | (at != at[first]))
-        out = [_covers(ids[other], ties[other], at[other] - left[other], at[other] + right[other])]
-        kept, ids, ties, at, left, right = (x[~equal] for x in (kept, ids, ties, at, left, right))
-        same = kept[1:] == kept[:-1]
-        several = np.zeros(len(kept), bool)
-        several[1:] |= same
-        several[:-1] |= same
-        kept, ids, ties, at, left, right = (x[several] for x in (kept, ids, ties, at, left, right))
-        order = np.lexsort((ties, ids))
-        kept, ids, ties, at, left, right = (x[order] for x in (kept, ids, ties, at, left, right))
-        rows: list = [[], [], []]
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])])), len(ids)) if len(ids) else [0]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            rows[0].append(ids[a])
-            rows[1].append(ties[a])
-            rows[2].append(T.pack_many((np.full(b - a, shard), False), (kept[a:b], False), (at[a:b], False), (left[a:b], False), (right[a:b], False)))
-        n = len(rows[0])
-        out.append(pa.RecordBatch.from_arrays([pa.array([-2] * n, pa.int32()), pa.array(np.array(rows[0], np.int64)), pa.array(np.array(rows[1], np.int64)),
-                                               pa.array(rows[2], pa.binary())], names=["shard", "doc_id", "tie", "payload"]))
+        kept = kept[order]
+        context, ids, ties, at, left, right = map(np.concatenate, columns)
+        keep, covered = _collapse(kept, context, ids, ties, at)
+        out = [_spans(ids[covered], ties[covered], at[covered] - left[covered], at[covered] + right[covered])]
+        keep = keep[np.argsort(kept[keep])]
+        _, place, n = np.unique(kept[keep], return_inverse=True, return_counts=True)
+        n = n[place]
+        keep, n = keep[n > 1], n[n > 1]
+        tier = np.searchsorted(TIERS, n)  # contexts of an anchor, by tens and thousands
+        docs, doc = _distinct_docs(ids[keep], ties[keep])
+        order = np.argsort(doc, kind="stable")
+        out.append(_doc_rows(docs, doc[order], (at[keep] * 4 + tier)[order], -2))
         return pa.concat_tables([passed, pa.Table.from_batches(out)])
     return run
 
 
-def _fetch():
+#: Groups of so many distinct contexts are divided by longer keys: the windows around an anchor are taken
+#: in runs of REACH + 1 offsets, each run keyed by the bytes all its windows share (``length`` - REACH). The
+#: last is the windows themselves: equal keys are then equal contexts, and no group is left.
+TIERS = np.array([64, 4096, 65536])
+REACH = (50, 25, 6, 0)
+
+
+def _fetch(length: int, bits: int):
     """Cut the wanted contexts out of their texts and pack them by shard."""
     def run(batches):
         held, n = [], 0
         for rows, buf, offsets in T.chunks(batches):
             ids, ties = T.column_ids(rows), T.column_ids(rows, "tie")
-            for i, payloads in enumerate(rows.column(rows.schema.get_field_index("payloads")).to_pylist()):
-                wanted = [np.concatenate(x).astype(np.int64) for x in zip(*map(T.unpack_many, payloads))]
-                shard, kept, at, left, right = wanted
-                start, size = at - left, left + right
-                out = np.cumsum(size)
-                take = np.arange(int(out[-1])) + np.repeat(offsets[i] + start - (out - size), size)
-                held.append((shard, kept, np.full(len(at), ids[i]), np.full(len(at), ties[i]), start, size, buf[take]))
-                n += len(take)
-            if n >= 4 << 20:
-                yield from _send_contexts(held)
-                held, n = [], 0
+            wanted = rows.column(rows.schema.get_field_index("spans"))
+            flat = wanted.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(ids)), np.diff(wanted.offsets.to_numpy()))
+            prefix = T.prefix_sums(buf)
+            begin, stop = offsets[row], offsets[row + 1]
+            place, tiers = begin + (flat >> 2), flat & 3
+            for tier, reach in enumerate(REACH):
+                own = np.flatnonzero(tiers == tier)
+                for low in range(0, length - SEED + 1, reach + 1) if len(own) else ():
+                    at, b, e = place[own], begin[own], stop[own]
+                    least = np.maximum(low, at + length - e)  # offsets of windows inside the text
+                    most = np.minimum(min(low + reach, length - SEED), at - b)
+                    ok = least <= most
+                    at, least, most, r, b = at[ok], least[ok], most[ok], row[own][ok], b[ok]
+                    wide = length - min(reach, length - SEED - low)
+                    key = T.mix(T.range_hash(prefix, at - low, at - low + wide) + T.U64(low) ^ _OTHER)
+                    start, size = at - most, most - least + length
+                    total = int(size.sum())
+                    take = np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)
+                    held.append((key, ids[r], ties[r], start - b, size, buf[take]))
+                    n += total
+                    if n >= 2 << 20:
+                        yield from _send_contexts(held, bits)
+                        held, n = [], 0
         if n:
-            yield from _send_contexts(held)
+            yield from _send_contexts(held, bits)
     return run
 
 
-def _send_contexts(held: list) -> Iterator[pa.RecordBatch]:
-    shard, kept, ids, ties, start, size, body = (np.concatenate(x) for x in zip(*held))
+def _context_hashes(body, size):
     base = np.cumsum(size) - size
-    order = np.argsort(shard, kind="stable")
-    cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0])), len(order))
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        o = order[a:b]
-        out = np.cumsum(size[o])
-        take = np.arange(int(out[-1])) + np.repeat(base[o] - (out - size[o]), size[o])
-        payload = T.pack_many((kept[o], False), (ids[o].view(T.U64), False), (ties[o].view(T.U64), False), (start[o], False), (size[o], False),
-                              (body[take], False))
-        yield pa.RecordBatch.from_arrays([pa.array([int(shard[o[0]])], pa.int32()), pa.array([payload], pa.binary())], names=["shard", "payload"])
+    return T.hash_ranges(body, base, base + size)
+
+
+def _send_contexts(held: list, bits: int) -> Iterator[pa.RecordBatch]:
+    key, ids, ties, start, size, body = (np.concatenate(x) for x in zip(*held))
+    keep, covered = _collapse(key, _context_hashes(body, size), ids, ties, start)
+    yield _spans(ids[covered], ties[covered], start[covered], start[covered] + size[covered], spread=1 << bits)
+    base = np.cumsum(size) - size
+    keep = keep[np.argsort(key[keep])]
+    cuts = np.searchsorted((key[keep] >> T.U64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+    shards = np.flatnonzero(np.diff(cuts))
+    out = []
+    for s in shards:
+        o = keep[cuts[s]:cuts[s + 1]]
+        out.append(T.pack_many((key[o], True), (ids[o].view(T.U64), False), (ties[o].view(T.U64), False), (start[o], False), (size[o], False),
+                               (ragged(body, base[o], size[o]), False)))
+    yield _packed_rows(shards, out)
 
 
 def _expand(length: int):
     """Suffix array, BWT and interval expansion over a shard's contexts; covers of all but the first."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = [T.unpack_many(c.as_py()) for c in table.column("payload")]
-        kept, start, size = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (0, 3, 4))
+        passed, parts = _split(table)
+        if not parts:
+            return passed
+        key, start, size = (np.concatenate([p[i] for p in parts]) for i in (0, 3, 4))
+        start, size = start.astype(np.int64), size.astype(np.int64)
         ids, ties = (np.concatenate([p[i] for p in parts]).view(np.int64) for i in (1, 2))
-        body = np.concatenate([p[5] for p in parts]).astype(np.uint8)
+        body = np.concatenate([p[5].astype(np.uint8) for p in parts])
         del parts
         base = np.cumsum(size) - size
-        order = np.lexsort((start, ties, ids, kept))
-        new = np.concatenate([[True], np.diff(kept[order]) != 0])
-        total = np.cumsum(size[order] + 1)
-        out, a = [], 0
-        heads = np.append(np.flatnonzero(new), len(order))
+        keep, covered = _collapse(key, _context_hashes(body, size), ids, ties, start)
+        out = [_spans(ids[covered], ties[covered], start[covered], start[covered] + size[covered])]
+        keep = keep[np.argsort(key[keep])]
+        keep = keep[_in_runs(_equal_runs(key[keep]))]
+        heads = np.append(np.flatnonzero(~_equal_runs(key[keep])), len(keep))
+        total = np.concatenate([[0], np.cumsum(size[keep] + 1)])
+        spans, a = [], 0
         for i in range(1, len(heads)):
-            full = i + 1 == len(heads) or total[heads[i + 1] - 1] - (total[a - 1] if a else 0) > BWT_BYTES
-            if full:
-                o = order[a:heads[i]]
-                out.append(_covers(*_repeats(body, base[o], size[o], ids[o], ties[o], start[o], length)))
+            if i + 1 == len(heads) or total[heads[i + 1]] - total[a] > BWT_BYTES:
+                o = keep[a:heads[i]]
+                spans.append(_repeats(body, base[o], size[o], ids[o], ties[o], start[o], length))
                 a = heads[i]
-        return pa.Table.from_batches(out)
+        if spans:
+            out.append(_spans(*map(np.concatenate, zip(*spans))))
+        return pa.concat_tables([passed, pa.Table.from_batches(out)])
     return run
 
 
 def _repeats(body, base, size, ids, ties, start, length):
-    """Covered spans among contexts in order of (anchor, place)."""
+    """Covered spans among contexts."""
     n = len(base)
     out = np.cumsum(size + 1)
     text = np.full(int(out[-1]), 0xFF, np.uint8)  # never a byte of UTF-8: ends each context
     head = out - size - 1
-    inner = np.arange(int(size.sum())) + np.repeat(head - (np.cumsum(size) - size), size)
-    text[inner] = body[np.arange(int(size.sum())) + np.repeat(base - (np.cumsum(size) - size), size)]
+    text[ragged(np.arange(len(text)), head, size)] = ragged(body, base, size)
     owner = np.repeat(np.arange(n), size + 1)
-    inside = np.arange(len(text)) - head[owner]
     sa = suffix_array(text, length)
     bounded = expand_intervals(text, sa, length)
-    valid = (inside + length <= size[owner])[sa]
+    inside = sa - head[owner[sa]]
+    valid = inside + length <= size[owner[sa]]
     group = np.cumsum(bounded)[valid]
-    sa = sa[valid]
-    who = owner[sa]
-    at = start[who] + inside[sa]
-    order = np.lexsort((at, ties[who], ids[who], group))
-    group, who, at = group[order], who[order], at[order]
+    who, inside = owner[sa[valid]], inside[valid]
+    twice = _in_runs(_equal_runs(group))
+    group, who = group[twice], who[twice]
+    at = start[who] + inside[twice]
     if not len(group):
         z = np.zeros(0, np.int64)
         return z, z, z, z
-    new = np.concatenate([[True], group[1:] != group[:-1]])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))
+    order = np.lexsort((at, ties[who], ids[who], group))
+    group, who, at = group[order], who[order], at[order]
+    first = np.maximum.accumulate(np.where(_equal_runs(group), 0, np.arange(len(group))))
     other = (ids[who] != ids[who][first]) | (ties[who] != ties[who][first]) | (at != at[first])
     return ids[who][other], ties[who][other], at[other], at[other] + length
 
@@ -386,15 +449,14 @@ _CUT = "doc_id long, tie long, n_bytes long, n_removed long, n_spans long, kept_
 def _cut(carry: list[str]):
     def run(batches):
         for rows, buf, offsets in T.chunks(batches):
-            covers = rows.column(rows.schema.get_field_index("payloads")).to_pylist()
+            covers = rows.column(rows.schema.get_field_index("spans")).to_pylist()
             removed, spans, digests, kept = [], [], [], []
-            for i, payloads in enumerate(covers):
+            for i, spans_of in enumerate(covers):
                 body = memoryview(buf[offsets[i]:offsets[i + 1]])
                 digest, runs, gone = hashlib.sha256(), [], 0
-                if payloads:
-                    start, size = (np.concatenate(x).astype(np.int64) for x in zip(*map(T.unpack_many, payloads)))
-                    order = np.argsort(start, kind="stable")
-                    runs = list(zip(*(x.tolist() for x in unite(start[order], (start + size)[order]))))
+                if spans_of:
+                    flat = np.sort(np.array(spans_of, np.int64))
+                    runs = list(zip(*(x.tolist() for x in unite(flat >> 32, (flat >> 32) + (flat & 0xFFFFFFFF)))))
                 at, pieces = 0, []
                 for a, b in runs:
                     pieces.append(body[at:a])
@@ -436,13 +498,13 @@ def cut_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False) ->
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(T.NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("tie"),
                        text.alias("text"), *extra)
     bits = (files.shards_for(docs, SHARD_BYTES) - 1).bit_length()
-    met = (base.select("doc_id", "tie", "text").mapInArrow(_find_anchors(length, bits), _SENT).groupBy("shard").applyInArrow(_meet(), _SENT)
-           .checkpoint())
-    gathered = lambda rows: rows.groupBy(*key).agg(F.collect_list("payload").alias("payloads")).hint("shuffle_hash")
+    met = (base.select("doc_id", "tie", "text").mapInArrow(_find_anchors(length, bits), _SENT).groupBy("shard").applyInArrow(_meet(length), _SENT)
+           .select("shard", *key, "spans").checkpoint())
+    gathered = lambda rows: rows.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans")).hint("shuffle_hash")
     wanted = gathered(met.where("shard = -2"))
-    contexts = (base.join(wanted, key).select("doc_id", "tie", "text", "payloads").mapInArrow(_fetch(), "shard int, payload binary"))
+    contexts = base.join(wanted, key).select("doc_id", "tie", "text", "spans").mapInArrow(_fetch(length, bits), _SENT)
     expanded = contexts.groupBy("shard").applyInArrow(_expand(length), _SENT)
-    covers = gathered(met.where("shard = -1").select(*key, "payload").union(expanded.select(*key, "payload")))
+    covers = gathered(met.where("shard = -1").select(*key, "spans").union(expanded.select(*key, "spans")))
     row = f", kept_text string, row {base.schema['row'].dataType.simpleString()}" if keep_text else ""
-    return (base.join(covers, key, "left").select(*base.columns, "payloads").mapInArrow(_cut(carry), _CUT + row)
+    return (base.join(covers, key, "left").select(*base.columns, "spans").mapInArrow(_cut(carry), _CUT + row)
             .dropDuplicates(key).drop("tie"))
