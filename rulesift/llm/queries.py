@@ -135,3 +135,30 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rulesift.llm.unigram_count import UnigramCounter, count_tokens
     return count_tokens(read(spark, sf_dir, "documents"), UnigramCounter(vocabulary("piece_bpe_32k.model")))
+
+
+@register
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulesift.llm.topk_search import top_k
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+ORACLE["op2_topk_search"] = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(embedding) > 0),
+u AS (SELECT vec_id, unnest(v) AS c, generate_subscripts(v, 1) AS d FROM e),
+p AS (SELECT q.vec_id AS query_id, b.vec_id, sum(q.c * b.c) AS score
+      FROM u q JOIN u b ON q.d = b.d AND q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1, 2)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
+"""
+
+
+@register
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulesift.llm import toxicity
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
