@@ -162,3 +162,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
+@register
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulesift.llm.warc import read_archives, write_archives
+    archives = write_archives(read(spark, sf_dir, "pages"), min_bytes=0)
+    return read_archives(spark, archives).drop("error")
+
+
+@register
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulesift.llm.passage_chains import fuzzy_passages
+    return fuzzy_passages(read(spark, sf_dir, "documents"), min_words=50, percent=75)
