@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from rulesift.llm import textarrays as T
 
@@ -154,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX
 
 
 def score(docs: DataFrame, model: FactorizationMachine | None, carry: bool = False) -> DataFrame:
-    """doc_id, score and predicted of every row; with ``carry`` the row's columns instead of doc_id."""
+    """doc_id, score and predicted of every row; with ``carry`` the row's columns instead of doc_id
+    (score and predicted are the last two columns and get underscores where the row has such names)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_terms terms
 
     def run(batches):
@@ -173,14 +175,16 @@ def score(docs: DataFrame, model: FactorizationMachine | None, carry: bool = Fal
                 out = 1 / (1 + np.exp(-np.clip(m.raw(place, text, n), -500, 500)))
             names = [c for c in rows.schema.names if carry or c != "text"]
             yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in names), pa.array(out),
-                                              pa.array((out >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+                                              pa.array((out >= 0.5).astype(np.int32))], names=schema.names)
 
     if carry:
-        base = docs
-        for c in ("score", "predicted"):
-            if c in docs.columns:
-                raise ValueError(f"the table has a column {c} already")
-        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+        base, schema = docs, docs.schema
     else:
-        base, kind = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), "doc_id long"
-    return base.mapInArrow(run, kind + ", score double, predicted int")
+        base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+        schema = base.select("doc_id").schema
+    taken = {c.lower() for c in schema.names}
+    for name, kind in (("score", "double"), ("predicted", "int")):
+        while name in taken:
+            name += "_"
+        schema = StructType([*schema.fields, StructField(name, DoubleType() if kind == "double" else IntegerType())])
+    return base.mapInArrow(run, schema)
