@@ -38,7 +38,7 @@ def write_bytes(folder: str, name: str, *parts) -> str:
     uri = f"{folder}/{name}-{uuid.uuid4().hex}"
     system, path = _open(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         for p in parts:
             out.write(p)
     return uri
@@ -46,7 +46,7 @@ def write_bytes(folder: str, name: str, *parts) -> str:
 
 def read_bytes(uri: str) -> bytes:
     system, path = _open(uri)
-    with system.open_input_stream(path) as f:
+    with system.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
@@ -73,7 +73,7 @@ def map_array(uri: str, dtype, count: int, offset: int = 0) -> np.ndarray:
     system, path = _open(uri)
     if isinstance(system, fs.LocalFileSystem):
         return np.memmap(path, dtype, "r", offset, (count,))
-    with tempfile.TemporaryFile() as own, system.open_input_stream(path) as f:
+    with tempfile.TemporaryFile() as own, system.open_input_stream(path, compression=None) as f:
         while block := f.read(1 << 22):
             own.write(block)
         own.flush()

@@ -123,7 +123,7 @@ def _write(folder: str, segment_bytes: int):
                     path = f"{folder}/pages-{uuid.uuid4().hex}.warc.gz"
                     system, where = files._open(path)
                     system.create_dir(where.rpartition("/")[0], recursive=True)
-                    out, n, size = system.open_output_stream(where), 0, 0
+                    out, n, size = system.open_output_stream(where, compression=None), 0, 0
                 for data in records(page_id, url, (html or "").encode(), base32_of(sha1), refers_to, revisit, segment_bytes):
                     out.write(data)
                     n, size = n + 1, size + len(data)
@@ -218,7 +218,7 @@ def _read(batches):
             system, where = files._open(path)
             rows: list = []
             held = 0
-            with system.open_input_stream(where) as stream:
+            with system.open_input_stream(where, compression=None) as stream:
                 for f, block in parse(stream):
                     kind, segment = f["warc-type"], _whole(f.get("warc-segment-number"))
                     stated = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
