@@ -14,11 +14,10 @@ Size-aware heavy-light join:
    a set above the boundary scans the inverted lists of its shorter prefix, which also
    hold the light sets large enough to link with it. The boundary minimises the summed
    cost, subsets against list lengths, over size classes.
-5. Candidates that share a subset or a list are compared as stars, a class of each
-   group with all others that are not yet connected to it, and connected; a
-   class that was compared leaves its group. When few pairs are left they are compared
-   all. So every link either is verified or lies between classes already connected, and
-   a group of n near copies costs n comparisons, not n squared.
+5. Candidates that share a subset or a list are not listed as pairs. A star per group (its most shared member
+   against the others) connects near copies; where a group still holds several components, all but its
+   largest one scan the inverted lists of the others' blocks (``operators.linking``). So every link either is
+   verified or lies between classes already connected.
 
 Verification is exact on the shared shingles' hashes (64-bit words, 40 bits and the
 shard of each shingle): intersection sizes of at least 75 of 100 parts of the union.
@@ -41,15 +40,15 @@ from pyspark.sql import functions as F
 
 from rulesift.llm import files
 from rulesift.llm import textarrays as T
-from rulesift.llm.graph import components
+from rulesift.operators.linking import connect_sets
 from rulesift.session import ensure_checkpoint_dir
 
 FLUSH_SHINGLES = 3_000_000
 SHARD_BYTES = 12 << 20
 #: Bits of a shingle's hash kept beside the shard.
 KEPT_BITS = 40
-#: All remaining pairs are compared at once when they are at most so many times the postings.
-PAIRS_PER_POSTING = 4
+#: Cost of comparing two sets, in rows of an index.
+COMPARE_COST = 8
 
 
 def need(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -169,7 +168,7 @@ def _shared(bits: int):
     return run
 
 
-_STORE = "cls long, size long, shared binary, prefix array<long>, scan long"
+_STORE = "cls long, size long, elements array<long>, prefix array<long>, hub double"
 
 
 def _store(percent: int):
@@ -193,20 +192,24 @@ def _store(percent: int):
             short = m1 - int(need(sizes[a], percent)) + 1
             rows[0].append(int(keys[a].view(np.int64)))
             rows[1].append(size)
-            rows[2].append(T.pack(np.sort(full[a:b]), True))
+            rows[2].append(full[a:b].astype(np.int64))
             rows[3].append(full[a:a + min(short + 1, m1)].astype(np.int64))
-            rows[4].append(int(df[a:a + short].sum()))
+            rows[4].append(float(np.log(df[a:b]).sum() / size))  # high where all its shingles are much shared
         return pa.table({"cls": pa.array(rows[0], pa.int64()), "size": pa.array(rows[1], pa.int64()),
-                         "shared": pa.array(rows[2], pa.binary()), "prefix": pa.array(rows[3], pa.list_(pa.int64())),
-                         "scan": pa.array(rows[4], pa.int64())})
+                         "elements": pa.array(rows[2], pa.list_(pa.int64())), "prefix": pa.array(rows[3], pa.list_(pa.int64())),
+                         "hub": pa.array(rows[4], pa.float64())})
     return run
 
 
 def boundary(store: DataFrame) -> int:
-    """The largest size of a light set: least sum of subset and list costs over size classes."""
+    """The largest size of a light set: least sum of subset and list costs over size classes.
+
+    A subset costs a row. An entry of an inverted list costs a row and, as the lists are
+    less selective, up to one comparison with its list's center.
+    """
     q = F.size("prefix")
     costs = (store.groupBy(F.floor(F.log2("size") * 4).alias("k"))
-             .agg(F.max("size").alias("size"), F.sum(q * (q - 1) / 2).alias("subsets"), F.sum("scan").alias("scan"))
+             .agg(F.max("size").alias("size"), F.sum(q * (q - 1) / 2).alias("subsets"), F.sum((q - 1) * (1 + COMPARE_COST)).alias("scan"))
              .orderBy("k").collect())  # a few size classes per doubling
     best, at = float("inf"), 0
     for i in range(len(costs) + 1):
@@ -217,10 +220,10 @@ def boundary(store: DataFrame) -> int:
 
 
 def _groups(limit: int, percent: int):
-    """(sig, cls, size): 2-subsets of the light sets, inverted lists for the heavy ones."""
+    """(sig, cls): 2-subsets of the light sets, inverted lists for the heavy ones."""
     def run(batches):
         for batch in batches:
-            sig, cls, size = [], [], []
+            sig, cls = [], []
             for c, s, prefix in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 f = np.array(prefix, np.int64).view(T.U64)
                 own = []
@@ -233,73 +236,11 @@ def _groups(limit: int, percent: int):
                 own = T.concat(own)
                 sig.append(own)
                 cls.append(np.full(len(own), c))
-                size.append(np.full(len(own), s))
-            yield pa.RecordBatch.from_arrays([pa.array(T.concat(sig).view(np.int64)), pa.array(T.concat(cls, np.int64), pa.int64()),
-                                              pa.array(T.concat(size, np.int64), pa.int64())], names=["sig", "cls", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(T.concat(sig).view(np.int64)), pa.array(T.concat(cls, np.int64), pa.int64())],
+                                             names=["sig", "cls"])
     return run
 
 
-def _verify(percent: int):
-    def run(batches):
-        for batch in batches:
-            col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            ok = []
-            last, held = None, None
-            for a, sa, ha, sb, hb in zip(col["a"], col["sa"], col["ha"], col["sb"], col["hb"]):
-                if a != last:
-                    last, held = a, T.unpack(ha)
-                both = len(np.intersect1d(held, T.unpack(hb), assume_unique=True))
-                ok.append(100 * both >= percent * (sa + sb - both))
-            yield batch.filter(pa.array(ok)).select(["a", "b"])
-    return run
-
-
-def _links(pairs: DataFrame, store: DataFrame, percent: int) -> DataFrame:
-    a = store.select(F.col("cls").alias("a"), F.col("size").alias("sa"), F.col("shared").alias("ha"))
-    b = store.select(F.col("cls").alias("b"), F.col("size").alias("sb"), F.col("shared").alias("hb"))
-    return pairs.join(b, "b").join(a, "a").select("a", "sa", "ha", "b", "sb", "hb").mapInArrow(_verify(percent), "a long, b long")
-
-
-def _connect(store: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Labels (cls, label) of the classes after all links within the groups."""
-    labels = store.select("cls", F.col("cls").alias("label"))
-    several = groups.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("sig")
-    groups = groups.join(several, "sig").distinct().checkpoint()
-    n = groups.count()
-    links = tested = None
-    while n:
-        known = groups.join(labels, "cls").select("sig", "cls", "size", "label")
-        center = (known.groupBy("sig").agg(F.min(F.struct("cls", "size", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-                  .where("lo != hi").select("sig", "c"))
-        pairs_left = (known.groupBy("sig", "label").agg(F.count("*").alias("n")).groupBy("sig")
-                      .agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("n")).agg(F.sum("n")).first()[0]) or 0
-        if not pairs_left:
-            break
-        open_groups = known.join(center, "sig").checkpoint()
-        last = tested is not None and pairs_left <= PAIRS_PER_POSTING * n
-        if last:
-            left, right = open_groups.drop("c"), open_groups.select("sig", *(F.col(c).alias(c + "2") for c in ("cls", "size", "label")))
-            pairs = left.join(right, "sig").where("cls < cls2 and label != label2")
-        else:
-            pairs = open_groups.select(F.col("c.cls").alias("cls"), F.col("c.size").alias("size"), F.col("c.label").alias("label"),
-                                       F.col("cls").alias("cls2"), F.col("size").alias("size2"), F.col("label").alias("label2")).where("label != label2")
-        pairs = (pairs.where(f"100 * least(size, size2) >= {percent} * greatest(size, size2)")
-                 .select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
-        found = _links(pairs, store, percent).checkpoint()
-        links = found if links is None else links.union(found).checkpoint()
-        labels = (store.select("cls").join(components(links).withColumnRenamed("node", "cls"), "cls", "left")
-                  .select("cls", F.coalesce("label", "cls").alias("label")).checkpoint())
-        if last:
-            break
-        tested = pairs if tested is None else tested.union(pairs).checkpoint()
-        groups = open_groups.where("cls != c.cls").select("sig", "cls", "size").checkpoint()
-        n = groups.count()
-    return labels
-
-
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``.
 
@@ -315,8 +256,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     store = (rows.select("text").mapInArrow(_postings(width, bits), packed).groupBy("shard").applyInArrow(_shared(bits), packed)
              .groupBy("shard").applyInArrow(_store(percent), _STORE).checkpoint())
     limit = boundary(store)
-    groups = store.select("cls", "size", "prefix").mapInArrow(_groups(limit, percent), "sig long, cls long, size long")
-    labels = _connect(store, groups, percent).withColumnRenamed("cls", "node")
+    groups = store.select("cls", "size", "prefix").mapInArrow(_groups(limit, percent), "sig long, cls long")
+    labels = connect_sets(store.drop("prefix"), groups, percent).withColumnRenamed("cls", "node")
     return with_component_ids(rows.mapInArrow(_documents(width), "doc_id long, n_shingles long, cls long"), labels)
 
 
