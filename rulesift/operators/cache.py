@@ -1,13 +1,17 @@
 """Response and embedding caches with pluggable functions.
 
-Flow for every external call: key the requests (SHA-256 of the prompt or
-text), anti-join the cache to find misses, deduplicate them, run the user
-function on the misses only with ``mapInPandas`` (Arrow batches; the function
-gets lists of at most ``batch_size`` items and may run them concurrently),
-append the results to the cache table and read the cache back. Results are
-written before they are used, so a retried task or a re-run job never calls
-the function again for keys already stored; duplicate appends from a re-run
-job are harmless because reads take one row per key.
+One mechanism for the annotator, the synthesizer and the embedder:
+
+1. Requests are keyed by a digest of what is asked (model, context such as template and guideline, item).
+2. Keys are looked up in the cache; only distinct misses go on, dealt over ``tasks`` tasks (an explicit number, which
+   adaptive execution keeps, since the cost of a call has nothing to do with the bytes of its request).
+3. Each task calls the user function with at most ``batch_size`` items. A failing batch, or one with a wrong number of
+   answers, is halved until the failing items stand alone; those are tried again, then keep an error and no answer.
+4. Answers are appended to the cache table (by model) before they are used, then the requests' keys are
+   read back. So a retried task or a repeated job does not call again for stored keys, and readers of
+   one cache see one answer for each key, whatever a function says when asked twice.
+
+A prompt is made inside the call from the item and the context. Neither the context nor the prompt is shuffled or checkpointed.
 
 The joined result is checkpointed before it is returned. A later plan that
 also reads the cache folder (an earlier or later round) would otherwise hold
@@ -17,6 +21,7 @@ as the same exchange and may reuse - giving one of them stale contents.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import zlib
@@ -31,30 +36,34 @@ from rulesift.schema import EMBEDDING_CACHE, RESPONSE_CACHE
 from rulesift.session import cut_lineage
 
 BATCH_SIZE = 20          # items per call to a pluggable function
-MAX_ATTEMPTS = 3         # bounded retries, then an error column (ledger L10)
-
-# Fixed list prices in USD per million tokens, by role of the model.
-PRICES = [("annotator", 2.0, 8.0), ("synthesizer", 0.55, 2.19)]
+MAX_ATTEMPTS = 3         # calls for an item that fails alone, then its error is kept (ledger L10)
+TASKS_PER_CORE = 4       # tasks that calls are dealt over, by default, for each core
 
 Annotator = Callable[[list[str]], list[dict]]
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
-def model_prices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PRICES, "model string, input_usd_per_mtok double, output_usd_per_mtok double")
-
-
 def batches(df: DataFrame, ordinal: str = "ordinal", size: int = BATCH_SIZE) -> DataFrame:
     """Fixed-size batches in input order (no window: arithmetic on the ordinal)."""
     return df.withColumn("batch_no", F.floor(F.col(ordinal) / size).cast("bigint")) \
         .withColumn("pos_in_batch", F.pmod(F.col(ordinal), F.lit(size)).cast("int"))
 
 
-def _read_cache(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - no cache written yet
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked of its own file system; other errors are raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _read_cache(spark: SparkSession, path: str, schema: T.StructType, model: str) -> DataFrame:
+    """One model's rows; an empty table while nothing has been written."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).where(F.col("model") == model).select(*schema.names)
+
+
+def call_tasks(spark: SparkSession, tasks: int | None) -> int:
+    return tasks or TASKS_PER_CORE * spark.sparkContext.defaultParallelism
 
 
 def split_hits(keyed: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -65,72 +74,91 @@ def split_hits(keyed: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame,
     return hits, misses
 
 
+def call_halving(fn: Callable[[list], list], items: Sequence) -> list[tuple[object, str | None]]:
+    """(answer, error) for each item; a failing batch is halved until the failing items stand alone, and
+    those are tried ``MAX_ATTEMPTS`` times (L10, L11)."""
+    error = None
+    for _ in range(MAX_ATTEMPTS if len(items) == 1 else 1):
+        try:
+            answers = fn(list(items))
+            if len(answers) != len(items):
+                raise ValueError(f"{len(answers)} answers for {len(items)} items")
+            return [(a, None) for a in answers]
+        except Exception as e:  # noqa: BLE001 - the user's function; its error is kept with the item
+            error = f"{type(e).__name__}: {e}"
+    if len(items) == 1:
+        return [(None, error)]
+    mid = len(items) // 2
+    return call_halving(fn, items[:mid]) + call_halving(fn, items[mid:])
+
+
 # --- responses (J2) -------------------------------------------------------------
 
-def _call_annotator(fn: Annotator, model: str, batch_size: int):
+def _call_annotator(fn: Annotator, model: str, batch_size: int, render: Callable[[str], str] | None):
     def run(frames):
         import pandas as pd
         for pdf in frames:
             out = []
-            keys, prompts = list(pdf["prompt_key"]), list(pdf["prompt"])
-            for i in range(0, len(prompts), batch_size):
-                chunk = prompts[i:i + batch_size]
-                res, err = None, None
-                for _ in range(MAX_ATTEMPTS):
-                    try:
-                        res = fn(chunk)
-                        break
-                    except Exception as e:  # noqa: BLE001
-                        err = f"{type(e).__name__}: {e}"
-                for j, k in enumerate(keys[i:i + batch_size]):
-                    r = res[j] if res is not None else {}
+            keys, items = list(pdf["prompt_key"]), list(pdf["item"])
+            for i in range(0, len(items), batch_size):
+                prompts = [render(x) if render else x for x in items[i:i + batch_size]]
+                for k, (r, err) in zip(keys[i:i + batch_size], call_halving(fn, prompts)):
+                    r = r or {}
                     out.append({"model": model, "prompt_key": k, "response": r.get("response"),
                                 "response_reasoning": r.get("reasoning"),
                                 "input_tokens": r.get("input_tokens"), "output_tokens": r.get("output_tokens"),
-                                "error": None if res is not None else err})
+                                "error": err})
             yield pd.DataFrame(out, columns=[f.name for f in RESPONSE_CACHE.fields])
     return run
 
 
 def respond_with_cache(requests: DataFrame, cache_path: str, model: str, annotator: Annotator,
-                       prompt: str = "prompt", batch_size: int = BATCH_SIZE) -> DataFrame:
+                       prompt: str = "prompt", batch_size: int = BATCH_SIZE, context: str | None = None,
+                       render: Callable[[str], str] | None = None, tasks: int | None = None) -> DataFrame:
     """Every request gets its response; only misses call ``annotator``.
 
-    Returns the requests with prompt_key, response, tokens, error and
-    ``cache_hit``. New rows are appended to the cache at ``cache_path``.
+    ``prompt`` names the column with the item that is asked about. With ``render`` the prompt is
+    ``render(item)``, made inside the call, and ``context`` (whatever else ``render`` depends on) is part of
+    the key. Returns the requests with prompt_key, response, tokens, error and ``cache_hit``. New rows are
+    appended to the cache at ``cache_path``; a failed item is asked again by the next job.
     """
     spark = requests.sparkSession
-    keyed = requests.withColumn("prompt_key", F.sha2(F.col(prompt), 256))
-    cache = _read_cache(spark, cache_path, RESPONSE_CACHE).where(F.col("model") == model)
-    ok_cache = cache.where(F.col("error").isNull())
-    _, misses = split_hits(keyed.select("prompt_key", prompt), ok_cache, "prompt_key")
-    todo = misses.groupBy("prompt_key").agg(F.min(prompt).alias("prompt"))
-    computed = todo.mapInPandas(_call_annotator(annotator, model, batch_size), RESPONSE_CACHE)
-    computed.write.mode("append").parquet(cache_path)
-    fresh = _read_cache(spark, cache_path, RESPONSE_CACHE).where(F.col("model") == model)
+    item = F.col(prompt)
+    if render:
+        digest = hashlib.sha256((context or "").encode()).hexdigest()
+        item = F.concat(F.lit(digest + "\u001f"), F.coalesce(item, F.lit("")))
+    keyed = requests.withColumn("prompt_key", F.sha2(item, 256))
+    ok_cache = _read_cache(spark, cache_path, RESPONSE_CACHE, model).where(F.col("error").isNull())
+    # Keys first: the item moves once, with the misses only.
+    keys = keyed.select("prompt_key").distinct()
+    known = cut_lineage(ok_cache.select("prompt_key").join(keys, "prompt_key", "left_semi").distinct())
+    todo = (keyed.select("prompt_key", F.col(prompt).alias("item")).join(known, "prompt_key", "left_anti")
+            .dropDuplicates(["prompt_key"]).repartition(call_tasks(spark, tasks), "prompt_key"))
+    todo.mapInPandas(_call_annotator(annotator, model, batch_size, render), RESPONSE_CACHE) \
+        .write.mode("append").partitionBy("model").parquet(cache_path)
+    fresh = _read_cache(spark, cache_path, RESPONSE_CACHE, model).join(keys, "prompt_key", "left_semi")
     one = fresh.groupBy("prompt_key").agg(F.min(F.struct(
         F.col("error").isNotNull().alias("_bad"), "response", "response_reasoning",
         "input_tokens", "output_tokens", "error")).alias("_r"))
-    was_hit = ok_cache.select("prompt_key").distinct().withColumn("cache_hit", F.lit(True))
     return cut_lineage(keyed.join(one, "prompt_key", "left")
-                       .join(was_hit, "prompt_key", "left")
+                       .join(known.withColumn("cache_hit", F.lit(True)), "prompt_key", "left")
                        .select(*keyed.columns, "_r.response", "_r.response_reasoning", "_r.input_tokens",
                                "_r.output_tokens", "_r.error",
                                F.coalesce("cache_hit", F.lit(False)).alias("cache_hit")))
 
 
-def run_cost(answered: DataFrame, model_col: str = "model", prices: DataFrame | None = None) -> DataFrame:
+def run_cost(answered: DataFrame, prices: DataFrame, model_col: str = "model") -> DataFrame:
     """Tokens and USD per model over computed (not cached) calls.
 
-    The price list is a fixed catalogue of models (a handful of rows), so it
-    is broadcast.
+    ``prices``: the caller's list (model, input_usd_per_mtok, output_usd_per_mtok); a model
+    that is not in it has a null cost.
     """
-    p = prices if prices is not None else model_prices(answered.sparkSession)
+    p = prices
     m = answered.where(~F.col("cache_hit")).groupBy(model_col).agg(
         F.sum("input_tokens").cast("bigint").alias("input_tokens"),
         F.sum("output_tokens").cast("bigint").alias("output_tokens"),
         F.count(F.lit(1)).alias("calls"))
-    j = m.join(F.broadcast(p), m[model_col] == p["model"], "left")
+    j = m.join(p, m[model_col] == p["model"], "left")
     cost = (F.col("input_tokens") / 1e6 * F.col("input_usd_per_mtok")
             + F.col("output_tokens") / 1e6 * F.col("output_usd_per_mtok"))
     return j.select(m[model_col], "calls", "input_tokens", "output_tokens", F.round(cost, 6).alias("cost_usd"))
@@ -138,21 +166,6 @@ def run_cost(answered: DataFrame, model_col: str = "model", prices: DataFrame |
 
 # --- embeddings (J3 / M1) -------------------------------------------------------
 
-def _embed_with_halving(fn: Embedder, texts: Sequence[str]):
-    """Embed; on failure split the batch in half and retry each half; a failing
-    single text gets an error instead of a vector (ledger L11)."""
-    try:
-        vecs = fn(list(texts))
-        if len(vecs) != len(texts):
-            raise ValueError("embedder returned a different number of vectors")
-        return [(list(map(float, v)), None) for v in vecs]
-    except Exception as e:  # noqa: BLE001
-        if len(texts) == 1:
-            return [(None, f"{type(e).__name__}: {e}")]
-        mid = len(texts) // 2
-        return _embed_with_halving(fn, texts[:mid]) + _embed_with_halving(fn, texts[mid:])
-
-
 def _call_embedder(fn: Embedder, model: str, batch_size: int):
     def run(frames):
         import pandas as pd
@@ -160,25 +173,26 @@ def _call_embedder(fn: Embedder, model: str, batch_size: int):
             keys, texts = list(pdf["text_key"]), list(pdf["text"])
             rows = []
             for i in range(0, len(texts), batch_size):
-                for k, (v, err) in zip(keys[i:i + batch_size], _embed_with_halving(fn, texts[i:i + batch_size])):
-                    rows.append({"model": model, "text_key": k, "embedding": v, "error": err})
+                for k, (v, err) in zip(keys[i:i + batch_size], call_halving(fn, texts[i:i + batch_size])):
+                    rows.append({"model": model, "text_key": k, "embedding": None if err else list(map(float, v)), "error": err})
             yield pd.DataFrame(rows, columns=[f.name for f in EMBEDDING_CACHE.fields])
     return run
 
 
 def embed_with_cache(df: DataFrame, cache_path: str, model: str, embedder: Embedder,
-                     text: str = "text", batch_size: int = BATCH_SIZE) -> DataFrame:
+                     text: str = "text", batch_size: int = BATCH_SIZE, tasks: int | None = None) -> DataFrame:
     """J3 + M1: attach ``embedding`` (ARRAY<FLOAT>) and ``embed_error`` by
     (text, model); only texts missing from the cache are embedded."""
     spark = df.sparkSession
     keyed = df.withColumn("text_key", text_key(text))
-    cache = _read_cache(spark, cache_path, EMBEDDING_CACHE).where(
-        (F.col("model") == model) & F.col("error").isNull())
-    _, misses = split_hits(keyed.select("text_key", F.col(text).alias("text")), cache, "text_key")
-    todo = misses.groupBy("text_key").agg(F.min("text").alias("text"))
+    cache = _read_cache(spark, cache_path, EMBEDDING_CACHE, model).where(F.col("error").isNull())
+    keys = keyed.select("text_key").distinct()
+    known = cache.select("text_key").join(keys, "text_key", "left_semi").distinct()
+    todo = (keyed.select("text_key", F.col(text).alias("text")).join(known, "text_key", "left_anti")
+            .dropDuplicates(["text_key"]).repartition(call_tasks(spark, tasks), "text_key"))
     todo.mapInPandas(_call_embedder(embedder, model, batch_size), EMBEDDING_CACHE) \
-        .write.mode("append").parquet(cache_path)
-    fresh = _read_cache(spark, cache_path, EMBEDDING_CACHE).where(F.col("model") == model)
+        .write.mode("append").partitionBy("model").parquet(cache_path)
+    fresh = _read_cache(spark, cache_path, EMBEDDING_CACHE, model).join(keys, "text_key", "left_semi")
     one = fresh.groupBy("text_key").agg(F.min(F.struct(
         F.col("error").isNotNull().alias("_bad"), "embedding", "error")).alias("_e"))
     return cut_lineage(keyed.join(one, "text_key", "left").select(

@@ -17,6 +17,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulesift.operators.cache import path_exists
+
 TEXT_CLUSTERS = 4
 SEED = 42
 
@@ -27,8 +29,9 @@ def with_vector(df: DataFrame, array_col: str = "embedding", out: str = "feature
 
 
 def fingerprint(df: DataFrame, key: str = "uid") -> str:
-    """Order-independent fingerprint of the training keys (bounded aggregate)."""
-    h = F.xxhash64(F.col(key))
+    """Order-independent fingerprint of the training keys and their vectors (bounded aggregate): another
+    embedding model gives another fit."""
+    h = F.xxhash64(F.col(key), *([F.col("embedding")] if "embedding" in df.columns else []))
     r = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"),
                F.sum(F.pmod(h, F.lit(2147483629))).alias("s")).first()
     return f"{r['n']}:{r['x']}:{r['s']}"
@@ -101,12 +104,10 @@ def load_or_fit(spark: SparkSession, root: str, task_id: str, round_no: int, kin
     (or ``reuse`` is set); otherwise fit and save it. Returns (model, refitted)."""
     path = model_path(root, task_id, round_no, kind)
     fp = fingerprint(train, key)
-    try:
+    if path_exists(spark, path + "/_fingerprint/_SUCCESS"):  # written after the model
         meta = json.loads(spark.read.text(path + "/_fingerprint").first()[0])
         if reuse or meta.get("fingerprint") == fp:
             return PipelineModel.load(path + "/model"), False
-    except Exception:  # noqa: BLE001 - no stored model yet
-        pass
     model = fit(train)
     if model is not None:
         model.write().overwrite().save(path + "/model")

@@ -15,21 +15,23 @@ from rulesift.functions.text import rule_key_number, text_key, ws_trim
 
 DEFAULT_LABEL = "0"
 DEFAULT_CONFIDENCE = 50.0
+EDGE_FIELDS = ("confidence", "annotation", "pca_x", "pca_y", "analyses", "raw_annotations", "guideline_improvement")
 
 
 def upsert_relabelled(annotations: DataFrame, new_rows: DataFrame,
                       text: str = "text_to_annotate", uid: str = "uid") -> DataFrame:
-    """New rows replace the annotation with the same uid, else the same
-    text; rows matching nothing are appended. New rows are flagged
-    ``is_reannotated``."""
+    """New rows replace the annotation with the same uid, else one with the same
+    text (the lowest uid of those no new row matches by uid); rows matching nothing
+    are appended. New rows are flagged ``is_reannotated``."""
     new_uids = new_rows.where(F.col(uid).isNotNull()).select(F.col(uid).alias("_u")).distinct()
     uid_hit = annotations.select(F.col(uid).alias("_u")).where(F.col("_u").isNotNull()).distinct()
     # New rows whose uid is unknown fall back to text matching.
     by_text = (new_rows.join(uid_hit, new_rows[uid] == uid_hit["_u"], "left_anti")
                .select(text_key(text).alias("_tk")).distinct())
     keep = (annotations.join(new_uids, annotations[uid] == new_uids["_u"], "left_anti")
-            .withColumn("_tk", text_key(text))
-            .join(by_text, "_tk", "left_anti").drop("_tk"))
+            .withColumn("_tk", text_key(text)))
+    replaced = (keep.join(by_text, "_tk", "left_semi").groupBy(F.col("_tk").alias("_k")).agg(F.min(uid).alias("_first")))
+    keep = keep.join(replaced, (F.col("_tk") == F.col("_k")) & F.col(uid).eqNullSafe(F.col("_first")), "left_anti").drop("_tk")
     fresh = new_rows.withColumn("is_reannotated", F.lit(True))
     if "is_reannotated" not in keep.columns:
         keep = keep.withColumn("is_reannotated", F.lit(False))
@@ -39,20 +41,18 @@ def upsert_relabelled(annotations: DataFrame, new_rows: DataFrame,
 def update_edge_cases(edge_cases: DataFrame, new_rows: DataFrame,
                       text: str = "text_to_annotate", uid: str = "uid") -> DataFrame:
     """J7 (edge side): an edge case matched by a new row (uid, else text)
-    takes the new values; coordinates come from the new row when present."""
-    nu = new_rows.where(F.col(uid).isNotNull()).groupBy(F.col(uid).alias("_u")).agg(
-        F.min(F.struct("confidence", "annotation", "pca_x", "pca_y")).alias("_nu"))
-    nt = new_rows.groupBy(text_key(text).alias("_tk")).agg(
-        F.min(F.struct("confidence", "annotation", "pca_x", "pca_y")).alias("_nt"))
+    takes the new row's values, the answer and the rule included; coordinates
+    come from the new row when present."""
+    fields = [c for c in EDGE_FIELDS if c in edge_cases.columns and c in new_rows.columns]
+    values = F.min(F.struct(*fields))
+    nu = new_rows.where(F.col(uid).isNotNull()).groupBy(F.col(uid).alias("_u")).agg(values.alias("_nu"))
+    nt = new_rows.groupBy(text_key(text).alias("_tk")).agg(values.alias("_nt"))
     e = (edge_cases.withColumn("_tk", text_key(text))
          .join(nu, edge_cases[uid] == nu["_u"], "left").join(nt, "_tk", "left"))
     pick = F.coalesce(F.col("_nu"), F.col("_nt"))
     return e.select(
-        *[c for c in edge_cases.columns if c not in ("confidence", "annotation", "pca_x", "pca_y")],
-        F.coalesce(pick["confidence"], F.col("confidence")).alias("confidence"),
-        F.coalesce(pick["annotation"], F.col("annotation")).alias("annotation"),
-        F.coalesce(pick["pca_x"], F.col("pca_x")).alias("pca_x"),
-        F.coalesce(pick["pca_y"], F.col("pca_y")).alias("pca_y"),
+        *[c for c in edge_cases.columns if c not in fields],
+        *[F.coalesce(pick[c], F.col(c)).alias(c) for c in fields],
         pick.isNotNull().alias("updated"))
 
 

@@ -57,7 +57,7 @@ def paired_confidence_change(paired: DataFrame) -> DataFrame:
 
 
 def round_counts(before: DataFrame, after: DataFrame, key: str = "uid") -> DataFrame:
-    """Row counts of both rounds and whether they hold the same ids.
+    """Row counts of both rounds and whether they hold the same ids, each as often.
 
     One tagged union, one partial aggregate per id, one global aggregate.
     """
@@ -72,11 +72,12 @@ def round_counts(before: DataFrame, after: DataFrame, key: str = "uid") -> DataF
         F.coalesce(F.sum(F.when(~known, F.col("na"))), F.lit(0)).cast("bigint").alias("null_ids_after"),
         F.count_if(known & (F.col("nb") > 0) & (F.col("na") == 0)).alias("ids_only_before"),
         F.count_if(known & (F.col("na") > 0) & (F.col("nb") == 0)).alias("ids_only_after"),
+        F.count_if(known & (F.col("na") != F.col("nb"))).alias("_uneven"),
     )
     same = ((F.col("rows_before") == F.col("rows_after")) & (F.col("ids_only_before") == 0)
             & (F.col("ids_only_after") == 0) & (F.col("null_ids_before") == 0)
-            & (F.col("null_ids_after") == 0))
-    return out.withColumn("same_ids", same)
+            & (F.col("null_ids_after") == 0) & (F.col("_uneven") == 0))
+    return out.withColumn("same_ids", same).drop("_uneven")
 
 
 # --- J5 / J6 --------------------------------------------------------------------

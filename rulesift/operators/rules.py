@@ -20,6 +20,7 @@ RULES_PER_CLUSTER = 15     # target cluster size: n div 15 + 1 clusters
 SMALL_N, MID_N = 20, 40
 MID_LIMITS, LARGE_LIMITS = (5, 20), (10, 20)
 
+# Fixed value: the columns of a cluster result, in their published order.
 OUTPUT_FIELDS = ("text_to_annotate", "uid", "edge_case_id", "pca_x", "pca_y", "raw_annotations",
                  "analyses", "annotation", "confidence", "guideline_improvement")
 
@@ -125,23 +126,20 @@ def assign_final_rules(edge_rows: DataFrame, members: DataFrame) -> DataFrame:
     return out.select(*present, "low_level_rule")
 
 
-MAX_SAVED_RULES = 20_000   # a guideline is one prompt-sized string
-
-
-def complete_guideline(guidelines: DataFrame, saved: DataFrame) -> DataFrame:
+def complete_guideline(guidelines: DataFrame, saved: DataFrame, max_rules: int | None = None) -> DataFrame:
     """Guideline + ``Edge Case Handling:`` + saved rules numbered 1..n in
     ascending cluster order (per task); rules with a null number are left out
     (ledger L12).
 
-    The result is one string per task that goes into every prompt, so the
-    number of rules per task is checked first with a bounded aggregate: more
-    than ``MAX_SAVED_RULES`` is an input error (nothing is silently dropped)
-    rather than a list collected into one task.
+    The result is one string per task that goes into every prompt. A caller
+    whose model bounds the prompt gives ``max_rules``; more rules than that
+    in one task are an error (nothing is dropped).
     """
     s = saved.where(F.col("cluster_no").isNotNull() & F.col("rule").isNotNull())
-    most = s.groupBy("task_id").count().agg(F.max("count")).first()[0] or 0
-    if most > MAX_SAVED_RULES:
-        raise ValueError(f"a task has {most} saved rules; a guideline takes at most {MAX_SAVED_RULES}")
+    if max_rules is not None:
+        most = s.groupBy("task_id").count().agg(F.max("count")).first()[0] or 0
+        if most > max_rules:
+            raise ValueError(f"a task has {most} saved rules; the guideline takes at most {max_rules}")
     lists = s.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("cluster_no", "rule"))).alias("_l"))
     numbered = F.transform("_l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["rule"]))
     j = guidelines.join(lists, "task_id", "left")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulesift.functions.parse import parse_annotations
-from rulesift.functions.text import guideline_label_lines, render_prompt
+from rulesift.functions.text import guideline_label_lines, split_template
 from rulesift.operators import cache as C
 from rulesift.operators import features as M
 from rulesift.operators import rounds as R
@@ -21,7 +21,7 @@ from rulesift.operators import rules as RU
 from rulesift.operators.balance import balanced_clusters
 from rulesift.operators.generalise import Synthesizer, generalise, merge_similar, offline_synthesizer
 from rulesift.operators.identity import assign_ids
-from rulesift.operators.registry import upsert_relabelled
+from rulesift.operators.registry import update_edge_cases, upsert_relabelled
 from rulesift.session import cut_lineage
 from rulesift.sources.ingest import clean_examples, input_report, raise_on_violations, read_round
 from rulesift.sources.sinks import write_round
@@ -35,7 +35,6 @@ DEFAULT_TEMPLATE = (
     "Answer as JSON with the keys analysis, annotation, confidence, new_edge_case, new_edge_case_rule.\n"
     "<text>\n{text}\n</text>\n"
 )
-MAX_GUIDELINE_CHARS = 1 << 20      # the one guideline row is broadcast; its size is checked
 
 
 @dataclass
@@ -45,20 +44,47 @@ class Plugins:
     synthesizer: Synthesizer = offline_synthesizer
     annotate_model: str = "annotator"
     embed_model: str = "hashing-64"
+    synthesize_model: str = "synthesizer"
+    tasks: int | None = None       # tasks that calls are dealt over; default: a multiple of the cores
+
+
+@dataclass
+class Increment:
+    """B3's tables: annotations and edge cases after the upsert, and the registry's additions."""
+
+    annotations: DataFrame
+    edge_cases: DataFrame | None
+    registry: DataFrame
 
 
 def offline_plugins() -> Plugins:
     return Plugins(annotator=C.offline_annotator(), embedder=C.hashing_embedder(64))
 
 
-def _guideline_row(guidelines: DataFrame, task_id: str) -> DataFrame:
-    g = guidelines.where(F.col("task_id") == task_id).select("task_id", "guideline")
-    size = g.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("guideline")).alias("c")).first()
-    if size["n"] != 1:
-        raise ValueError(f"expected one guideline for task {task_id!r}, found {size['n']}")
-    if (size["c"] or 0) > MAX_GUIDELINE_CHARS:
-        raise ValueError(f"guideline of task {task_id!r} is larger than {MAX_GUIDELINE_CHARS} characters")
-    return F.broadcast(g.withColumn("labels", guideline_label_lines("guideline")))
+def _guideline(guidelines: DataFrame, task_id: str) -> tuple[str, list[str]]:
+    """The task's one guideline and its labels: a prompt-sized string, part of every call."""
+    rows = (guidelines.where(F.col("task_id") == task_id)
+            .select("guideline", guideline_label_lines("guideline").alias("labels")).limit(2).collect())
+    if len(rows) != 1:
+        raise ValueError(f"expected one guideline for task {task_id!r}, found {'several' if rows else 'none'}")
+    return rows[0]["guideline"], rows[0]["labels"]
+
+
+def _answer(ex: DataFrame, guidelines: DataFrame, task_id: str, work_dir: str, plugins: Plugins,
+            template: str) -> DataFrame:
+    """F3 -> J2 -> F4-F6. A failed call keeps its error and gets no label, confidence or flag."""
+    guideline, labels = _guideline(guidelines, task_id)
+    head, middle, tail = split_template(template)
+    answered = C.respond_with_cache(
+        ex.select("uid", "ordinal", "text_to_annotate"), f"{work_dir}/response_cache", plugins.annotate_model,
+        plugins.annotator, prompt="text_to_annotate", context=template + guideline,
+        render=lambda text: head + guideline + middle + text + tail, tasks=plugins.tasks)
+    parsed = parse_annotations(answered.withColumnRenamed("response", "raw_annotations")
+                               .withColumn("labels", F.array(*map(F.lit, labels)).cast("array<string>")), labels="labels")
+    ok = F.col("error").isNull()
+    for c in ("annotation", "confidence", "new_edge_case", "parse_ok"):
+        parsed = parsed.withColumn(c, F.when(ok, F.col(c)))
+    return parsed
 
 
 def annotate_round(examples: DataFrame, guidelines: DataFrame, task_id: str, round_no: int, work_dir: str,
@@ -93,62 +119,59 @@ def annotate_round(examples: DataFrame, guidelines: DataFrame, task_id: str, rou
         placed = placed.withColumn("pca_x", F.lit(0.0)).withColumn("pca_y", F.lit(0.0))
     placed = placed.select("uid", "cluster", "pca_x", "pca_y")
 
-    g = _guideline_row(guidelines, task_id)
-    req = ex.join(g, "task_id").withColumn("prompt", render_prompt(template, F.col("guideline"),
-                                                                   F.col("text_to_annotate")))
-    answered = C.respond_with_cache(req.select("uid", "ordinal", "text_to_annotate", "labels", "prompt"),
-                                    f"{work_dir}/response_cache", plugins.annotate_model, plugins.annotator)
-    parsed = parse_annotations(answered.withColumnRenamed("response", "raw_annotations"), labels="labels")
+    parsed = _answer(ex, guidelines, task_id, work_dir, plugins, template)
     out = (parsed.join(placed, "uid", "left")
            .select(F.lit(task_id).alias("task_id"), F.lit(round_no).alias("round"), "uid", "ordinal",
                    "text_to_annotate", "cluster", "pca_x", "pca_y", "raw_annotations", "analyses", "annotation",
-                   "confidence", "new_edge_case", "guideline_improvement", "parse_ok",
+                   "confidence", "new_edge_case", "guideline_improvement", "parse_ok", "error",
                    F.lit(False).alias("is_reannotated")))
     if out_path is None:
         return out
     write_round(out, out_path)
-    return read_round(spark, out_path, task_id, round_no).select(*out.columns)
+    return read_round(spark, out_path, task_id, round_no, out.schema).select(*out.columns)
 
 
 def discover_edge_cases(annotations: DataFrame, task_id: str, round_no: int, work_dir: str, plugins: Plugins,
-                        require_flag: bool = False) -> tuple[DataFrame, DataFrame]:
+                        require_flag: bool = False, guideline: str = "") -> tuple[DataFrame, DataFrame]:
     """B2: P5/P6 -> M1 -> M6-M8 -> W1 -> A7 -> M10/F7 -> J8 -> A8 -> merge -> J9 -> J10/P7.
 
-    Returns ``(suggestions(rule_key, rule_no, rule), edge_cases)``.
+    Returns ``(suggestions(rule_key, rule_no, rule), edge_cases)``. ``edge_cases`` has one row for each row with a
+    proposed rule and the same columns for any number of rules. A rule whose embedding failed keeps its row with
+    ``embed_error``, without a place and without a general rule (L11). ``guideline`` is part of the synthesizer's prompt.
     """
     spark = annotations.sparkSession
     rules = cut_lineage(RU.proposed_rules(annotations, require_flag=require_flag))
     emb = C.embed_with_cache(rules, f"{work_dir}/embedding_cache", plugins.embed_model,
-                             plugins.embedder, text="condition")
+                             plugins.embedder, text="condition", tasks=plugins.tasks)
     vec = M.with_vector(emb)
     n = vec.count()
-    empty_sugg = spark.createDataFrame([], "rule_key string, rule_no int, rule string")
-    if n == 0:                                                   # M9
-        return empty_sugg, rules.limit(0)
-    if n == 1:                                                   # M9: its own edge case 0 at (0, 0)
-        one = RU.single_rule_cases(rules.withColumn("task_id", F.lit(task_id)))
-        sugg = one.select(F.lit("edge_case_0").alias("rule_key"), F.lit(0).alias("rule_no"),
-                          F.col("guideline_improvement").alias("rule"))
-        return sugg, rules.join(one.select("uid", "edge_case_id", "pca_x", "pca_y"), "uid")
-    clusters = balanced_clusters(emb.select("uid", "embedding"))
-    pca, _ = M.load_or_fit(spark, f"{work_dir}/models", task_id, round_no, "rule_pca", vec, M.fit_projection)
-    placed = M.project(pca, vec).select("uid", "pca_x", "pca_y")
-    numbered = RU.number_in_cluster(rules.drop("pca_x", "pca_y", "cluster").join(clusters, "uid"))
-    cats = generalise(RU.numbered_lists(numbered), plugins.synthesizer)
-    mapped = RU.map_members(cats, numbered)
-    ordered = RU.rule_order(mapped)
-    k = n // RU.RULES_PER_CLUSTER + 1
-    if k == 1:                                                   # one cluster: no global merge
+    rows = rules.drop("pca_x", "pca_y", "cluster").join(emb.select("uid", "embed_error"), "uid", "left")
+    if n > 1:
+        pca, _ = M.load_or_fit(spark, f"{work_dir}/models", task_id, round_no, "rule_pca", vec, M.fit_projection)
+        placed = M.project(pca, vec).select("uid", "pca_x", "pca_y")
+        numbered = RU.number_in_cluster(rows.join(balanced_clusters(emb.where("embedding is not null").select("uid", "embedding")), "uid"))
+        cats = generalise(RU.numbered_lists(numbered), plugins.synthesizer, guideline=guideline, model=plugins.synthesize_model,
+                          cache_path=f"{work_dir}/response_cache", tasks=plugins.tasks)
+        mapped = RU.map_members(cats, numbered)
+        ordered = RU.rule_order(mapped)
+    else:                                                        # M9: at most one rule, its own edge case 0 at (0, 0)
+        zero = F.lit(0.0)
+        placed = vec.select("uid", zero.alias("pca_x"), zero.alias("pca_y"))
+        mapped = rows.join(vec.select("uid"), "uid", "left_semi").select(
+            "uid", F.col("guideline_improvement").alias("category_description"))
+        ordered = mapped.select(F.lit(1).cast("long").alias("rule_no"), F.col("category_description").alias("rule"))
+    if n // RU.RULES_PER_CLUSTER + 1 == 1:                       # one cluster: no global merge
         merges = spark.createDataFrame([], "block string, merge_no int, member long, merged_rule string")
     else:
         comp = merge_similar(ordered)
         merges = comp.where(F.col("rule_no") != F.col("component")).select(
-            F.lit("lsh").alias("block"), F.col("component").cast("int").alias("merge_no"),
+            F.lit("similar").alias("block"), F.col("component").cast("int").alias("merge_no"),
             "rule_no", "merged_rule").withColumnRenamed("rule_no", "member")
     merged = RU.merge_rules(ordered, merges)
     members = (mapped.join(ordered, mapped["category_description"] == ordered["rule"]).select("uid", "rule_no")
                .join(merged, "rule_no").select("uid", "final_no", "final_rule"))
-    edge = RU.assign_final_rules(numbered.join(placed, "uid", "left"), members)
+    edge = RU.assign_final_rules(rows.join(placed, "uid", "left"), members)
+    edge = edge.join(emb.select("uid", "embed_error"), "uid", "left")
     sugg = merged.select(F.concat(F.lit("edge_case_"), F.col("final_no").cast("string")).alias("rule_key"),
                          F.col("final_no").alias("rule_no"), F.col("final_rule").alias("rule")).distinct()
     return sugg, edge
@@ -156,35 +179,36 @@ def discover_edge_cases(annotations: DataFrame, task_id: str, round_no: int, wor
 
 def annotate_increment(new_examples: DataFrame, annotations: DataFrame, guidelines: DataFrame, task_id: str,
                        round_no: int, work_dir: str, plugins: Plugins, registry: DataFrame | None = None,
-                       template: str = DEFAULT_TEMPLATE) -> DataFrame:
-    """Score new examples with the round's stored models (no refit) and
-    upsert them into the annotations (J7). Fails clearly when the round has no
-    models (ledger L23)."""
+                       template: str = DEFAULT_TEMPLATE, edge_cases: DataFrame | None = None,
+                       check: bool = True) -> Increment:
+    """P14 -> score new examples with the round's stored models (no refit) and
+    upsert them into the annotations and the edge cases (J7). Fails clearly when
+    the round has no models (ledger L23)."""
+    from pyspark.ml import PipelineModel
     spark = new_examples.sparkSession
-    root = f"{work_dir}/models"
-    try:
-        from pyspark.ml import PipelineModel
-        km = PipelineModel.load(M.model_path(root, task_id, round_no, "text_kmeans") + "/model")
-        pca = PipelineModel.load(M.model_path(root, task_id, round_no, "text_pca") + "/model")
-    except Exception as e:  # noqa: BLE001
-        raise RuntimeError(f"no fitted models for task {task_id!r} round {round_no}; run annotate_round first") from e
-    ex, _ = assign_ids(clean_examples(new_examples.where(F.col("task_id") == task_id)), registry)
+    paths = [M.model_path(f"{work_dir}/models", task_id, round_no, m) + "/model" for m in ("text_kmeans", "text_pca")]
+    if not all(C.path_exists(spark, p) for p in paths):
+        raise RuntimeError(f"no fitted models for task {task_id!r} round {round_no}; run annotate_round first")
+    km, pca = (PipelineModel.load(p) for p in paths)
+    new = new_examples.where(F.col("task_id") == task_id)
+    if check:
+        raise_on_violations(input_report(new, guidelines.where(F.col("task_id") == task_id)))
+    ex, additions = assign_ids(clean_examples(new), registry)
     ex = cut_lineage(ex)
     emb = C.embed_with_cache(ex.select("uid", "text_to_annotate"), f"{work_dir}/embedding_cache",
                              plugins.embed_model, plugins.embedder, text="text_to_annotate")
     placed = M.project(pca, M.assign_clusters(km, M.with_vector(emb))).select("uid", "cluster", "pca_x", "pca_y")
-    g = _guideline_row(guidelines, task_id)
-    req = ex.join(g, "task_id").withColumn("prompt", render_prompt(template, F.col("guideline"),
-                                                                   F.col("text_to_annotate")))
-    answered = C.respond_with_cache(req.select("uid", "ordinal", "text_to_annotate", "labels", "prompt"),
-                                    f"{work_dir}/response_cache", plugins.annotate_model, plugins.annotator)
-    parsed = parse_annotations(answered.withColumnRenamed("response", "raw_annotations"), labels="labels")
+    parsed = _answer(ex, guidelines, task_id, work_dir, plugins, template)
     new_rows = parsed.join(placed, "uid", "left").select(
         F.lit(task_id).alias("task_id"), F.lit(round_no).alias("round"), "uid", "ordinal", "text_to_annotate",
         "cluster", "pca_x", "pca_y", "raw_annotations", "analyses", "annotation", "confidence", "new_edge_case",
-        "guideline_improvement", "parse_ok")
+        "guideline_improvement", "parse_ok", "error")
     new_rows = project_rules(new_rows, task_id, round_no, work_dir, plugins)
-    return upsert_relabelled(annotations, new_rows)
+    updated = None
+    if edge_cases is not None:
+        at_rules = new_rows.drop("pca_x", "pca_y").withColumnsRenamed({"edge_case_pca_x": "pca_x", "edge_case_pca_y": "pca_y"})
+        updated = update_edge_cases(edge_cases, at_rules)
+    return Increment(upsert_relabelled(annotations, new_rows), updated, additions)
 
 
 def project_rules(rows: DataFrame, task_id: str, round_no: int, work_dir: str, plugins: Plugins) -> DataFrame:
@@ -195,10 +219,10 @@ def project_rules(rows: DataFrame, task_id: str, round_no: int, work_dir: str, p
     from pyspark.ml import PipelineModel
     nulls = rows.withColumn("edge_case_pca_x", F.lit(None).cast("double")) \
         .withColumn("edge_case_pca_y", F.lit(None).cast("double"))
-    try:
-        model = PipelineModel.load(M.model_path(f"{work_dir}/models", task_id, round_no, "rule_pca") + "/model")
-    except Exception:  # noqa: BLE001 - B2 has not run for this round
+    path = M.model_path(f"{work_dir}/models", task_id, round_no, "rule_pca") + "/model"
+    if not C.path_exists(rows.sparkSession, path):               # B2 has not run for this round
         return nulls
+    model = PipelineModel.load(path)
     flagged = RU.proposed_rules(rows.select("uid", "guideline_improvement", "new_edge_case"), require_flag=True)
     emb = C.embed_with_cache(flagged.select("uid", "condition"), f"{work_dir}/embedding_cache",
                              plugins.embed_model, plugins.embedder, text="condition")
@@ -213,7 +237,7 @@ def iterate(examples: DataFrame, guidelines: DataFrame, saved_rules: DataFrame,
     with ``out_path`` the new round is one more partition of the rounds table)."""
     complete = RU.complete_guideline(guidelines.where(F.col("task_id") == task_id), saved_rules)
     ann = annotate_round(examples, complete, task_id, next_round, work_dir, plugins, registry, out_path=out_path)
-    sugg, edge = discover_edge_cases(ann, task_id, next_round, work_dir, plugins)
+    sugg, edge = discover_edge_cases(ann, task_id, next_round, work_dir, plugins, guideline=_guideline(complete, task_id)[0])
     return {"guideline": complete, "annotations": ann, "suggestions": sugg, "edge_cases": edge}
 
 

@@ -50,7 +50,7 @@ def annotate_increment(spark, sf_dir):
     new = table(spark, sf_dir, "benchmark").select(
         F.lit(TASK_ID).alias("task_id"), F.col("item_id").alias("ordinal"), F.col("text").alias("text_to_annotate"))
     out = J.annotate_increment(new, ann, _guidelines(spark), TASK_ID, 0, work, J.offline_plugins())
-    return out.select("uid", "cluster", "annotation", "confidence", "is_reannotated")
+    return out.annotations.select("uid", "cluster", "annotation", "confidence", "is_reannotated")
 
 
 @register("iterate")

@@ -8,6 +8,7 @@ from rulesift.operators import features as M
 from rulesift.operators.balance import balanced_clusters
 from rulesift.operators.generalise import generalise, merge_similar
 from rulesift.operators.rules import numbered_lists
+from rulesift.plans import rules_queries
 from rulesift.plans.catalog import register
 from rulesift.plans.fixtures import with_views
 from rulesift.session import ensure_checkpoint_dir, shared_path, table
@@ -87,8 +88,27 @@ def generalise_rules(spark, sf_dir):
     return generalise(numbered_lists(numbered(spark, sf_dir)))
 
 
-@register("merge_similar_rules")
+_MERGE_SQL = rules_queries._CHAIN + r"""
+, nrm AS (SELECT rule_no, rule, regexp_replace(lower(trim(rule)), '\s+', ' ', 'g') AS norm FROM ordered),
+st AS (SELECT rule_no, norm, list_distinct(list_filter(regexp_split_to_array(norm, '\W+'), lambda w: w <> '')) AS ws FROM nrm),
+wd AS (SELECT rule_no, len(ws) AS size, unnest(ws) AS w FROM st),
+lk AS (SELECT a.rule_no AS a, b.rule_no AS b FROM wd a JOIN wd b ON a.w = b.w AND a.rule_no <> b.rule_no
+       GROUP BY 1, 2, a.size, b.size HAVING 100 * count(*) >= 80 * (a.size + b.size - count(*))
+       UNION SELECT x.rule_no, y.rule_no FROM nrm x JOIN nrm y ON x.norm = y.norm AND x.rule_no <> y.rule_no),
+hop1 AS (SELECT rule_no AS a, rule_no AS b FROM nrm UNION SELECT a, b FROM lk),
+hop2 AS (SELECT DISTINCT x.a, y.b FROM hop1 x JOIN hop1 y ON x.b = y.a),
+hop4 AS (SELECT DISTINCT x.a, y.b FROM hop2 x JOIN hop2 y ON x.b = y.a),
+hop8 AS (SELECT DISTINCT x.a, y.b FROM hop4 x JOIN hop4 y ON x.b = y.a),
+hop16 AS (SELECT DISTINCT x.a, y.b FROM hop8 x JOIN hop8 y ON x.b = y.a),
+hop32 AS (SELECT DISTINCT x.a, y.b FROM hop16 x JOIN hop16 y ON x.b = y.a),
+cmp AS (SELECT a AS rule_no, min(b) AS component FROM hop32 GROUP BY a)
+SELECT CAST(c.rule_no AS BIGINT) AS rule_no, CAST(c.component AS BIGINT) AS component, n.rule AS merged_rule
+FROM cmp c JOIN nrm n ON n.rule_no = c.component
+"""
+
+
+@register("merge_similar_rules", with_views(_MERGE_SQL))
 def merge_similar_rules(spark, sf_dir):
-    """Similar generalised rules merged (LSH blocking, star links, components)."""
+    """Similar generalised rules merged (exact links, components)."""
     from rulesift.plans.rules_queries import rule_chain
     return merge_similar(rule_chain(spark, sf_dir)["ordered"])

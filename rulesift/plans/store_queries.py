@@ -103,7 +103,9 @@ def run_cost(spark, sf_dir):
         F.ceil(F.length("prompt") / 4.0).cast("bigint").alias("input_tokens"),
         (60 + F.floor(F.length("text_to_annotate") / 100)).cast("bigint").alias("output_tokens"),
         F.lit(False).alias("cache_hit")).distinct()
-    return C.run_cost(calls)
+    prices = spark.createDataFrame([("annotator", 2.0, 8.0), ("synthesizer", 0.55, 2.19)],
+                                   "model string, input_usd_per_mtok double, output_usd_per_mtok double")
+    return C.run_cost(calls, prices)
 
 
 @register("embedding_cache", with_views("""
@@ -140,9 +142,11 @@ bt AS (SELECT DISTINCT text_to_annotate FROM nw
 
 
 @register("upsert_relabelled", with_views(_NEW_SQL + """
-SELECT uid, doc_id, confidence, false AS is_reannotated FROM r0
-WHERE (uid IS NULL OR uid NOT IN (SELECT uid FROM nw WHERE uid IS NOT NULL))
-  AND text_to_annotate NOT IN (SELECT text_to_annotate FROM bt)
+, un AS (SELECT * FROM r0 WHERE uid IS NULL OR uid NOT IN (SELECT uid FROM nw WHERE uid IS NOT NULL)),
+rp AS (SELECT text_to_annotate AS t, min(uid) AS u FROM un
+       WHERE text_to_annotate IN (SELECT text_to_annotate FROM bt) GROUP BY 1)
+SELECT uid, doc_id, confidence, false AS is_reannotated FROM un LEFT JOIN rp ON t = text_to_annotate
+WHERE t IS NULL OR uid IS DISTINCT FROM u
 UNION ALL
 SELECT uid, doc_id, confidence, true FROM nw
 """))

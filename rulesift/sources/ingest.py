@@ -23,6 +23,7 @@ def read_texts_csv(spark: SparkSession, path: str, task_id: str) -> DataFrame:
     """
     raw = (spark.read.option("header", True).option("multiLine", True)
            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+           .option("enforceSchema", False)  # a file with other columns is an error, not read by position
            .csv(path))
     by_name = {c.strip().lower(): c for c in raw.columns}
     if TEXT_COLUMN not in by_name:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rulesift.operators.cache import path_exists
 from rulesift.operators.registry import upsert_relabelled
 from rulesift.plans.jobs import Plugins, annotate_increment
 from rulesift.schema import EXAMPLES
@@ -21,7 +22,7 @@ from rulesift.schema import EXAMPLES
 
 def start(spark: SparkSession, input_dir: str, out_dir: str, checkpoint: str, annotations: DataFrame,
           guidelines: DataFrame, task_id: str, round_no: int, work_dir: str, plugins: Plugins,
-          available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+          registry: DataFrame | None = None, available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
     reader = spark.readStream.schema(EXAMPLES)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -30,7 +31,7 @@ def start(spark: SparkSession, input_dir: str, out_dir: str, checkpoint: str, an
 
     def score(batch: DataFrame, epoch: int) -> None:
         # Score against an empty base: the batch's own rows, then persist them.
-        scored = annotate_increment(batch, base_empty, guidelines, task_id, round_no, work_dir, plugins)
+        scored = annotate_increment(batch, base_empty, guidelines, task_id, round_no, work_dir, plugins, registry).annotations
         scored.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={epoch}")
 
     w = stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
@@ -40,10 +41,9 @@ def start(spark: SparkSession, input_dir: str, out_dir: str, checkpoint: str, an
 
 def current_table(spark: SparkSession, annotations: DataFrame, out_dir: str) -> DataFrame:
     """Base annotations with every scored micro-batch upserted (latest batch wins per uid)."""
-    try:
-        inc = spark.read.parquet(out_dir)
-    except Exception:  # noqa: BLE001 - nothing scored yet
+    if not path_exists(spark, out_dir):  # nothing scored yet
         return annotations
+    inc = spark.read.parquet(out_dir)
     latest = (inc.groupBy("uid").agg(F.max_by(F.struct(*[c for c in inc.columns if c not in ("uid", "batch")]),
                                               "batch").alias("_l"))
               .select("uid", "_l.*"))

@@ -196,14 +196,14 @@ def test_response_cache_second_run_all_hits(spark):
 
 
 def test_embedding_halving_retry(spark):
-    from rulesift.operators.cache import _embed_with_halving
+    from rulesift.operators.cache import call_halving
 
     def flaky(texts):
         if any("bad" in t for t in texts):
             raise RuntimeError("boom")
         return [[1.0, 0.0] for _ in texts]
 
-    out = _embed_with_halving(flaky, ["a", "bad", "c", "d"])
+    out = call_halving(flaky, ["a", "bad", "c", "d"])
     assert [e is None for _, e in out] == [True, False, True, True]
     assert out[1][0] is None and out[0][0] == [1.0, 0.0]
 
