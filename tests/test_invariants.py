@@ -353,7 +353,7 @@ def test_increment_projects_new_edge_rules(spark):
     J.discover_edge_cases(ann, "docs", 0, work, J.offline_plugins())          # fits the round's rule model
     new = spark.read.parquet(f"{SF001}/benchmark.parquet").select(
         F.lit("docs").alias("task_id"), F.col("item_id").alias("ordinal"), F.col("text").alias("text_to_annotate"))
-    out = J.annotate_increment(new, ann, _guidelines(spark), "docs", 0, work, J.offline_plugins())
+    out = J.annotate_increment(new, ann, _guidelines(spark), "docs", 0, work, J.offline_plugins()).annotations
     fresh = out.where("is_reannotated").collect()
     flagged = [r for r in fresh if r["new_edge_case"] and r["guideline_improvement"] not in (None, "EMPTY")]
     assert flagged and all(r["edge_case_pca_x"] is not None for r in flagged)
