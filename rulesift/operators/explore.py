@@ -162,9 +162,10 @@ def attach_rule_text(df: DataFrame, suggestions: DataFrame, **kw) -> DataFrame:
 
 # --- O1 - O6 ----------------------------------------------------------------------
 
-def sort_keys(df: DataFrame, option: str, change: str | None = None) -> DataFrame:
-    """Add ``sort_group`` / ``sort_value`` for a list sort option
-    (ascending direction); order by them, then ``uid``."""
+def sort_keys(df: DataFrame, option: str, change: str | None = None, ascending: bool = True) -> DataFrame:
+    """Add ``sort_group`` / ``sort_value`` for a list sort option; order by
+    them, then ``uid``. The other direction turns the values around, never the
+    groups: new rows (O1) and gained or lost rows (O3) stay first."""
     conf = F.coalesce(F.col("confidence"), F.lit(0.0))
     if option == "new":                       # O1
         grp = F.when(F.coalesce(F.col("is_reannotated"), F.lit(False)), 0).otherwise(1)
@@ -183,26 +184,32 @@ def sort_keys(df: DataFrame, option: str, change: str | None = None) -> DataFram
         val = F.when(a == "-1", -1.0).when(a == "1", 1.0).otherwise(0.0)
     else:
         raise ValueError(f"unknown sort option {option!r}")
-    return df.withColumn("sort_group", grp.cast("int")).withColumn("sort_value", val.cast("double"))
+    val = val.cast("double") if ascending else -val.cast("double")
+    return df.withColumn("sort_group", grp.cast("int")).withColumn("sort_value", val)
 
 
-def sort_rows(df: DataFrame, option: str, change: str | None = None) -> DataFrame:
+def sorting(df: DataFrame, option: str, change: str | None = None, ascending: bool = True) -> tuple[DataFrame, list[Column]]:
+    """The rows with their sort keys, if the option has any, and the order."""
     if option == "alphabetical":              # O5, locale-aware collation
-        return df.orderBy(F.collate(F.coalesce(F.col("text_to_annotate"), F.lit("")), "UNICODE"), "uid")
-    keyed = sort_keys(df, option, change)
-    return keyed.orderBy("sort_group", "sort_value", "uid")
+        text = F.collate(F.coalesce(F.col("text_to_annotate"), F.lit("")), "UNICODE")
+        return df, [text.asc() if ascending else text.desc(), F.col("uid").asc()]
+    return sort_keys(df, option, change, ascending), [F.col("sort_group").asc(), F.col("sort_value").asc(), F.col("uid").asc()]
+
+
+def sort_rows(df: DataFrame, option: str, change: str | None = None, ascending: bool = True) -> DataFrame:
+    keyed, order = sorting(df, option, change, ascending)
+    return keyed.orderBy(*order)
 
 
 def page(df: DataFrame, option: str, pages: int = 1, pinned_uid: str | None = None,
-         pinned_text: str | None = None, change: str | None = None) -> DataFrame:
+         pinned_text: str | None = None, change: str | None = None, ascending: bool = True) -> DataFrame:
     """The first ``pages * 50`` rows of a sort plus the selected row when it
     falls outside. ``page_rank`` is 1-based; the pinned row comes last."""
-    keyed = sort_keys(df, option, change)
+    keyed, order = sorting(df, option, change, ascending)
     k = PAGE_SIZE * pages
-    top = keyed.orderBy("sort_group", "sort_value", "uid").limit(k)
+    top = keyed.orderBy(*order).limit(k)
     # k rows only: a window without a partition is fine here.
-    top = top.withColumn("page_rank", F.row_number().over(
-        Window.orderBy("sort_group", "sort_value", "uid")).cast("bigint"))
+    top = top.withColumn("page_rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     if pinned_uid is None and pinned_text is None:
         return top
     cond = F.lit(False)
@@ -215,7 +222,7 @@ def page(df: DataFrame, option: str, pages: int = 1, pinned_uid: str | None = No
     # page (k rows) does not already show it - a check on at most k rows.
     if top.where(cond).limit(1).count() > 0:
         return top
-    sel = (keyed.where(cond).orderBy("sort_group", "sort_value", "uid").limit(1)
+    sel = (keyed.where(cond).orderBy(*order).limit(1)
            .withColumn("page_rank", F.lit(k + 1).cast("bigint")))
     return top.unionByName(sel)
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulesift.functions.text import rule_key_number, text_key, ws_trim
+from rulesift.operators.rounds import spread_uid
 
 DEFAULT_LABEL = "0"
 DEFAULT_CONFIDENCE = 50.0
@@ -26,10 +27,10 @@ def upsert_relabelled(annotations: DataFrame, new_rows: DataFrame,
     new_uids = new_rows.where(F.col(uid).isNotNull()).select(F.col(uid).alias("_u")).distinct()
     uid_hit = annotations.select(F.col(uid).alias("_u")).where(F.col("_u").isNotNull()).distinct()
     # New rows whose uid is unknown fall back to text matching.
-    by_text = (new_rows.join(uid_hit, new_rows[uid] == uid_hit["_u"], "left_anti")
-               .select(text_key(text).alias("_tk")).distinct())
-    keep = (annotations.join(new_uids, annotations[uid] == new_uids["_u"], "left_anti")
-            .withColumn("_tk", text_key(text)))
+    by_text = (new_rows.select(uid, text_key(text).alias("_tk")).withColumn("_uk", spread_uid(uid))
+               .join(uid_hit, F.col("_uk") == F.col("_u"), "left_anti").select("_tk").distinct())
+    keep = annotations.withColumn("_tk", text_key(text)).withColumn("_uk", spread_uid(uid))
+    keep = keep.join(new_uids, F.col("_uk") == F.col("_u"), "left_anti").drop("_uk")
     replaced = (keep.join(by_text, "_tk", "left_semi").groupBy(F.col("_tk").alias("_k")).agg(F.min(uid).alias("_first")))
     keep = keep.join(replaced, (F.col("_tk") == F.col("_k")) & F.col(uid).eqNullSafe(F.col("_first")), "left_anti").drop("_tk")
     fresh = new_rows.withColumn("is_reannotated", F.lit(True))
@@ -47,8 +48,8 @@ def update_edge_cases(edge_cases: DataFrame, new_rows: DataFrame,
     values = F.min(F.struct(*fields))
     nu = new_rows.where(F.col(uid).isNotNull()).groupBy(F.col(uid).alias("_u")).agg(values.alias("_nu"))
     nt = new_rows.groupBy(text_key(text).alias("_tk")).agg(values.alias("_nt"))
-    e = (edge_cases.withColumn("_tk", text_key(text))
-         .join(nu, edge_cases[uid] == nu["_u"], "left").join(nt, "_tk", "left"))
+    e = (edge_cases.withColumn("_tk", text_key(text)).withColumn("_uk", spread_uid(uid))
+         .join(nu, F.col("_uk") == F.col("_u"), "left").join(nt, "_tk", "left"))
     pick = F.coalesce(F.col("_nu"), F.col("_nt"))
     return e.select(
         *[c for c in edge_cases.columns if c not in fields],

@@ -101,6 +101,14 @@ def one_per_uid(df: DataFrame, keep: tuple[str, ...], uid: str = "uid") -> DataF
             .select(uid, *[F.col(f"_p.{c}").alias(c) for c in keep]))
 
 
+def spread_uid(uid: str = "uid", text_digest: str = "_tk") -> Column:
+    """A join key for uids: rows without one get keys of their own texts, which match no uid.
+
+    All null keys hash to one partition; an import without ids would send every row there.
+    """
+    return F.coalesce(F.col(uid), F.concat(F.lit("\u0000"), F.col(text_digest)))
+
+
 def match_rounds(current: DataFrame, previous: DataFrame,
                  keep: tuple[str, ...] = ("confidence", "new_edge_case", "annotation"),
                  text: str = "text_to_annotate", uid: str = "uid") -> DataFrame:
@@ -114,8 +122,8 @@ def match_rounds(current: DataFrame, previous: DataFrame,
     by_text = one_per_text(previous, keep, text, uid).select(
         "_tk", F.lit(True).alias("_t_hit"), F.col(uid).alias("_t_uid"),
         *[F.col(c).alias(f"_t_{c}") for c in keep])
-    cur = current.withColumn("_tk", text_key(text))
-    j = (cur.join(by_uid, cur[uid] == by_uid["_u_uid"], "left")
+    cur = current.withColumn("_tk", text_key(text)).withColumn("_uk", spread_uid(uid))
+    j = (cur.join(by_uid, F.col("_uk") == F.col("_u_uid"), "left")
          .join(by_text, "_tk", "left"))
     hit_uid = F.col("_u_uid").isNotNull()
     hit_text = F.col("_t_hit").isNotNull()
@@ -148,16 +156,16 @@ def membership(points: DataFrame, annotations: DataFrame, edge_cases: DataFrame,
         texts = target.where(F.col(text).isNotNull()).select(text_key(text).alias("_k")).distinct()
         return uids, texts, name
 
-    out = points.withColumn("_tk", text_key(text))
+    out = points.withColumn("_tk", text_key(text)).withColumn("_uk", spread_uid(uid))
     for target, name in ((annotations, "in_annotations"), (edge_cases, "in_edge_cases")):
         uids, texts, _ = flag(target, name)
         u = uids.withColumn("_hu", F.lit(True))
         t = texts.withColumn("_ht", F.lit(True))
-        out = (out.join(u, out[uid] == u["_k"], "left").drop("_k")
+        out = (out.join(u, out["_uk"] == u["_k"], "left").drop("_k")
                .join(t, out["_tk"] == t["_k"], "left").drop("_k")
                .withColumn(name, F.coalesce(F.col("_hu"), F.col("_ht"), F.lit(False)))
                .drop("_hu", "_ht"))
-    return out.drop("_tk")
+    return out.drop("_tk", "_uk")
 
 
 # --- A1 / A2 / A3 / A14 -----------------------------------------------------------
@@ -213,8 +221,8 @@ def confidence_shift_by_class(current: DataFrame, previous: DataFrame,
     cur_txt = one_per_text(current, keep, text, uid).select("_tk", F.col("confidence").alias("_ctc"),
                                                             F.lit(True).alias("_ct"))
     prev = previous.select(uid, F.coalesce(F.col("new_edge_case"), F.lit(False)).alias("prev_edge"),
-                           "confidence", text_key(text).alias("_tk"))
-    j = (prev.join(cur_uid, prev[uid] == cur_uid["_cu"], "left")
+                           "confidence", text_key(text).alias("_tk")).withColumn("_uk", spread_uid(uid))
+    j = (prev.join(cur_uid, F.col("_uk") == F.col("_cu"), "left")
          .join(cur_txt, "_tk", "left"))
     matched = F.col("_cu").isNotNull() | F.col("_ct").isNotNull()
     cur_conf = F.when(F.col("_cu").isNotNull(), F.col("_cuc")).otherwise(F.col("_ctc"))

@@ -138,3 +138,30 @@ def test_csv_columns_in_another_order_are_an_error(spark, tmp_path):
     (tmp_path / "b.csv").write_text("n,text_to_annotate\n3,world\n")
     with pytest.raises(Exception, match="(?i)header"):
         read_texts_csv(spark, str(tmp_path), "t").collect()
+
+
+def test_sorts_in_both_directions_and_alphabetical_pages(spark):
+    from rulesift.operators import explore as X
+    rows = [("a", "beta", 10.0, True), ("b", "Alpha", 90.0, False), ("c", "gamma", 50.0, True), ("d", None, None, False)]
+    df = spark.createDataFrame(rows, "uid string, text_to_annotate string, confidence double, is_reannotated boolean")
+    ids = lambda option, up: "".join(r.uid for r in X.sort_rows(df, option, ascending=up).collect())
+    assert (ids("confidence", True), ids("confidence", False)) == ("dacb", "bcad")
+    assert (ids("new", True), ids("new", False)) == ("cabd", "acdb")  # new rows first either way
+    assert (ids("alphabetical", True), ids("alphabetical", False)) == ("dbac", "cabd")
+    change = df.withColumn("confidence_change", F.col("confidence") - 40)
+    ids = lambda option, up: "".join(r.uid for r in X.sort_rows(change, option, ascending=up).collect())
+    assert (ids("confidence_increase", True), ids("confidence_increase", False)) == ("cbad", "bcda")
+    assert (ids("confidence_decrease", True), ids("confidence_decrease", False)) == ("abcd", "adcb")
+    page = X.page(df, "alphabetical", pinned_uid="a").orderBy("page_rank").collect()
+    assert [r.uid for r in page] == ["d", "b", "a", "c"]
+
+
+def test_rows_without_ids_are_spread(spark):
+    """Their join keys differ, so no partition gets all of them, and they match by text only."""
+    from rulesift.functions.text import text_key
+    from rulesift.operators.rounds import match_rounds, spread_uid
+    cur = spark.range(200).select(F.lit(None).cast("string").alias("uid"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text_to_annotate"),
+                                  F.lit(1.0).alias("confidence"), F.lit(False).alias("new_edge_case"), F.lit("0").alias("annotation"))
+    assert cur.withColumn("_tk", text_key("text_to_annotate")).select(spread_uid()).distinct().count() == 200
+    prev = cur.withColumn("uid", F.concat(F.lit("u"), F.col("text_to_annotate"))).limit(50)
+    assert match_rounds(cur, prev).where("match_way = 'text'").count() == 50
