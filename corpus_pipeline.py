@@ -16,10 +16,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulesift.llm import ngram_jaccard, suffix_dedup, toxicity
+from rulesift.llm import files, ngram_jaccard, suffix_dedup, toxicity
 from rulesift.llm.bpe_table import PrefixTable, encode
 from rulesift.llm.queries import contamination, read, vocabulary
-from rulesift.session import ensure_checkpoint_dir
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +75,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every result but the last is written and read again."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = files.scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -24,7 +24,6 @@ columns are ignored; an empty test set gives no hits and an empty table an empty
 
 from __future__ import annotations
 
-import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +32,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rulesift.llm import files
 from rulesift.llm import textarrays as T
-from rulesift.session import ensure_checkpoint_dir
 
 #: Words in an index block, and windows in a file of test windows (one longer text is a block of its own).
 BLOCK_WORDS = 500_000
@@ -224,7 +222,7 @@ class PositionalIndex:
     @staticmethod
     def build(docs: DataFrame, path: str | None = None) -> PositionalIndex:
         """Index every word of ``docs`` (doc_id, text) as a table at ``path`` (default: in the shared folder)."""
-        path = path or f"{ensure_checkpoint_dir(docs.sparkSession)}/positions-{uuid.uuid4().hex}"
+        path = path or files.scratch(docs.sparkSession, "positions")
         rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
         rows.mapInArrow(_index_blocks, _INDEX).write.option("compression", "none").parquet(path)
         return PositionalIndex(docs.sparkSession, path)
@@ -235,7 +233,7 @@ class PositionalIndex:
         matches. ``slop`` 0 leaves proximity out."""
         if not 1 <= width + slop < GAP:
             raise ValueError(f"width and slop together must stay under {GAP}")
-        folder = f"{ensure_checkpoint_dir(self.spark)}/windows-{uuid.uuid4().hex}"
+        folder = files.scratch(self.spark, "windows")
         rows = items.select(items["item_id"].cast("long").alias("item_id"), "text")
         paths = [r.path for r in rows.mapInArrow(_write_windows(folder, width), "path string").collect()]  # names of files only
         return self.spark.read.schema(_INDEX).parquet(self.path).mapInArrow(_search(sorted(paths), width, slop), _FOUND)

@@ -7,12 +7,16 @@ file of another; only names returned by successful tasks are read.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from rulesift.session import ensure_checkpoint_dir
 
 
 def size_hint(df: DataFrame) -> int:
@@ -28,6 +32,18 @@ def shards_for(df: DataFrame, bytes_each: int, most: int = 1 << 16) -> int:
     return 1 << (int(want) - 1).bit_length()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the session's shared folder; the driver removes it when it exits."""
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, folder)
+    return folder
+
+
+def _forget(folder: str) -> None:
+    with contextlib.suppress(OSError):  # gone with the shared folder, or out of reach at the end
+        delete(folder)
+
+
 def _open(uri: str):
     from pyarrow import fs
     return fs.FileSystem.from_uri(uri if "://" in uri else "file:" + uri if uri.startswith("/") else uri)

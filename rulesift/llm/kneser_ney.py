@@ -30,7 +30,6 @@ training rows every token has probability 1; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,7 +40,6 @@ from pyspark.sql import functions as F
 
 from rulesift.llm import files
 from rulesift.llm import textarrays as T
-from rulesift.session import ensure_checkpoint_dir
 
 #: The hash of the end token: a byte string that can't be a word.
 END = T.hash_bytes(b" ")
@@ -277,7 +275,7 @@ class KneserNey:
     def train(docs: DataFrame, train: Column) -> KneserNey:
         """Count all texts of ``docs`` for which ``train`` is true."""
         spark = docs.sparkSession
-        folder = f"{ensure_checkpoint_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
+        folder = files.scratch(spark, "kneser-ney")
         rows = docs.select("text", F.coalesce(train, F.lit(True)).alias("train")).where("train")
         bits = (files.shards_for(docs, SHARD_BYTES) - 1).bit_length()
         made = (rows.mapInArrow(_word_counts(bits), _PACKED).groupBy("shard")

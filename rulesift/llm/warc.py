@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulesift.llm import files
-from rulesift.session import ensure_checkpoint_dir
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -143,7 +142,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     Payloads under ``min_bytes`` are never revisited.
     """
     spark = pages.sparkSession
-    folder = folder or f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or files.scratch(spark, "warc")
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"),
                         F.octet_length(html).alias("size"))

@@ -214,14 +214,19 @@ def test_suffix_dedup(spark, monkeypatch, tiers):
     assert got == brute.cut([(i, t or "") for i, t in rows])
 
 
+def by_text(docs, doc_id):
+    return docs.where(F.col("doc_id") == doc_id).first().text
+
+
 def test_suffix_dedup_edges(spark, edge, no_docs):
     from rulesift.llm.suffix_dedup import cut_repeats
     got = cut_repeats(edge, keep_text=True).collect()
     assert len(got) == edge.count() - 1  # the repeated row is one document
     by = {r.doc_id: r for r in got if r.doc_id is not None}
     assert by[1].n_bytes == by[2].n_bytes == 0 and by[7].n_spans == 1
+    assert (by[6].n_bytes, by[6].n_removed) == brute.cut([(6, by_text(edge, 6))])[6][:2]
     assert by[3].kept_text == "Short text" and by[3].row.spans == "row"
-    assert by[6].n_removed == by[6].n_bytes - 123  # period 24: all but the first period and 99 bytes more
+    assert by[6].n_removed == by[6].n_bytes - 24  # period 24: every window from the second period on starts earlier too
     assert cut_repeats(no_docs).collect() == []
 
 
