@@ -218,11 +218,12 @@ def hashing_embedder(dim: int = 64) -> Embedder:
 
 def offline_annotator(labels: int = 2) -> Annotator:
     """Offline annotator: a deterministic JSON answer per prompt (label and
-    confidence from a checksum of the prompt), with token counts."""
+    confidence from the first 32 bits of the prompt's SHA-256, which SQL can
+    compute too), with token counts."""
     def annotate(prompts: list[str]) -> list[dict]:
         out = []
         for p in prompts:
-            h = zlib.crc32(p.encode("utf-8"))
+            h = int(hashlib.sha256(p.encode("utf-8")).hexdigest()[:8], 16)
             label, conf = h % labels, 40 + (h >> 8) % 61
             edge = conf <= 75
             rule = "When the text is short and unclear -> classify as 0" if edge else "EMPTY"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rulesift.functions.text import split_template
 from rulesift.plans import jobs as J
 from rulesift.plans.catalog import register
 from rulesift.plans.fixtures import GUIDELINE, TASK_ID, points, round0, round1, with_views
@@ -27,6 +28,51 @@ def _round0_job(spark, sf_dir):
     return work, ann
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_HEAD, _MIDDLE, _TAIL = split_template(J.DEFAULT_TEMPLATE)
+
+
+def _labels_sql(name: str, texts: str) -> str:
+    """CTEs for the offline annotator's labels of cleaned, distinct texts (t) of ``texts``: uid, annotation, confidence, edge."""
+    return rf"""
+, {name}_c AS (SELECT DISTINCT regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS t
+               FROM ({texts})),
+{name}_h AS (SELECT substr(sha256(concat('{TASK_ID}', chr(31), t)), 1, 32) AS uid,
+                    CAST(concat('0x', substr(sha256(concat({_quoted(_HEAD + GUIDELINE + _MIDDLE)}, t, {_quoted(_TAIL)})), 1, 8)) AS BIGINT) AS h
+             FROM {name}_c WHERE t IS NOT NULL AND length(t) > 0),
+{name} AS (SELECT uid, CAST(h % 2 AS VARCHAR) AS annotation, CAST(40 + (h // 256) % 61 AS DOUBLE) AS confidence,
+                  40 + (h // 256) % 61 <= 75 AS new_edge_case FROM {name}_h)
+"""
+
+
+@register("annotate_round_labels", with_views(_labels_sql("r", "SELECT text AS t FROM documents") + """
+SELECT uid, annotation, confidence, new_edge_case, true AS parse_ok, CAST(NULL AS VARCHAR) AS error FROM r
+"""))
+def annotate_round_labels(spark, sf_dir):
+    """B1: what the round's calls answered, for each distinct document."""
+    _, ann = _round0_job(spark, sf_dir)
+    return ann.select("uid", "annotation", "confidence", "new_edge_case", "parse_ok", "error")
+
+
+_INCREMENT_SQL = _labels_sql("r", "SELECT text AS t FROM documents") + _labels_sql("n", "SELECT text AS t FROM benchmark") + """
+SELECT uid, annotation, confidence, new_edge_case, false AS is_reannotated FROM r WHERE uid NOT IN (SELECT uid FROM n)
+UNION ALL SELECT uid, annotation, confidence, new_edge_case, true FROM n
+"""
+
+
+@register("annotate_increment_labels", with_views(_INCREMENT_SQL))
+def annotate_increment_labels(spark, sf_dir):
+    """The annotation table after benchmark passages were added, without places."""
+    work, ann = _round0_job(spark, sf_dir)
+    new = table(spark, sf_dir, "benchmark").select(
+        F.lit(TASK_ID).alias("task_id"), F.col("item_id").alias("ordinal"), F.col("text").alias("text_to_annotate"))
+    out = J.annotate_increment(new, ann, _guidelines(spark), TASK_ID, 0, work, J.offline_plugins())
+    return out.annotations.select("uid", "annotation", "confidence", "new_edge_case", "is_reannotated")
+
+
 @register("annotate_round")
 def annotate_round(spark, sf_dir):
     """B1: every document embedded, clustered, projected, labelled (cached) and parsed."""
@@ -77,10 +123,7 @@ def compare_rounds(spark, sf_dir):
     return J.round_summary(round0(spark, sf_dir), round1(spark, sf_dir))
 
 
-@register("stream_increment")
-def stream_increment(spark, sf_dir):
-    """Benchmark passages arrive as files; each micro-batch is scored and
-    the annotation table is the base upserted with all batches."""
+def _stream(spark, sf_dir):
     from rulesift.streaming.increment import current_table, start
     work, ann = _round0_job(spark, sf_dir)
     inp = shared_path(spark, "stream_in")
@@ -91,4 +134,17 @@ def stream_increment(spark, sf_dir):
     q = start(spark, inp, out, shared_path(spark, "stream_ckpt"), ann, _guidelines(spark), TASK_ID, 0, work,
               J.offline_plugins(), max_files_per_trigger=1)
     q.awaitTermination()
-    return current_table(spark, ann, out).select("uid", "cluster", "annotation", "confidence", "is_reannotated")
+    return current_table(spark, ann, out)
+
+
+@register("stream_increment")
+def stream_increment(spark, sf_dir):
+    """Benchmark passages arrive as files; each micro-batch is scored and
+    the annotation table is the base upserted with all batches."""
+    return _stream(spark, sf_dir).select("uid", "cluster", "annotation", "confidence", "is_reannotated")
+
+
+@register("stream_increment_labels", with_views(_INCREMENT_SQL))
+def stream_increment_labels(spark, sf_dir):
+    """The labels after the stream equal those of the batch increment."""
+    return _stream(spark, sf_dir).select("uid", "annotation", "confidence", "new_edge_case", "is_reannotated")

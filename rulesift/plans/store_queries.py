@@ -69,10 +69,18 @@ def response_cache_split(spark, sf_dir):
                       F.count_distinct(F.when(~F.col("hit"), F.col("prompt_key"))).alias("distinct_misses"))
 
 
-@register("answer_with_cache")
+@register("answer_with_cache", with_views(_REQ_SQL + """
+, h AS (SELECT uid, prompt_key, prompt, CAST(concat('0x', substr(sha256(prompt), 1, 8)) AS BIGINT) AS h FROM rk),
+a AS (SELECT *, h % 2 AS label, 40 + (h // 256) % 61 AS conf FROM h)
+SELECT uid, prompt_key, false AS cache_hit, CAST(ceil(length(prompt) / 4.0) AS BIGINT) AS input_tokens,
+       CAST(ceil(length('{"analysis": "offline checksum answer", "annotation": "' || label || '", "confidence": ' || conf
+            || ', "new_edge_case": ' || CASE WHEN conf <= 75 THEN 'true' ELSE 'false' END || ', "new_edge_case_rule": "'
+            || CASE WHEN conf <= 75 THEN 'When the text is short and unclear -> classify as 0' ELSE 'EMPTY' END || '"}') / 4.0)
+            AS BIGINT) AS output_tokens, true AS answered
+FROM a
+"""))
 def answer_with_cache(spark, sf_dir):
-    """J2 end to end: misses answered by the offline annotator and stored;
-    a second call over the same requests is all hits."""
+    """J2 end to end: every request misses the new cache and is answered by the offline annotator."""
     ensure_checkpoint_dir(spark)
     path = shared_path(spark, "response_cache")
     req = _requests(spark, sf_dir).select("uid", "prompt")
