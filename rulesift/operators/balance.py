@@ -31,7 +31,6 @@ from rulesift.operators.ranking import global_row_number
 from rulesift.operators.rules import cluster_count
 from rulesift.session import cut_lineage
 
-MAX_DIMS = 8
 LEAF_ROWS = 20_000
 
 
@@ -60,15 +59,19 @@ def _bisect_leaf(coords: np.ndarray, uids: list[str], base: int, parts: int) ->
 
 
 def balanced_clusters(rules: DataFrame, vec: str = "embedding", uid: str = "uid",
-                      k: int | None = None, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """(uid, cluster_id) for one task's rules; k defaults to n div 15 + 1."""
+                      k: int | None = None, leaf_rows: int = LEAF_ROWS, max_dims: int | None = None) -> DataFrame:
+    """(uid, cluster_id) for one task's rules; k defaults to n div 15 + 1.
+
+    Cells are halved along the widest of all principal coordinates; ``max_dims`` keeps only the
+    first ones, for very wide embeddings."""
     spark = rules.sparkSession
     base = with_vector(rules.select(uid, vec), vec, "features")
     n = base.count()
     if n == 0:
         return spark.createDataFrame([], f"{uid} string, cluster_id int")
     parts = k if k is not None else int(spark.range(1).select(cluster_count(F.lit(n))).first()[0])
-    dims = max(1, min(MAX_DIMS, len(base.select(vec).first()[0]), n))
+    wide = len(base.select(vec).first()[0])
+    dims = max(1, min(wide if max_dims is None else max_dims, wide, n))
     proj = fit_projection(base, k=dims) if n > 1 else None
     if proj is not None:
         pts = proj.transform(base).select(uid, vector_to_array("_proj").alias("x"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import uuid as _uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +23,12 @@ def write_round(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_snapshot(df: DataFrame, path: str) -> str:
-    """A timestamped JSON snapshot; NaN / infinities become null first."""
-    stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
-    out = f"{path.rstrip('/')}/snapshot_{stamp}"
-    nan_to_null(df).write.option("ignoreNullFields", False).mode("overwrite").json(out)
+    """A timestamped JSON snapshot; NaN / infinities become null first.
+
+    No two snapshots share a name, whatever the clock's resolution, and none is overwritten."""
+    stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
+    out = f"{path.rstrip('/')}/snapshot_{stamp}_{_uuid.uuid4().hex[:8]}"
+    nan_to_null(df).write.option("ignoreNullFields", False).mode("error").json(out)
     return out
 
 

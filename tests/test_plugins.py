@@ -165,3 +165,12 @@ def test_rows_without_ids_are_spread(spark):
     assert cur.withColumn("_tk", text_key("text_to_annotate")).select(spread_uid()).distinct().count() == 200
     prev = cur.withColumn("uid", F.concat(F.lit("u"), F.col("text_to_annotate"))).limit(50)
     assert match_rounds(cur, prev).where("match_way = 'text'").count() == 50
+
+
+def test_snapshots_of_one_second_are_kept(spark, tmp_path):
+    from rulesift.sources.sinks import write_snapshot
+    df = spark.createDataFrame([(1, float("nan")), (2, 0.5)], "uid int, x double")
+    a, b = write_snapshot(df, str(tmp_path)), write_snapshot(df.where("uid = 2"), str(tmp_path))
+    assert a != b
+    assert sorted(tuple(r) for r in spark.read.schema(df.schema).json(a).collect()) == [(1, None), (2, 0.5)]
+    assert spark.read.schema(df.schema).json(b).count() == 1
