@@ -502,7 +502,8 @@ def cut_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False) ->
            .select("shard", *key, "spans").checkpoint())
     gathered = lambda rows: rows.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans")).hint("shuffle_hash")
     wanted = gathered(met.where("shard = -2"))
-    contexts = base.join(wanted, key).select("doc_id", "tie", "text", "spans").mapInArrow(_fetch(length, bits), _SENT)
+    # the same columns as in the last join, so that one shuffle of the texts serves both
+    contexts = base.join(wanted, key).select(*base.columns, "spans").mapInArrow(_fetch(length, bits), _SENT)
     expanded = contexts.groupBy("shard").applyInArrow(_expand(length), _SENT)
     covers = gathered(met.where("shard = -1").select(*key, "spans").union(expanded.select(*key, "spans")))
     row = f", kept_text string, row {base.schema['row'].dataType.simpleString()}" if keep_text else ""
