@@ -129,24 +129,29 @@ def _terms(batches):
     for rows, buf, offsets in T.chunks(batches):
         text, words = distinct_terms(buf, offsets)
         cuts = np.searchsorted(text, np.arange(rows.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("label")),
-                                          pa.array([words[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["label", "terms"])
+        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), rows.column(rows.schema.get_field_index("label")),
+                                          pa.array([words[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
+                                         names=["doc_id", "label", "terms"])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> FactorizationMachine | None:
     """Fit on at most ``max_rows`` of the labelled rows for which ``learn`` (over doc_id) holds; None if there are none."""
     sample = (labels.where("doc_id is not null and toxic is not null").where(learn).groupBy("doc_id").agg(F.max("toxic").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")  # at most max_rows ids
+    # at most max_rows ids
+    rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+            .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text"))
 
     def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        label = table.column("label").to_numpy().astype(np.int64)
-        parts = [np.frombuffer(x.as_py(), T.U64) for x in table.column("terms")]
+        # the order in which tasks deliver rows must not change the model
+        found = sorted(zip(table.column("doc_id").to_pylist(), table.column("label").to_pylist(), table.column("terms").to_pylist()))
+        label = np.array([f[1] for f in found], np.int64)
+        parts = [np.frombuffer(f[2], T.U64) for f in found]
         text = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         m = FactorizationMachine.fit(text, T.concat(parts), label, max_terms)
         return pa.table({"bias": [m.bias], "terms": [m.terms.tobytes()], "w": [m.w.tobytes()], "v": [m.v.tobytes()]})
 
-    made = (rows.mapInArrow(_terms, "label int, terms binary").groupBy(F.lit(0).alias("one"))
+    made = (rows.mapInArrow(_terms, "doc_id long, label int, terms binary").groupBy(F.lit(0).alias("one"))
             .applyInArrow(fit, "bias double, terms binary, w binary, v binary").collect())
     if not made:
         return None

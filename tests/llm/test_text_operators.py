@@ -272,6 +272,13 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
 
 
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark):
+    from rulesift.llm import toxicity
+    docs, labels = Q.read(spark, SF001, "documents"), Q.read(spark, SF001, "labels")
+    a, b = (toxicity.train(d, labels, F.lit(True)) for d in (docs, docs.repartition(7)))
+    assert a.bias == b.bias and (a.terms == b.terms).all() and (a.w == b.w).all() and (a.v == b.v).all()
+
+
 def test_toxicity_edges(spark, edge, no_docs):
     from rulesift.llm import toxicity
     labels = spark.createDataFrame([(5, 1), (5, 0), (3, 0), (None, 1), (6, None), (99, 1)], "doc_id long, toxic int")
