@@ -345,3 +345,29 @@ def test_fuzzy_edges(spark, edge, no_docs):
     got = fuzzy_passages(edge, min_words=10).collect()
     assert (5, None) in {(r.doc_id, r.earlier_id) for r in got}
     assert fuzzy_passages(no_docs).collect() == []
+
+
+def test_changed_passages_are_found(spark):
+    """Share of passages with random changed words that are found, against dense alignment of the pair (word by word, all of them hold)."""
+    from rulesift.llm.passage_chains import fuzzy_passages
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    noise = lambda n: [word() for _ in range(n)]
+    rows, kind = [], {}
+    for changed in (5, 10, 15, 20):
+        for length in (60, 80, 120):
+            for _ in range(40):
+                p = noise(length)
+                other = list(p)
+                for k in rng.sample(range(length), length * changed // 100):
+                    other[k] = word()
+                i = 2 * len(kind)
+                kind[i + 1] = (changed, length)
+                rows += [(i, " ".join(noise(30) + p + noise(30))), (i + 1, " ".join(noise(20) + other + noise(50)))]
+    got = {(r.doc_id, r.earlier_id) for r in fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(e == d - 1 and d % 2 for d, e in got)
+    for changed, length, least in [(5, 60, 1), (10, 60, .97), (15, 60, .9), (20, 60, .8), (10, 80, 1), (20, 80, .85), (10, 120, 1), (20, 120, .9)]:
+        own = [d for d, k in kind.items() if k == (changed, length)]
+        share = sum((d, d - 1) in got for d in own) / len(own)
+        print(changed, length, share)
+        assert share >= least, (changed, length, share)
