@@ -371,3 +371,17 @@ def test_changed_passages_are_found(spark):
         share = sum((d, d - 1) in got for d in own) / len(own)
         print(changed, length, share)
         assert share >= least, (changed, length, share)
+
+
+def test_exact_passages_of_later_texts(spark):
+    """Smaller ids hold parts of a passage, or the beginning of it at another place: later texts still share all of it."""
+    from rulesift.llm.passage_chains import fuzzy_passages
+    rng = random.Random(6)
+    noise = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    p, q = noise(60), noise(60)
+    docs = [noise(30) + p[:35] + noise(20), noise(10) + p[25:] + noise(40), noise(20) + p + noise(30), noise(40) + p + noise(5), p + noise(9),
+            noise(20) + q[:12] + noise(30) + q + noise(10), noise(50) + q]
+    rows = [(i + 1, " ".join(d)) for i, d in enumerate(docs)]
+    got = {(r.doc_id, r.earlier_id, r.start, r.end, r.earlier_start, r.earlier_end)
+           for r in fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(4, 3, 40, 100, 20, 80), (5, 3, 0, 60, 20, 80), (7, 6, 50, 110, 62, 122)}
