@@ -175,3 +175,43 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rulesift.llm.passage_chains import fuzzy_passages
     return fuzzy_passages(read(spark, sf_dir, "documents"), min_words=50, percent=75)
+
+
+@register
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulesift.llm.filter_audit import audit
+    return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), F.col("lang"))
+
+
+ORACLE["op11_filter_audit"] = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY x) AS least FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(w) < 200 AS a,
+             100 * len(list_distinct(w)) < 50 * len(w) AS b,
+             100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 3 * length(x) AS c,
+             regexp_matches(x, '[#$%&*|]') AS d, coalesce(w.doc_id > least, false) AS e
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+g AS (SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda n: CASE n WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS failed
+      FROM f),
+h AS (SELECT part, failed, count(*) AS n, sum(good) AS n_good, sum(toxic) AS n_toxic FROM g GROUP BY part, failed),
+x AS (SELECT * FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(c)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS own, string_split(filter_order[1:step - 1], '') AS before FROM o, generate_series(1, 5) q(step)),
+y AS (SELECT part, filter_order, step, n, n_good, n_toxic, list_contains(failed, own) AS hit, len(failed) AS k,
+             len(list_intersect(failed, before)) > 0 AS gone
+      FROM h, s),
+r AS (SELECT part, filter_order, step, sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN hit AND k = 1 THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN hit AND NOT gone THEN n_good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN hit AND NOT gone THEN n_toxic ELSE 0 END) AS toxic_lost
+      FROM y GROUP BY part, filter_order, step),
+z AS (SELECT part, filter_order[step] AS own, sum(removed) AS shapley FROM r GROUP BY part, filter_order[step])
+SELECT r.part, r.filter_order, CAST(r.step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(shapley AS BIGINT) AS shapley
+FROM r JOIN z ON z.part = r.part AND z.own = filter_order[step]
+"""
