@@ -215,3 +215,12 @@ SELECT r.part, r.filter_order, CAST(r.step AS INTEGER) AS step, CAST(kept AS BIG
        CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(shapley AS BIGINT) AS shapley
 FROM r JOIN z ON z.part = r.part AND z.own = filter_order[step]
 """
+
+
+@register
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulesift.llm import compression_quality as quality
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = quality.train(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
