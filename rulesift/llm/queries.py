@@ -224,3 +224,11 @@ def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     model = quality.train(docs, read(spark, sf_dir, "labels"), ~held_out)
     return quality.score(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
+@register
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from rulesift.llm.token_alignment import TokenizerPair, align_corpus
+    pair = TokenizerPair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align_corpus(read(spark, sf_dir, "documents"), pair)
