@@ -36,18 +36,18 @@ from rulesift.llm import files
 from rulesift.llm import textarrays as T
 
 #: Input bytes whose words make one shard of the dictionary, bytes of text of one CSR shard, and distinct hashes a task holds.
-TERM_BYTES, SHARD_BYTES, FLUSH = 32 << 20, 4 << 20, 4 << 20
-_ROWS_OUT = 1 << 18
+TERM_BYTES, SHARD_BYTES, FLUSH = 8 << 20, 1 << 20, 1 << 20
+_ROWS_OUT = 1 << 16
 
-_UPPER = np.zeros(256, np.int64)
-_UPPER[65:91] = 1
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
 #: Characters that the symbol filter looks for.
 SYMBOLS = "#$%&*|"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 #: Bytes that begin a UTF-8 character.
-_LEAD = np.ones(256, np.int64)
-_LEAD[0x80:0xC0] = 0
+_LEAD = np.ones(256, bool)
+_LEAD[0x80:0xC0] = False
 
 
 class Terms:
@@ -155,13 +155,22 @@ def csr_rows(words: np.ndarray, first: np.ndarray, terms: Terms) -> tuple[np.nda
     return indptr, ids, counts
 
 
+def _bytes_of(kind: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each text are of ``kind`` (a table of 256 flags)."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    full = np.diff(offsets) > 0
+    if full.any():
+        out[full] = np.add.reduceat(kind[buf], offsets[:-1][full], dtype=np.int64)
+    return out
+
+
 def _shards(terms: Terms):
     def run(batches):
         for rows, buf, offsets in T.chunks(batches, size=SHARD_BYTES):
             words, first = T.word_table(buf, offsets, lower=False)
             indptr, ids, counts = csr_rows(words, first, terms)
-            total = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[buf])])[offsets])
-            data = buf.tobytes()
+            total = lambda kind: _bytes_of(kind, buf, offsets)
+            data = memoryview(buf)
             docs = pa.StructArray.from_arrays(
                 [rows.column(0), rows.column(1), pa.array(total(_LEAD)), pa.array(total(_UPPER)), pa.array(total(_SYMBOL) > 0),
                  pa.array([hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())],
