@@ -2,16 +2,16 @@
 
 Tokenizer A is a byte-level BPE of the ``tokenizers`` library and sees a space and the text; B is a SentencePiece model, which puts the space
 itself. Both cut the same bytes. Where they end in the text comes from the libraries' own spans: character offsets for A,
-the spans of SentencePiece's proto for B. They are coarse: tokens that share a multibyte character have the same characters, and byte-fallback
+the begin and end of the proto's pieces for B. They are coarse: tokens that share a multibyte character have the same characters, and byte-fallback
 pieces have spans of a whole character or of nothing. Between two clean borders such tokens are refined by the lengths of their decoded bytes,
 and every token's decoded bytes must equal the text where it lies.
 
 A text is cut before each single space that stands between characters other than white space. There both tokenizers always have a border (A's pattern starts
 a word with the space; only the first character of a piece of B is a mark), so each distinct segment of a chunk is aligned once and texts are put together
-from their segments. A long text without such spaces is one segment.
+from their segments; for the same reason segments that begin and end in a word are encoded many at a time. A long text without such spaces is one segment.
 
-Linked pairs (A id, B id) are counted by documents: each task counts its pairs, sums come from one aggregate by pair, and the table is written as
-sorted arrays that the second pass maps. Its size is bounded by the two vocabularies, not by the corpus.
+The alignment is stored, a row for each chunk of texts, and read for counting and for measuring. Linked pairs (A id, B id) are counted by
+documents: each task counts its pairs, sums come from one aggregate by pair, and the table is written as sorted arrays that the measuring tasks map. Its size is bounded by the two vocabularies, not by the corpus.
 
 Edge cases: null and empty texts, and texts whose joined token bytes differ from space and text (such as texts with U+2581), have no tokens;
 special tokens' strings are plain text; repeated rows and null ids are documents of their own; an empty table gives no rows; other columns are ignored.
@@ -32,8 +32,8 @@ from rulesift.llm import files
 from rulesift.llm import textarrays as T
 from rulesift.llm.pieces import MARK, ragged
 
-#: Bytes of text whose segments are aligned together, segments of one library call, and pairs a task holds.
-CHUNK_BYTES, BATCH, FLUSH = 4 << 20, 1 << 14, 2 << 20
+#: Bytes of text that share segments, of segments aligned at once, of segments encoded as one text; texts of one library call; pairs a task holds.
+CHUNK_BYTES, STEP_BYTES, RUN_BYTES, BATCH, FLUSH = 4 << 20, 1 << 18, 1 << 12, 32, 1 << 20
 #: Pairs in one file of the table of counts.
 PAIRS_A_FILE = 1 << 22
 
@@ -81,89 +81,114 @@ class TokenizerPair:
             self._made = a, b, _table(tokens_a), _table(tokens_b)
         return self._made
 
-    def align(self, segments: list[str]) -> Segments:
-        """Both tokenizations of texts that begin with a space, and where their tokens end."""
+    def align(self, buf: np.ndarray, offsets: np.ndarray, alone: np.ndarray) -> tuple[Segments, np.ndarray]:
+        """(both tokenizations of segments, whether a segment's tokens are its bytes; the others have none). Each segment begins with a space;
+        those that aren't to be encoded ``alone`` also begin a word there and end in one, so that neighbours don't change each other's tokens."""
+        parts, n = [], len(offsets) - 1
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, side="right")) - 1)
+            parts.append(self._align(buf[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at], alone[at:to]))
+            at = to
+        a, count_a, b, count_b, ok = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 4 + (np.zeros(0, bool),)
+        return Segments.of(a, count_a, b, count_b, self.made()[2][2], self.made()[3][2]), ok
+
+    def _align(self, buf: np.ndarray, offsets: np.ndarray, alone: np.ndarray):
         a, b, bytes_a, bytes_b = self.made()
-        raw = [s.encode() for s in segments]
-        buf = np.frombuffer(b"".join(raw), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        # the place of each character, and of the end of each segment
+        # runs of segments that are encoded as one text
+        n = len(offsets) - 1
+        block = offsets[:-1] // RUN_BYTES
+        head = np.ones(n, bool)
+        head[1:] = (block[1:] != block[:-1]) | alone[1:] | alone[:-1]
+        cuts = np.append(offsets[:-1][head], offsets[-1])
+        data = buf.tobytes()
+        texts = [data[x:y].decode() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        # the place of each character
         lead = np.flatnonzero((buf & 0xC0) != 0x80)
-        first_char = np.searchsorted(lead, offsets)
-        place = np.append(lead, len(buf))
-        ids, spans, counts = [], [], []
-        for at in range(0, len(segments), BATCH):
-            for e in a.encode_batch(segments[at:at + BATCH], add_special_tokens=False):
-                ids.append(e.ids)
-                spans.append(e.offsets)
-                counts.append(len(e.ids))
-        count_a = np.array(counts, np.int64)
-        ids_a = _flat(ids)
-        span = _flat(itertools.chain.from_iterable(spans)).reshape(-1, 2) + np.repeat(first_char[:-1], count_a)[:, None]
-        ends_a, ok_a = refine(buf, offsets, ids_a, count_a, place[span[:, 0]], place[span[:, 1]], bytes_a)
-        ids, spans, counts = [], [], []
-        for at in range(0, len(segments), BATCH):
-            for proto in b.encode([s[1:] for s in segments[at:at + BATCH]], return_type="proto", num_threads=1):
-                pieces = [(p.id, p.begin, p.end) for p in proto.pieces]
-                ids.append(pieces)
-                counts.append(len(pieces))
-        count_b = np.array(counts, np.int64)
-        cells = _flat(itertools.chain.from_iterable(ids)).reshape(-1, 3)
-        ids_b = cells[:, 0]
+        place, first_char = np.append(lead, len(buf)), np.searchsorted(lead, cuts)
+        found = [x for at in range(0, len(texts), BATCH) for x in _spans_a(a, texts[at:at + BATCH])]
+        count = np.array([len(f[0]) for f in found], np.int64)
+        ids_a = T.concat([f[0] for f in found], np.int64)
+        span = (np.concatenate([f[1] for f in found]) if found else np.zeros((0, 2), np.int64)) + np.repeat(first_char[:-1], count)[:, None]
+        ends_a, fit_a = refine(buf, cuts, ids_a, count, place[span[:, 0]], place[span[:, 1]], bytes_a)
+        found = [x for at in range(0, len(texts), BATCH) for x in _spans_b(b, [t[1:] for t in texts[at:at + BATCH]])]
+        count = np.array([len(f[0]) for f in found], np.int64)
+        ids_b = T.concat([f[0] for f in found], np.int64)
         # spans are in bytes of the text after the space; the first piece takes the space too
-        base = np.repeat(offsets[:-1] + 1, count_b)
-        begin, end = cells[:, 1] + base, cells[:, 2] + base
-        heads = (np.cumsum(count_b) - count_b)[count_b > 0]
-        begin[heads] -= 1
-        ends_b, ok_b = refine(buf, offsets, ids_b, count_b, begin, end, bytes_b)
-        return Segments(offsets, ids_a, count_a, ends_a, ids_b, count_b, ends_b, ok_a & ok_b)
-
-
-def _flat(parts) -> np.ndarray:
-    return np.fromiter(itertools.chain.from_iterable(parts), np.int64)
-
-
-def refine(buf: np.ndarray, offsets: np.ndarray, ids: np.ndarray, count: np.ndarray, begin: np.ndarray, end: np.ndarray,
+        span = (np.concatenate([f[1] for f in found]) if found else np.zeros((0, 2), np.int64)) + np.repeat(cuts[:-1] + 1, count)[:, None]
+        span[(np.cumsum(count) - count)[count > 0], 0] -= 1
+        ends_b, fit_b = refine(buf, cuts, ids_b, count, span[:, 0], span[:, 1], bytes_b)
+        ok, parts = np.ones(n, bool), []
+        for ids, ends, fit in ((ids_a, ends_a, fit_a), (ids_b, ends_b, fit_b)):
+            own = np.clip(np.searchsorted(offsets, ends - 1, side="right") - 1, 0, n - 1)
+            ok[own[~fit]] = False
+            # tokens fill a segment: the last of it ends with it
+            full = np.zeros(n, bool)
+            full[own[ends == offsets[own + 1]]] = True
+            ok &= full
+            parts.append((ids, own))
+        out = []
+        for ids, own in parts:
+            keep = ok[own]
+            out += [ids[keep].astype(np.int32), np.bincount(own[keep], minlength=n).astype(np.int32)]
+        return *out, ok
+
+
+def _spans_a(tokenizer, texts: list[str]):
+    """(ids, character spans) of each text."""
+    for e in tokenizer.encode_batch(texts, add_special_tokens=False):
+        yield np.array(e.ids, np.int64), _pairs(e.offsets)
+
+
+def _spans_b(tokenizer, texts: list[str]):
+    """(ids, byte spans) of each text: the begin and end of its proto's pieces, which the library also gives as an offset mapping."""
+    for m in tokenizer.encode(texts, return_type="offset_mapping", return_bytes=True, num_threads=1):
+        yield np.array(m["ids"], np.int64), _pairs(m["offsets"])
+
+
+def _pairs(spans: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
+
+
+def refine(buf: np.ndarray, cuts: np.ndarray, ids: np.ndarray, count: np.ndarray, begin: np.ndarray, end: np.ndarray,
            table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(end of each token in ``buf``, whether each segment's tokens are its bytes) from coarse spans and the tokens' bytes."""
+    """(end of each token in ``buf``, whether the token is the bytes there) from coarse spans and the tokens' bytes; texts lie between ``cuts``."""
     flat, first, size = table
-    n, total = len(offsets) - 1, len(ids)
-    segment = np.repeat(np.arange(n), count)
-    ok = (count > 0) | (np.diff(offsets) == 0)
+    total = len(ids)
     if not total:
-        return np.zeros(0, np.int64), ok
-    # a border is clean where the next token begins at or after this one's end and this one isn't empty
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    text = np.repeat(np.arange(len(cuts) - 1), count)
+    # a border is clean where the next token begins at this one's end and this one isn't empty
     last = np.cumsum(count)[count > 0] - 1
     clean = np.zeros(total, bool)
     clean[:-1] = (begin[1:] == end[:-1]) & (end[:-1] > begin[:-1])
     clean[last] = True
     coarse = end.copy()
-    coarse[last] = offsets[1:][count > 0]
-    # bytes of tokens since the last clean border, or since the segment's start
+    coarse[last] = cuts[1:][count > 0]
+    # bytes of tokens since the last clean border
     length = size[ids]
     run = np.cumsum(length)
     from_clean = np.concatenate([[True], clean[:-1]])
-    start = np.where(np.concatenate([[True], segment[1:] != segment[:-1]]), offsets[segment], np.concatenate([[0], coarse[:-1]]))
+    start = np.where(np.concatenate([[True], text[1:] != text[:-1]]), cuts[text], np.concatenate([[0], coarse[:-1]]))
     anchor = np.maximum.accumulate(np.where(from_clean, np.arange(total), 0))
     fine = start[anchor] + run - (run[anchor] - length[anchor])
     ends = np.where(clean, coarse, fine)
     begins = np.concatenate([[0], ends[:-1]])
     begins[from_clean] = start[from_clean]
-    good = (ends - begins == length) & (length > 0)
+    good = (ends - begins == length) & (length > 0) & (begins >= 0) & (ends <= len(buf))
     # tokens of the right length must have the text's bytes there
     test = np.flatnonzero(good)
     mine = ragged(flat, first[ids[test]], length[test])
-    text = ragged(buf, begins[test], length[test])
-    same = np.concatenate([[0], np.cumsum(mine != text)])
-    cuts = np.concatenate([[0], np.cumsum(length[test])])
-    good[test] = same[cuts[1:]] == same[cuts[:-1]]
-    bad = np.bincount(segment[~good], minlength=n) > 0
-    return ends, ok & ~bad
+    there = ragged(buf, begins[test], length[test])
+    same = np.concatenate([[0], np.cumsum(mine != there)])
+    ends_of = np.concatenate([[0], np.cumsum(length[test])])
+    good[test] = same[ends_of[1:]] == same[ends_of[:-1]]
+    return ends, good
 
 
 @dataclass
 class Segments:
-    """Token ids and ends (in one buffer) of segments, and whether both tokenizations are the segment's bytes."""
+    """Token ids and ends (in one buffer) of segments; both tokenizations are the segments' bytes."""
 
     offsets: np.ndarray
     a: np.ndarray
@@ -172,16 +197,14 @@ class Segments:
     b: np.ndarray
     count_b: np.ndarray
     ends_b: np.ndarray
-    ok: np.ndarray
     _links: tuple = field(default=(), repr=False)
 
-    def without_bad(self) -> Segments:
-        """The same with no tokens in segments that aren't ok."""
-        if self.ok.all():
-            return self
-        keep_a, keep_b = np.repeat(self.ok, self.count_a), np.repeat(self.ok, self.count_b)
-        return Segments(self.offsets, self.a[keep_a], self.count_a * self.ok, self.ends_a[keep_a],
-                        self.b[keep_b], self.count_b * self.ok, self.ends_b[keep_b], self.ok)
+    @staticmethod
+    def of(a: np.ndarray, count_a: np.ndarray, b: np.ndarray, count_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> Segments:
+        """Of aligned tokens: ``size_a`` and ``size_b``, the bytes of each token, give where they end."""
+        ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
+        offsets = np.concatenate([[0], ends_a])[np.concatenate([[0], np.cumsum(count_a)])]
+        return Segments(offsets, a, count_a, ends_a, b, count_b, ends_b)
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(A token, B token, links of each segment): two tokens overlap in one piece of the common refinement of both cuts."""
@@ -211,7 +234,7 @@ class Segments:
         out = ragged(digits, first[ids], length)  # each number has a place for its mark
         out[np.cumsum(length) - 1] = mark
         segment = np.searchsorted(self.offsets, np.concatenate([self.ends_a, self.ends_b])[order] - 1, side="right") - 1
-        total = np.bincount(segment, length, len(self.ok)).astype(np.int64)
+        total = np.bincount(segment, length, len(self.count_a)).astype(np.int64)
         return out, np.cumsum(total) - total, total
 
 
@@ -229,15 +252,33 @@ def _decimals(n: int):
 
 
 _SPACE = ~T.NOT_SPACE
-
-
-def segments(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first segment of each text) of the segments; every one but a text's first begins with its space."""
+#: White space beyond ASCII as UTF-8 (fixed values): these runs of code points, first and last.
+_WIDE_SPACE = ((0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200B), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+_MARK_BYTES = MARK.encode()
+
+
+def white(buf: np.ndarray) -> np.ndarray:
+    """Bytes of white-space characters and of the mark, which SentencePiece takes for a space."""
+    out = _SPACE[buf]
+    if (buf >= 0x80).any():
+        wide = [chr(c).encode() for lo, hi in _WIDE_SPACE for c in range(lo, hi + 1)] + [_MARK_BYTES]
+        for first in {w[0] for w in wide}:
+            at = np.flatnonzero(buf == first)
+            for w in (w for w in wide if w[0] == first):
+                hit = at[at + len(w) <= len(buf)]
+                for k in range(1, len(w)):
+                    hit = hit[buf[hit + k] == w[k]]
+                for k in range(len(w)):
+                    out[hit + k] = True
+    return out
+
+
+def segments(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first segment of each text) of the segments; every one but a text's first begins with its space. ``space``: ``white(buf)``."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    space = _SPACE[buf]
     cut = buf == 0x20
     cut[0] = cut[-1] = False
     cut[1:-1] &= ~space[:-2] & ~space[2:]
@@ -255,30 +296,45 @@ def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.diff(total)
 
 
-class _Chunk:
-    """The texts of a chunk as sequences of its distinct, aligned segments."""
+class Chunk:
+    """Texts as sequences of distinct, aligned segments: ``place`` is the segment of each step, ``text`` its text."""
 
-    def __init__(self, pair: TokenizerPair, buf: np.ndarray, offsets: np.ndarray):
-        starts, ends, self.first = segments(buf, offsets)
+    def __init__(self, n: int, text: np.ndarray, place: np.ndarray, segments: Segments):
+        self.n, self.text, self.place, self.segments = n, text, place, segments
+
+    @staticmethod
+    def align(pair: TokenizerPair, buf: np.ndarray, offsets: np.ndarray) -> Chunk:
+        space = white(buf)
+        starts, ends, first = segments(buf, offsets, space)
         n = len(offsets) - 1
-        self.text = np.repeat(np.arange(n), np.diff(self.first))
-        # the first segment of a text gets the space it lacks
+        text = np.repeat(np.arange(n), np.diff(first))
+        # a text's first segment gets the space it lacks; the others' own space is the same one
         bare = np.zeros(len(starts), bool)
-        bare[self.first[:-1][np.diff(self.first) > 0]] = True
-        key = T.hash_ranges(buf, starts + ~bare, ends)
-        # a text that begins with a space is not the segment of that space
-        _, where, self.place = np.unique(key, return_index=True, return_inverse=True)
-        data = buf.tobytes()
-        found = [" " + data[a:b].decode() for a, b in zip((starts + ~bare)[where].tolist(), ends[where].tolist())]
-        aligned = pair.align(found)
-        fine = np.ones(n, bool)
-        fine[self.text[~aligned.ok[self.place]]] = False
-        fine &= np.diff(self.first) > 0
-        self.segments = aligned.without_bad()
-        #: texts without tokens lose their segments
-        keep = fine[self.text]
-        self.text, self.place = self.text[keep], self.place[keep]
-        self.fine, self.n = fine, n
+        bare[first[:-1][np.diff(first) > 0]] = True
+        starts = starts + ~bare
+        _, where, place = np.unique(T.hash_ranges(buf, starts, ends), return_index=True, return_inverse=True)
+        starts, ends = starts[where], ends[where]
+        size = ends - starts
+        cuts = np.concatenate([[0], np.cumsum(size + 1)])
+        spaced = np.full(int(cuts[-1]), 0x20, np.uint8)
+        spaced[np.arange(int(size.sum())) + np.repeat(np.arange(1, len(size) + 1), size)] = ragged(buf, starts, size)
+        marks = np.concatenate([[0], np.cumsum((buf == _MARK_BYTES[0]) & space)])
+        alone = space[starts] | space[ends - 1] | (marks[ends] > marks[starts]) if len(starts) else np.zeros(0, bool)
+        aligned, ok = pair.align(spaced, cuts, alone)
+        bad = np.zeros(n, bool)
+        bad[text[~ok[place]]] = True
+        keep = ~bad[text]  # texts without tokens lose their segments
+        return Chunk(n, text[keep], place[keep], aligned)
+
+    def packed(self) -> bytes:
+        s = self.segments
+        return T.pack_many(*((np.asarray(x), False) for x in (np.bincount(self.text, minlength=self.n), self.place, s.count_a, s.a, s.count_b, s.b)))
+
+    @staticmethod
+    def unpacked(data: bytes, size_a: np.ndarray, size_b: np.ndarray) -> Chunk:
+        """``size_a`` and ``size_b``: bytes of each token; they give the ends of the tokens again."""
+        steps, place, count_a, a, count_b, b = (x.astype(np.int64) for x in T.unpack_many(data))
+        return Chunk(len(steps), np.repeat(np.arange(len(steps)), steps), place, Segments.of(a, count_a, b, count_b, size_a, size_b))
 
     def sums(self, of_segment: np.ndarray) -> np.ndarray:
         """Sum over each text's segments."""
@@ -301,10 +357,27 @@ class _Chunk:
         return keys[n > 0], n[n > 0]
 
 
-def _pair_counts(shared, wide: int):
+def _aligned(shared):
+    """One row a chunk: the documents' ids and the packed alignment."""
+    def run(batches):
+        for rows, buf, offsets in T.chunks(batches, size=CHUNK_BYTES):
+            ids = rows.column(0)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                                              pa.array([Chunk.align(shared.value, buf, offsets).packed()], pa.binary())], names=["doc_ids", "payload"])
+    return run
+
+
+def _chunks(batches, sizes):
+    """(document ids, chunk) of stored rows."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.column(0).slice(i, 1).flatten(), Chunk.unpacked(b.column(1)[i].as_py(), *sizes.value)
+
+
+def _pair_counts(sizes, wide: int):
     def out(keys, n):
-        for at in range(0, len(keys), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + (1 << 18)].view(np.int64)), pa.array(n[at:at + (1 << 18)].astype(np.int64))],
+        for at in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + (1 << 16)].view(np.int64)), pa.array(n[at:at + (1 << 16)].astype(np.int64))],
                                              names=["pair", "n"])
 
     def run(batches):
@@ -313,8 +386,8 @@ def _pair_counts(shared, wide: int):
         def merged():
             return T.counted(T.concat([h[0] for h in held]), T.concat([h[1] for h in held], np.int64))
 
-        for _, buf, offsets in T.chunks(batches, size=CHUNK_BYTES):
-            held.append(_Chunk(shared.value, buf, offsets).pairs(wide))
+        for _, chunk in _chunks(batches, sizes):
+            held.append(chunk.pairs(wide))
             size += len(held[-1][0])
             if size >= FLUSH:
                 held = [merged()]
@@ -368,44 +441,48 @@ def _write_pairs(folder: str):
 
 
 class Aligner:
-    """Aligns the texts of tables with one pair of tokenizers."""
+    """The aligned texts of a table, stored in the shared folder: each text is encoded once."""
 
     def __init__(self, docs: DataFrame, pair: TokenizerPair):
-        self.rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-        self.wide = len(pair.made()[3][2])
-        self.shared = docs.sparkSession.sparkContext.broadcast(pair)  # two vocabulary files
+        self.spark = docs.sparkSession
+        size_a, size_b = (t[2] for t in pair.made()[2:])
+        self.wide = len(size_b)
+        self.sizes = self.spark.sparkContext.broadcast((size_a, size_b))  # a number for each token of the vocabularies
+        shared = self.spark.sparkContext.broadcast(pair)                  # two vocabulary files
+        self.path = f"{files.scratch(self.spark, 'aligned')}/chunks"
+        docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_aligned(shared), self._CHUNK).write.parquet(self.path)
+
+    _CHUNK = "doc_ids array<long>, payload binary"
+
+    def chunks(self) -> DataFrame:
+        """doc_ids and the packed alignment of their texts (``Chunk.unpacked``)."""
+        return self.spark.read.schema(self._CHUNK).parquet(self.path)
 
     def tokens(self) -> DataFrame:
         """doc_id, the ids of both tokenizations and the byte offsets (in space and text) where each token ends."""
-        shared = self.shared
+        sizes = self.sizes
 
         def run(batches):
-            for rows, buf, offsets in T.chunks(batches, size=CHUNK_BYTES):
-                c = _Chunk(shared.value, buf, offsets)
-                s = c.segments
-                size = np.diff(s.offsets)[c.place]
-                before = np.cumsum(size) - size
-                heads = np.searchsorted(c.text, np.arange(c.n))
-                shift = before - np.append(before, 0)[heads[c.text]] - s.offsets[c.place]
-                columns = [rows.column(0)]
-                for ids, count, ends in ((s.a, s.count_a, s.ends_a), (s.b, s.count_b, s.ends_b)):
-                    first, k = (np.cumsum(count) - count)[c.place], count[c.place]
+            for ids, c in _chunks(batches, sizes):
+                columns = [ids]
+                for token, count, size in ((c.segments.a, c.segments.count_a, sizes.value[0]), (c.segments.b, c.segments.count_b, sizes.value[1])):
+                    own = ragged(token, (np.cumsum(count) - count)[c.place], count[c.place])
                     cuts = np.concatenate([[0], np.cumsum(c.sums(count))])
-                    for values, kind in ((ragged(ids, first, k), pa.int32()), (ragged(ends, first, k) + np.repeat(shift, k), pa.int64())):
-                        columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind)))
+                    total = np.concatenate([[0], np.cumsum(size[own])])
+                    ends = total[1:] - np.repeat(total[cuts[:-1]], np.diff(cuts))
+                    columns += [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, kind)) for x, kind in ((own, pa.int32()), (ends, pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "a_ends", "b", "b_ends"])
 
-        return self.rows.mapInArrow(run, "doc_id long, a array<int>, a_ends array<long>, b array<int>, b_ends array<long>")
+        return self.chunks().mapInArrow(run, "doc_id long, a array<int>, a_ends array<long>, b array<int>, b_ends array<long>")
 
     def link_counts(self) -> DataFrame:
         """a, b, n: how many documents hold the pair linked."""
-        wide = F.lit(self.wide)
-        return (self.rows.mapInArrow(_pair_counts(self.shared, self.wide), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-                .select(F.expr(f"pair div {self.wide}").alias("a"), F.pmod("pair", wide).alias("b"), "n"))
+        return (self.chunks().mapInArrow(_pair_counts(self.sizes, self.wide), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+                .select(F.expr(f"pair div {self.wide}").alias("a"), F.pmod("pair", F.lit(self.wide)).alias("b"), "n"))
 
     def stored_counts(self) -> PairCounts:
         """``link_counts`` as files, each pair with whether its count is its A id's highest."""
-        folder = files.scratch(self.rows.sparkSession, "token-pairs")
+        folder = files.scratch(self.spark, "token-pairs")
         counts = self.link_counts().checkpoint()
         n = counts.count()
         highest = F.broadcast(counts.groupBy("a").agg(F.max("n").alias("most")))  # at most a row for each id of A
@@ -416,11 +493,10 @@ class Aligner:
 
     def measures(self, counts: PairCounts) -> DataFrame:
         """Of every row doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256."""
-        shared, wide = self.shared, self.wide
+        sizes, wide = self.sizes, self.wide
 
         def run(batches):
-            for rows, buf, offsets in T.chunks(batches, size=CHUNK_BYTES):
-                c = _Chunk(shared.value, buf, offsets)
+            for ids, c in _chunks(batches, sizes):
                 s = c.segments
                 n_links = s.links()[2]
                 keys, rank = np.unique(c.link_keys(wide), return_inverse=True)
@@ -432,10 +508,10 @@ class Aligner:
                 ends = np.concatenate([[0], np.cumsum(c.sums(size))]).tolist()
                 digests = [hashlib.sha256(out[a:b - 1]).hexdigest() if b > a else "" for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), *(pa.array(c.sums(x)) for x in (s.count_a, s.count_b, s.groups(), n_links, of(best), of(count))), pa.array(digests, pa.string())],
+                    [ids, *(pa.array(c.sums(x)) for x in (s.count_a, s.count_b, s.groups(), n_links, of(best), of(count))), pa.array(digests, pa.string())],
                     names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-        return self.rows.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+        return self.chunks().mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
 def align_corpus(docs: DataFrame, pair: TokenizerPair) -> DataFrame:
