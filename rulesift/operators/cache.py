@@ -3,13 +3,15 @@
 One mechanism for the annotator, the synthesizer and the embedder:
 
 1. Requests are keyed by a digest of what is asked (model, context such as template and guideline, item).
-2. Keys are looked up in the cache; only distinct misses go on, dealt over ``tasks`` tasks (an explicit number, which
-   adaptive execution keeps, since the cost of a call has nothing to do with the bytes of its request).
+2. Keys are looked up in the cache (``operators.keyed_store``: only prefixes in which an asked key may be are read); only distinct
+   misses go on, dealt over ``tasks`` tasks (an explicit number, which adaptive execution keeps, since the cost of a call has
+   nothing to do with the bytes of its request).
 3. Each task calls the user function with at most ``batch_size`` items. A failing batch, or one with a wrong number of
    answers, is halved until the failing items stand alone; those are tried again, then keep an error and no answer.
-4. Answers are appended to the cache table (by model) before they are used, then the requests' keys are
-   read back. So a retried task or a repeated job does not call again for stored keys, and readers of
+4. Answers are appended to the cache before they are used, then the requests' keys are read back from the recent
+   batches. So a retried task or a repeated job does not call again for stored keys, and readers of
    one cache see one answer for each key, whatever a function says when asked twice.
+5. Many batches are folded into sorted runs, so the number of files stays bounded.
 
 A prompt is made inside the call from the item and the context. Neither the context nor the prompt is shuffled or checkpointed.
 
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulesift.functions.text import text_key
+from rulesift.operators.keyed_store import KeyedStore, distinct_keys, one_row
 from rulesift.schema import EMBEDDING_CACHE, RESPONSE_CACHE
 from rulesift.session import cut_lineage
 
@@ -55,13 +58,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _read_cache(spark: SparkSession, path: str, schema: T.StructType, model: str) -> DataFrame:
-    """One model's rows; an empty table while nothing has been written."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).where(F.col("model") == model).select(*schema.names)
-
-
 def call_tasks(spark: SparkSession, tasks: int | None) -> int:
     return tasks or TASKS_PER_CORE * spark.sparkContext.defaultParallelism
 
@@ -128,25 +124,30 @@ def respond_with_cache(requests: DataFrame, cache_path: str, model: str, annotat
         digest = hashlib.sha256((context or "").encode()).hexdigest()
         item = F.concat(F.lit(digest + "\u001f"), F.coalesce(item, F.lit("")))
     keyed = requests.withColumn("prompt_key", F.sha2(item, 256))
-    ok_cache = _read_cache(spark, cache_path, RESPONSE_CACHE, model).where(F.col("error").isNull())
-    # Keys first: the item moves once, with the misses only.
-    keys = keyed.select("prompt_key").distinct()
-    known = cut_lineage(ok_cache.select("prompt_key").join(keys, "prompt_key", "left_semi").distinct())
-    todo = (keyed.select("prompt_key", F.col(prompt).alias("item")).join(known, "prompt_key", "left_anti")
-            .dropDuplicates(["prompt_key"]).repartition(call_tasks(spark, tasks), "prompt_key"))
-    todo.mapInPandas(_call_annotator(annotator, model, batch_size, render), RESPONSE_CACHE) \
-        .write.mode("append").partitionBy("model").parquet(cache_path)
-    fresh = _read_cache(spark, cache_path, RESPONSE_CACHE, model).join(keys, "prompt_key", "left_semi")
-    one = fresh.groupBy("prompt_key").agg(F.min(F.struct(
-        F.col("error").isNotNull().alias("_bad"), "response", "response_reasoning",
-        "input_tokens", "output_tokens", "error")).alias("_r"))
+    _, known, one = _through_store(
+        KeyedStore(spark, cache_path, RESPONSE_CACHE, "prompt_key", model), keyed, "prompt_key",
+        # Keys first: the item moves once, with the misses only.
+        lambda missing: keyed.select("prompt_key", F.col(prompt).alias("item")).join(missing, "prompt_key", "left_semi")
+        .dropDuplicates(["prompt_key"]).repartition(call_tasks(spark, tasks), "prompt_key")
+        .mapInPandas(_call_annotator(annotator, model, batch_size, render), RESPONSE_CACHE))
     return cut_lineage(keyed.join(one, "prompt_key", "left")
-                       .join(known.withColumn("cache_hit", F.lit(True)), "prompt_key", "left")
-                       .select(*keyed.columns, "_r.response", "_r.response_reasoning", "_r.input_tokens",
-                               "_r.output_tokens", "_r.error",
+                       .join(known.select("prompt_key", F.lit(True).alias("cache_hit")), "prompt_key", "left")
+                       .select(*keyed.columns, "response", "response_reasoning", "input_tokens", "output_tokens", "error",
                                F.coalesce("cache_hit", F.lit(False)).alias("cache_hit")))
 
 
+def _through_store(store: KeyedStore, keyed: DataFrame, key: str, call) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(asked keys, stored answers, one row for each asked key): ``call(missing keys)`` makes the rows of the misses."""
+    store.adopt()
+    keys = distinct_keys(keyed, key)
+    known = cut_lineage(one_row(store.lookup(keys).where(F.col("error").isNull()), key, store.schema))
+    missing = keys.join(known.select(key), key, "left_anti")
+    store.append(call(missing))
+    one = cut_lineage(one_row(known.unionByName(store.recent(keys)), key, store.schema))
+    store.fold()
+    return keys, known, one
+
+
 def run_cost(answered: DataFrame, prices: DataFrame, model_col: str = "model") -> DataFrame:
     """Tokens and USD per model over computed (not cached) calls.
 
@@ -185,18 +186,14 @@ def embed_with_cache(df: DataFrame, cache_path: str, model: str, embedder: Embed
     (text, model); only texts missing from the cache are embedded."""
     spark = df.sparkSession
     keyed = df.withColumn("text_key", text_key(text))
-    cache = _read_cache(spark, cache_path, EMBEDDING_CACHE, model).where(F.col("error").isNull())
-    keys = keyed.select("text_key").distinct()
-    known = cache.select("text_key").join(keys, "text_key", "left_semi").distinct()
-    todo = (keyed.select("text_key", F.col(text).alias("text")).join(known, "text_key", "left_anti")
-            .dropDuplicates(["text_key"]).repartition(call_tasks(spark, tasks), "text_key"))
-    todo.mapInPandas(_call_embedder(embedder, model, batch_size), EMBEDDING_CACHE) \
-        .write.mode("append").partitionBy("model").parquet(cache_path)
-    fresh = _read_cache(spark, cache_path, EMBEDDING_CACHE, model).join(keys, "text_key", "left_semi")
-    one = fresh.groupBy("text_key").agg(F.min(F.struct(
-        F.col("error").isNotNull().alias("_bad"), "embedding", "error")).alias("_e"))
+    _, _, one = _through_store(
+        KeyedStore(spark, cache_path, EMBEDDING_CACHE, "text_key", model), keyed, "text_key",
+        lambda missing: keyed.select("text_key", F.col(text).alias("text")).join(missing, "text_key", "left_semi")
+        .dropDuplicates(["text_key"]).repartition(call_tasks(spark, tasks), "text_key")
+        .mapInPandas(_call_embedder(embedder, model, batch_size), EMBEDDING_CACHE))
+    one = one.select("text_key", F.col("embedding").alias("_e"), F.col("error").alias("_error"))
     return cut_lineage(keyed.join(one, "text_key", "left").select(
-        *df.columns, "text_key", F.col("_e.embedding").alias("embedding"), F.col("_e.error").alias("embed_error")))
+        *df.columns, "text_key", F.col("_e").alias("embedding"), F.col("_error").alias("embed_error")))
 
 
 # --- offline plug-ins (deterministic, no network) ----------------------------------

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulesift.operators.cache import path_exists
+from rulesift.operators.nearest import nearest
 
 TEXT_CLUSTERS = 4
 SEED = 42
@@ -71,17 +72,10 @@ def assign_clusters(model: PipelineModel | None, df: DataFrame) -> DataFrame:
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str = "vec_id",
                      vec: str = "embedding", label: str = "label") -> DataFrame:
-    """M3 in SQL form: nearest centre by squared distance, ties to the lower label.
-
-    Centres are k x dim rows (k is a handful), so the join on the dimension
-    index is broadcast; each point meets every centre once per dimension.
-    """
-    pe = points.select(key, F.posexplode(vec).alias("pos", "v"))
-    ce = F.broadcast(centroids.select(label, F.posexplode("centroid").alias("pos", "c")))
-    d = (pe.join(ce, "pos").groupBy(key, label)
-         .agg(F.sum((F.col("v") - F.col("c")) * (F.col("v") - F.col("c"))).alias("d2")))
-    best = d.groupBy(key).agg(F.min(F.struct(F.round("d2", 9).alias("d"), F.col(label).alias("l"))).alias("_b"))
-    return best.select(key, F.col("_b.l").alias("nearest"), F.round("_b.d", 6).alias("distance2"))
+    """M3: nearest centre by squared distance (compared to nine decimals), ties to the lower label; see ``operators.nearest``."""
+    found = nearest(points.select(key, vec), centroids, label, "centroid", vec, digits=9)
+    return found.where(F.size("_labels") > 0).select(key, F.col("_labels")[0].cast(centroids.schema[label].dataType).alias("nearest"),
+                                                     F.round(F.col("_distances")[0], 6).alias("distance2"))
 
 
 def centroids_by_label(df: DataFrame, vec: str = "embedding", label: str = "label") -> DataFrame:

@@ -37,15 +37,15 @@ RULES_TEMPLATE = (
 
 def run_synthesizer(lists: DataFrame, synthesizer: Synthesizer, key: str = "cluster_id",
                     text: str = "rule_list", guideline: str = "", cache_path: str | None = None,
-                    model: str = "synthesizer", tasks: int | None = None) -> DataFrame:
+                    model: str = "synthesizer", tasks: int | None = None, template: str = RULES_TEMPLATE) -> DataFrame:
     """One synthesizer call per distinct list: ``(key, response, error)``, written to the cache before use."""
     def ask(prompts: list[str]) -> list[dict]:
         return [{"response": synthesizer(p)} for p in prompts]
 
     path = cache_path or shared_path(lists.sparkSession, "synthesizer_cache")
     answered = respond_with_cache(lists.select(key, text), path, model, ask, prompt=text, batch_size=1,
-                                  context=RULES_TEMPLATE + guideline,
-                                  render=lambda rules: RULES_TEMPLATE.format(guideline=guideline, rules=rules), tasks=tasks)
+                                  context=template + guideline,
+                                  render=lambda rules: template.format(guideline=guideline, rules=rules), tasks=tasks)
     return answered.select(key, "response", "error")
 
 

@@ -9,10 +9,13 @@ rows. Text keys are SHA-256 digests so shuffles do not carry the texts.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulesift.functions.text import text_key
+from rulesift.operators.ranking import global_row_number
 
 MATCH_UID, MATCH_TEXT, MATCH_NONE = "uid", "text", "none"
 
@@ -56,10 +59,11 @@ def paired_confidence_change(paired: DataFrame) -> DataFrame:
     )
 
 
-def round_counts(before: DataFrame, after: DataFrame, key: str = "uid") -> DataFrame:
+def round_counts(before: DataFrame, after: DataFrame, key: str = "uid", order: str | None = None) -> DataFrame:
     """Row counts of both rounds and whether they hold the same ids, each as often.
 
-    One tagged union, one partial aggregate per id, one global aggregate.
+    One tagged union, one partial aggregate per id, one global aggregate. With ``order``, a column of positions,
+    ``same_order`` says whether the same ids stand at the same distances from the first row; see ``order_digest``.
     """
     tagged = (before.select(F.col(key).alias("k"), F.lit(1).alias("_b"), F.lit(0).alias("_a"))
               .unionByName(after.select(F.col(key).alias("k"), F.lit(0).alias("_b"), F.lit(1).alias("_a"))))
@@ -77,7 +81,24 @@ def round_counts(before: DataFrame, after: DataFrame, key: str = "uid") -> DataF
     same = ((F.col("rows_before") == F.col("rows_after")) & (F.col("ids_only_before") == 0)
             & (F.col("ids_only_after") == 0) & (F.col("null_ids_before") == 0)
             & (F.col("null_ids_after") == 0) & (F.col("_uneven") == 0))
-    return out.withColumn("same_ids", same).drop("_uneven")
+    out = out.withColumn("same_ids", same).drop("_uneven")
+    if order is None:
+        return out
+    b, a = (order_digest(x, key, order).first() for x in (before, after))  # one row each
+    return out.withColumn("same_order", F.col("same_ids") & F.lit(tuple(b) == tuple(a)))
+
+
+def order_digest(df: DataFrame, key: str = "uid", order: str = "ordinal") -> DataFrame:
+    """One row (rows, digest): equal for two tables that have the same keys at the same positions, counted from the least one.
+
+    Each (key, position) pair is hashed and the hashes are summed modulo two numbers, so that partial sums of any partitions merge and
+    nothing is sorted. Rows without a key or position count as null at it.
+    """
+    least = df.agg(F.min(order)).first()[0]  # one number
+    place = F.col(order) - F.lit(least) if least is not None else F.lit(None).cast("long")
+    h = F.xxhash64(F.lit(1), F.col(key), place), F.xxhash64(F.lit(2), F.col(key), place)
+    sums = [F.sum(F.pmod(x, F.lit(p))) % p for x, p in zip(h, (2147483629, 2147483587))]
+    return df.agg(F.count("*").alias("rows"), F.concat_ws("-", *(x.cast("string") for x in sums)).alias("digest"))
 
 
 # --- J5 / J6 --------------------------------------------------------------------
@@ -168,6 +189,41 @@ def membership(points: DataFrame, annotations: DataFrame, edge_cases: DataFrame,
     return out.drop("_tk", "_uk")
 
 
+def point_links(points: DataFrame, target: DataFrame, text: str = "text_to_annotate", uid: str = "uid") -> DataFrame:
+    """J6 as a link table (uid, target_uid, way): which row of the other plot a point stands for; read either way, since no row
+    of either side is in two links.
+
+    Rows with the same uid are linked (the k-th with the k-th, if ids repeat). Of the rows whose uid the other side has not, the k-th
+    copy of a text, in the order of uids (rows without one last), meets the k-th copy there. Copies are numbered by a
+    distributed rank, so a text that holds a third of all rows is in no single task, and copies never multiply.
+    """
+    def side(df: DataFrame) -> DataFrame:
+        return df.select(F.col(uid).alias("u"), text_key(text).alias("_tk"))
+
+    def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
+        ranked = global_row_number(df.withColumn("_nu", F.col("u").isNull()), [*keys, "_nu", "u", "_tk"], "_rn")
+        start = ranked.groupBy(*keys).agg(F.min("_rn").alias("_start"))
+        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        start = start.withColumnsRenamed({k: f"_{k}" for k in keys})
+        joined = ranked.join(start, functools.reduce(lambda x, y: x & y, on))
+        return joined.select("u", "_tk", (F.col("_rn") - F.col("_start")).alias("k"))
+
+    p, t = side(points), side(target)
+    by_uid = (numbered(p.where("u is not null"), ["u"]).select("u", "k")
+              .join(numbered(t.where("u is not null"), ["u"]).select(F.col("u").alias("v"), F.col("k").alias("m")), (F.col("u") == F.col("v")) & (F.col("k") == F.col("m")))
+              .select(F.col("u").alias("uid"), F.col("v").alias("target_uid"), F.lit(MATCH_UID).alias("way")))
+
+    def rest(mine: DataFrame, other: DataFrame) -> DataFrame:
+        known = other.where("u is not null").select(F.col("u").alias("_o")).distinct()
+        return mine.withColumn("_uk", spread_uid("u")).join(known, F.col("_uk") == F.col("_o"), "left_anti").where("_tk is not null").select("u", "_tk")
+
+    a = numbered(rest(p, t), ["_tk"])
+    b = numbered(rest(t, p), ["_tk"]).select(F.col("u").alias("v"), F.col("_tk").alias("_tl"), F.col("k").alias("m"))
+    by_text = (a.join(b, (F.col("_tk") == F.col("_tl")) & (F.col("k") == F.col("m")))
+               .select(F.col("u").alias("uid"), F.col("v").alias("target_uid"), F.lit(MATCH_TEXT).alias("way")))
+    return by_uid.unionByName(by_text)
+
+
 # --- A1 / A2 / A3 / A14 -----------------------------------------------------------
 
 def _ui_confidence(c: str = "confidence") -> Column:

@@ -45,5 +45,5 @@ def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
     from rulesift.plans import (  # noqa: F401
         explore_queries, ingest_queries, jobs_queries, ml_queries, rounds_queries,
-        rules_queries, store_queries,
+        rules_queries, state_queries, store_queries,
     )

@@ -9,19 +9,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulesift.functions.parse import parse_annotations
-from rulesift.functions.text import guideline_label_lines, split_template
+from rulesift.functions.text import guideline_label_lines, split_template, text_key
 from rulesift.operators import cache as C
 from rulesift.operators import features as M
 from rulesift.operators import rounds as R
 from rulesift.operators import rules as RU
-from rulesift.operators.balance import balanced_clusters
-from rulesift.operators.generalise import Synthesizer, generalise, merge_similar, offline_synthesizer
+from rulesift.operators.generalise import Synthesizer, generalise, offline_synthesizer
 from rulesift.operators.identity import assign_ids
+from rulesift.operators.history import record
+from rulesift.operators.keyed_store import KeyedStore, distinct_keys
+from rulesift.operators.merge_blocks import Merger, merge_by_model, offline_merger
 from rulesift.operators.registry import update_edge_cases, upsert_relabelled
+from rulesift.operators.stored_cells import rule_clusters
+from rulesift.schema import REGISTRY
 from rulesift.session import cut_lineage
 from rulesift.sources.ingest import clean_examples, input_report, raise_on_violations, read_round
 from rulesift.sources.sinks import write_round
@@ -42,9 +46,11 @@ class Plugins:
     annotator: C.Annotator
     embedder: C.Embedder
     synthesizer: Synthesizer = offline_synthesizer
+    merger: Merger = offline_merger
     annotate_model: str = "annotator"
     embed_model: str = "hashing-64"
     synthesize_model: str = "synthesizer"
+    merge_model: str = "merger"
     tasks: int | None = None       # tasks that calls are dealt over; default: a multiple of the cores
 
 
@@ -87,14 +93,41 @@ def _answer(ex: DataFrame, guidelines: DataFrame, task_id: str, work_dir: str, p
     return parsed
 
 
+def registry_of(spark: SparkSession, path: str, task_id: str) -> KeyedStore:
+    """The registry of one task's text ids (J1) as a keyed store."""
+    return KeyedStore(spark, path, REGISTRY, "text_key", task_id)
+
+
+def identify(examples: DataFrame, task_id: str, registry: DataFrame | None, registry_path: str | None) -> tuple[DataFrame, DataFrame]:
+    """P1/P2 -> J1: (cleaned examples with ids, checkpointed; registry additions). A stored registry is looked up for these
+    texts only and gets the additions."""
+    ex = clean_examples(examples)
+    if registry_path is None:
+        ex, additions = assign_ids(ex, registry)
+        return cut_lineage(ex), additions
+    store = registry_of(examples.sparkSession, registry_path, task_id)
+    ex = cut_lineage(ex)
+    known = store.lookup(distinct_keys(ex.withColumn("text_key", text_key("text_to_annotate")), "text_key"))
+    if registry is not None:
+        known = known.unionByName(registry.select(*known.columns))
+    ex, additions = assign_ids(ex, known)
+    additions = cut_lineage(additions)
+    ex = cut_lineage(ex)
+    store.append(additions)
+    store.fold()
+    return ex, additions
+
+
 def annotate_round(examples: DataFrame, guidelines: DataFrame, task_id: str, round_no: int, work_dir: str,
                    plugins: Plugins, registry: DataFrame | None = None, template: str = DEFAULT_TEMPLATE,
-                   reuse_models: bool = False, check: bool = True, out_path: str | None = None) -> DataFrame:
+                   reuse_models: bool = False, check: bool = True, out_path: str | None = None,
+                   registry_path: str | None = None) -> DataFrame:
     """B1: P14 -> P1/P2 -> J1 -> M1 -> M2/M4 (M5) -> F3 -> J2 -> F4-F6 (-> S4).
 
     ``examples``: (task_id, ordinal, text_to_annotate). Returns one row per
     distinct text in the ANNOTATIONS shape; with ``out_path`` the round is
-    written partitioned by task and round (dynamic overwrite) and read back.
+    written partitioned by task and round (dynamic overwrite) and read back. With ``registry_path`` ids
+    come from the registry stored there, and the ids of new texts are added to it.
     """
     spark = examples.sparkSession
     ex = examples.where(F.col("task_id") == task_id)
@@ -102,10 +135,9 @@ def annotate_round(examples: DataFrame, guidelines: DataFrame, task_id: str, rou
         raise_on_violations(input_report(ex, guidelines.where(F.col("task_id") == task_id)))
     # Lineage cuts: the ids feed embedding and prompts; the embeddings come
     # back checkpointed and feed a count, two fingerprints and the fits.
-    ex, _ = assign_ids(clean_examples(ex), registry)
-    ex = cut_lineage(ex)
+    ex, _ = identify(ex, task_id, registry, registry_path)
     emb = C.embed_with_cache(ex.select("uid", "text_to_annotate"), f"{work_dir}/embedding_cache",
-                             plugins.embed_model, plugins.embedder, text="text_to_annotate")
+                             plugins.embed_model, plugins.embedder, text="text_to_annotate", tasks=plugins.tasks)
     vec = M.with_vector(emb)
     n = vec.count()
     root = f"{work_dir}/models"
@@ -132,12 +164,13 @@ def annotate_round(examples: DataFrame, guidelines: DataFrame, task_id: str, rou
 
 
 def discover_edge_cases(annotations: DataFrame, task_id: str, round_no: int, work_dir: str, plugins: Plugins,
-                        require_flag: bool = False, guideline: str = "") -> tuple[DataFrame, DataFrame]:
-    """B2: P5/P6 -> M1 -> M6-M8 -> W1 -> A7 -> M10/F7 -> J8 -> A8 -> merge -> J9 -> J10/P7.
+                        require_flag: bool = False, guideline: str = "", reuse_cells: bool = False) -> tuple[DataFrame, DataFrame]:
+    """B2: P5/P6 -> M1 -> M6-M8 -> W1 -> A7 -> M10/F7 -> J8 -> A8 -> F8 (blocks of similar rules) -> J9 -> J10/P7.
 
     Returns ``(suggestions(rule_key, rule_no, rule), edge_cases)``. ``edge_cases`` has one row for each row with a
     proposed rule and the same columns for any number of rules. A rule whose embedding failed keeps its row with
     ``embed_error``, without a place and without a general rule (L11). ``guideline`` is part of the synthesizer's prompt.
+    With ``reuse_cells`` rules that this round has clustered before keep their clusters and new ones join them (M5).
     """
     spark = annotations.sparkSession
     rules = cut_lineage(RU.proposed_rules(annotations, require_flag=require_flag))
@@ -149,7 +182,8 @@ def discover_edge_cases(annotations: DataFrame, task_id: str, round_no: int, wor
     if n > 1:
         pca, _ = M.load_or_fit(spark, f"{work_dir}/models", task_id, round_no, "rule_pca", vec, M.fit_projection)
         placed = M.project(pca, vec).select("uid", "pca_x", "pca_y")
-        numbered = RU.number_in_cluster(rows.join(balanced_clusters(emb.where("embedding is not null").select("uid", "embedding")), "uid"))
+        cells = rule_clusters(emb.where("embedding is not null").select("uid", "embedding"), M.model_path(f"{work_dir}/models", task_id, round_no, "rule_cells"), reuse_cells)
+        numbered = RU.number_in_cluster(rows.join(cells, "uid"))
         cats = generalise(RU.numbered_lists(numbered), plugins.synthesizer, guideline=guideline, model=plugins.synthesize_model,
                           cache_path=f"{work_dir}/response_cache", tasks=plugins.tasks)
         mapped = RU.map_members(cats, numbered)
@@ -163,10 +197,11 @@ def discover_edge_cases(annotations: DataFrame, task_id: str, round_no: int, wor
     if n // RU.RULES_PER_CLUSTER + 1 == 1:                       # one cluster: no global merge
         merges = spark.createDataFrame([], "block string, merge_no int, member long, merged_rule string")
     else:
-        comp = merge_similar(ordered)
-        merges = comp.where(F.col("rule_no") != F.col("component")).select(
-            F.lit("similar").alias("block"), F.col("component").cast("int").alias("merge_no"),
-            "rule_no", "merged_rule").withColumnRenamed("rule_no", "member")
+        comp = merge_by_model(ordered, plugins.merger, guideline=guideline, model=plugins.merge_model,
+                              cache_path=f"{work_dir}/response_cache", tasks=plugins.tasks)
+        sets = comp.groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1").select("component")
+        merges = comp.join(sets, "component").select(
+            F.lit("model").alias("block"), F.col("component").cast("int").alias("merge_no"), F.col("rule_no").alias("member"), "merged_rule")
     merged = RU.merge_rules(ordered, merges)
     members = (mapped.join(ordered, mapped["category_description"] == ordered["rule"]).select("uid", "rule_no")
                .join(merged, "rule_no").select("uid", "final_no", "final_rule"))
@@ -180,10 +215,10 @@ def discover_edge_cases(annotations: DataFrame, task_id: str, round_no: int, wor
 def annotate_increment(new_examples: DataFrame, annotations: DataFrame, guidelines: DataFrame, task_id: str,
                        round_no: int, work_dir: str, plugins: Plugins, registry: DataFrame | None = None,
                        template: str = DEFAULT_TEMPLATE, edge_cases: DataFrame | None = None,
-                       check: bool = True) -> Increment:
+                       check: bool = True, registry_path: str | None = None) -> Increment:
     """P14 -> score new examples with the round's stored models (no refit) and
     upsert them into the annotations and the edge cases (J7). Fails clearly when
-    the round has no models (ledger L23)."""
+    the round has no models (ledger L23). ``registry_path`` as for ``annotate_round``."""
     from pyspark.ml import PipelineModel
     spark = new_examples.sparkSession
     paths = [M.model_path(f"{work_dir}/models", task_id, round_no, m) + "/model" for m in ("text_kmeans", "text_pca")]
@@ -193,10 +228,9 @@ def annotate_increment(new_examples: DataFrame, annotations: DataFrame, guidelin
     new = new_examples.where(F.col("task_id") == task_id)
     if check:
         raise_on_violations(input_report(new, guidelines.where(F.col("task_id") == task_id)))
-    ex, additions = assign_ids(clean_examples(new), registry)
-    ex = cut_lineage(ex)
+    ex, additions = identify(new, task_id, registry, registry_path)
     emb = C.embed_with_cache(ex.select("uid", "text_to_annotate"), f"{work_dir}/embedding_cache",
-                             plugins.embed_model, plugins.embedder, text="text_to_annotate")
+                             plugins.embed_model, plugins.embedder, text="text_to_annotate", tasks=plugins.tasks)
     placed = M.project(pca, M.assign_clusters(km, M.with_vector(emb))).select("uid", "cluster", "pca_x", "pca_y")
     parsed = _answer(ex, guidelines, task_id, work_dir, plugins, template)
     new_rows = parsed.join(placed, "uid", "left").select(
@@ -204,13 +238,15 @@ def annotate_increment(new_examples: DataFrame, annotations: DataFrame, guidelin
         "cluster", "pca_x", "pca_y", "raw_annotations", "analyses", "annotation", "confidence", "new_edge_case",
         "guideline_improvement", "parse_ok", "error")
     new_rows = project_rules(new_rows, task_id, round_no, work_dir, plugins)
-    updated = None
-    if edge_cases is not None:
-        at_rules = new_rows.drop("pca_x", "pca_y").withColumnsRenamed({"edge_case_pca_x": "pca_x", "edge_case_pca_y": "pca_y"})
-        updated = update_edge_cases(edge_cases, at_rules)
+    updated = None if edge_cases is None else update_edge_cases(edge_cases, at_rules(new_rows))
     return Increment(upsert_relabelled(annotations, new_rows), updated, additions)
 
 
+def at_rules(new_rows: DataFrame) -> DataFrame:
+    """New rows with the places of their rules instead of those of their texts, as the edge cases have them."""
+    return new_rows.drop("pca_x", "pca_y").withColumnsRenamed({"edge_case_pca_x": "pca_x", "edge_case_pca_y": "pca_y"})
+
+
 def project_rules(rows: DataFrame, task_id: str, round_no: int, work_dir: str, plugins: Plugins) -> DataFrame:
     """B3's rule projection: a new edge case with a rule (flag required,
     ledger L14) gets its rule condition embedded and placed with the round's
@@ -225,20 +261,24 @@ def project_rules(rows: DataFrame, task_id: str, round_no: int, work_dir: str, p
     model = PipelineModel.load(path)
     flagged = RU.proposed_rules(rows.select("uid", "guideline_improvement", "new_edge_case"), require_flag=True)
     emb = C.embed_with_cache(flagged.select("uid", "condition"), f"{work_dir}/embedding_cache",
-                             plugins.embed_model, plugins.embedder, text="condition")
+                             plugins.embed_model, plugins.embedder, text="condition", tasks=plugins.tasks)
     placed = M.project(model, M.with_vector(emb), names=("edge_case_pca_x", "edge_case_pca_y"))
     return rows.join(placed.select("uid", "edge_case_pca_x", "edge_case_pca_y"), "uid", "left")
 
 
 def iterate(examples: DataFrame, guidelines: DataFrame, saved_rules: DataFrame, task_id: str, next_round: int,
             work_dir: str, plugins: Plugins, registry: DataFrame | None = None,
-            out_path: str | None = None) -> dict[str, DataFrame]:
-    """Guideline + saved rules (A9) -> B1 and B2 at the next round (U3:
-    with ``out_path`` the new round is one more partition of the rounds table)."""
+            out_path: str | None = None, history_path: str | None = None, registry_path: str | None = None) -> dict[str, DataFrame]:
+    """Guideline + saved rules (A9) -> B1 and B2 at the next round (U3: with ``out_path`` the new round is one more
+    partition of the rounds table; with ``history_path`` the guideline it is labelled under is one more version of the history,
+    in force from this round on, and the whole history is returned too)."""
     complete = RU.complete_guideline(guidelines.where(F.col("task_id") == task_id), saved_rules)
-    ann = annotate_round(examples, complete, task_id, next_round, work_dir, plugins, registry, out_path=out_path)
+    out = {"guideline": complete}
+    if history_path is not None:
+        out["history"] = record(complete, history_path, F.lit(next_round))
+    ann = annotate_round(examples, complete, task_id, next_round, work_dir, plugins, registry, out_path=out_path, registry_path=registry_path)
     sugg, edge = discover_edge_cases(ann, task_id, next_round, work_dir, plugins, guideline=_guideline(complete, task_id)[0])
-    return {"guideline": complete, "annotations": ann, "suggestions": sugg, "edge_cases": edge}
+    return out | {"annotations": ann, "suggestions": sugg, "edge_cases": edge}
 
 
 def compare_rounds(before: DataFrame, after: DataFrame) -> dict[str, DataFrame]:
