@@ -38,6 +38,8 @@ from rulesift.llm import textarrays as T
 #: Input bytes whose words make one shard of the dictionary, bytes of text of one CSR shard, and distinct hashes a task holds.
 TERM_BYTES, SHARD_BYTES, FLUSH = 8 << 20, 1 << 20, 1 << 20
 _ROWS_OUT = 1 << 16
+#: Estimates from here on are Spark's default for rows without statistics.
+UNKNOWN_SIZE = 1 << 56
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -70,9 +72,10 @@ class Terms:
     @staticmethod
     def build(docs: DataFrame, folder: str) -> Terms:
         """Of all words of ``docs.text``, case-sensitive."""
-        cores = docs.sparkSession.sparkContext.defaultParallelism
-        n = max(2 * cores, -(-files.size_hint(docs) // TERM_BYTES), 2)
-        bits = (int(n) - 1).bit_length()
+        spark, size = docs.sparkSession, files.size_hint(docs)
+        # without statistics (no files behind the rows) Spark's own number of partitions is taken
+        by_size = -(-size // TERM_BYTES) if size < UNKNOWN_SIZE else int(spark.conf.get("spark.sql.shuffle.partitions"))
+        bits = (max(2 * spark.sparkContext.defaultParallelism, by_size, 2) - 1).bit_length()
         hashes = docs.select("text").mapInArrow(_distinct_hashes, "hash long")
         made = (hashes.repartition(1 << bits, F.shiftrightunsigned("hash", 64 - bits))
                 .mapInArrow(_write_terms(folder, bits), "shard long, path string, place long, n long").collect())  # one row a shard

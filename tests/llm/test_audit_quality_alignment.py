@@ -69,10 +69,8 @@ def test_audit_of_nothing(spark, no_docs):
     assert audit(no_docs, spark.createDataFrame([(1, 1, 1)], LABELS), F.col("lang")).collect() == []
 
 
-def test_term_matrix_holds_the_words(spark, edge, monkeypatch):
+def test_term_matrix_holds_the_words(spark, edge):
     from rulesift.llm import filter_audit as A
-    monkeypatch.setattr(A, "FLUSH", 64)
-    monkeypatch.setattr(A, "SHARD_BYTES", 200)
     docs = edge.unionByName(spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").limit(40), allowMissingColumns=True)
     matrix = A.TermMatrix.build(docs, F.lit("p"))
     words = sorted({int(T.hash_bytes(w.encode())) for _, t in pairs(docs) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")})
@@ -87,7 +85,19 @@ def test_term_matrix_holds_the_words(spark, edge, monkeypatch):
         for d, a, b in zip(r.docs, indptr[:-1], indptr[1:]):
             got.append(((d.doc_id if d.doc_id is not None else -1), tuple(zip(ids[a:b].tolist(), counts[a:b].tolist()))))
     assert sorted(got) == want
-    assert matrix.shards(spark).count() > 5
+
+
+def test_flushes_and_shards_of_small_pieces(monkeypatch):
+    """In one process, where the limits can be small: every word once in a flush's rows, and one row for each document."""
+    import pyarrow as pa
+    from rulesift.llm import filter_audit as A
+    monkeypatch.setattr(A, "FLUSH", 64)
+    monkeypatch.setattr(A, "_ROWS_OUT", 10)
+    texts = [" ".join(f"w{i * j}" for j in range(30)) for i in range(200)]
+    batches = [pa.record_batch({"text": texts[i:i + 7]}) for i in range(0, 200, 7)]
+    words = {w for t in texts for w in t.split()}
+    got = np.concatenate([b.column(0).to_numpy() for b in A._distinct_hashes(iter(batches))])
+    assert {int(h) for h in got.view(np.uint64)} == {T.hash_bytes(w.encode()) for w in words}
 
 
 # --- op12 ------------------------------------------------------------------------
@@ -230,16 +240,32 @@ def test_alignment_equals_token_by_token(spark, edge):
     assert tokens == collections.Counter((i, *map(tuple, (f[0], f[2], f[1], f[3]) if f else ((),) * 4)) for i, f in found)
 
 
-def test_alignment_of_documents(spark, monkeypatch):
+def test_alignment_of_documents(spark):
     from rulesift.llm import token_alignment as A
-    monkeypatch.setattr(A, "FLUSH", 500)
-    monkeypatch.setattr(A, "PAIRS_A_FILE", 3000)
-    monkeypatch.setattr(A, "CHUNK_BYTES", 20_000)
     docs = Q.read(spark, SF001, "documents")
     want, _, _ = _aligned(pairs(docs))
     assert collections.Counter(tuple(r) for r in A.align_corpus(docs, A.TokenizerPair(*_files())).collect()) == collections.Counter(want)
 
 
+def test_small_steps_and_runs_change_nothing(monkeypatch):
+    import pyarrow as pa
+    from rulesift.llm import token_alignment as A
+    pair = A.TokenizerPair(*_files())
+    batch = pa.record_batch({"doc_id": list(range(len(ODD))), "text": ODD})
+    for limits in ((4 << 20, 1 << 18, 1 << 12, 32), (100, 10, 5, 1), (1, 1, 1, 3)):
+        for name, value in zip(("CHUNK_BYTES", "STEP_BYTES", "RUN_BYTES", "BATCH"), limits):
+            monkeypatch.setattr(A, name, value)
+        found = []
+        for _, buf, offsets in T.chunks(iter([batch]), size=A.CHUNK_BYTES):
+            c = A.Chunk.align(pair, buf, offsets)
+            flat, first, size = c.segments.written()
+            out = A.ragged(flat, first[c.place], size[c.place]).tobytes()
+            ends = np.concatenate([[0], np.cumsum(c.sums(size))])
+            found += [out[a:max(a, b - 1)].decode() for a, b in zip(ends[:-1], ends[1:])]
+        want = [";".join(f[4]) if f else "" for _, f in _aligned(list(enumerate(ODD)))[2]]
+        assert found == want
+
+
 def test_spans_alone_decide_clean_borders():
     """The refinement only moves ends between clean borders, and wrong spans show."""
     from rulesift.llm.token_alignment import _table, refine
