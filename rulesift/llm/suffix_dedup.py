@@ -14,7 +14,8 @@
    prefix of length l) marks the boundaries of all strings shorter than ``length``. What stays
    unmarked are the suffixes that share ``length`` bytes with a neighbour: all but the first of
    each interval are covered.
-4. Covers are united per document and cut from the text.
+4. Covers are united per document and cut from the text. Covers and wanted places travel packed, one row for each task or shard and
+   bucket of documents, and are put together by bucket before they meet the texts.
 
 Places are ordered by doc_id (null first), then, for documents of one id but different texts, by a
 hash of the text. Hashes only choose candidates, except that contexts (100 to 150 bytes)
@@ -91,11 +92,11 @@ def sliding_min(v: np.ndarray, wide: int) -> np.ndarray:
     return out
 
 
-_SENT = "shard int, doc_id long, tie long, spans array<long>, payload binary"
+_SENT = "shard int, bucket int, payload binary"
 
 
 def _find_anchors(length: int, bits: int):
-    """Rows without doc_id: a shard's packed anchors; with doc_id: covers of that document."""
+    """Rows without a bucket: a shard's packed anchors; with one: covers of its documents."""
     def run(batches):
         held, n = [], 0
         for rows, buf, offsets in T.chunks(batches):
@@ -148,7 +149,7 @@ def _collapse(key, context, ids, ties, at):
 def _send(held: list, bits: int) -> Iterator[pa.RecordBatch]:
     key, context, ids, ties, at, left, right = (np.concatenate(x) for x in zip(*held))
     keep, covered = _collapse(key, context, ids, ties, at)
-    yield _spans(ids[covered], ties[covered], at[covered] - left[covered], at[covered] + right[covered], spread=1 << bits)
+    yield _spans(ids[covered], ties[covered], at[covered] - left[covered], at[covered] + right[covered], bits)
     order = keep[np.argsort(key[keep])]
     key, context, ids, ties, at, left, right = (x[order] for x in (key, context, ids, ties, at, left, right))
     cuts = np.searchsorted((key >> T.U64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
@@ -164,9 +165,8 @@ def _send(held: list, bits: int) -> Iterator[pa.RecordBatch]:
 
 
 def _packed_rows(shards, payloads) -> pa.RecordBatch:
-    n = len(shards)
-    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())),
-                                       pa.array(payloads, pa.binary())], names=["shard", "doc_id", "tie", "spans", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.nulls(len(shards), pa.int32()), pa.array(payloads, pa.binary())],
+                                      names=["shard", "bucket", "payload"])
 
 
 def _distinct_docs(ids, ties):
@@ -178,28 +178,65 @@ def _distinct_docs(ids, ties):
     return (ids[head], ties[head]), place
 
 
-def _spans(ids, ties, start, end, spread: int = 0) -> pa.RecordBatch:
-    """Covers: one row for each document with its united spans, as start * 2**32 + bytes.
-
-    With ``spread`` the rows are dealt over so many shards, to travel with the anchors.
-    """
+def _united(ids, ties, start, end):
+    """(documents, document of each united span, spans as start * 2**32 + bytes), by document."""
     docs, doc = _distinct_docs(ids, ties)
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order].astype(np.int64), end[order].astype(np.int64)
     far = (int(end.max()) + 1) if len(end) else 1
     s, e = unite(start + doc * far, end + doc * far)
     doc = s // far
-    flat = ((s - doc * far) << 32) | (e - s)
-    return _doc_rows(docs, doc, flat, (docs[1].view(T.U64) % T.U64(spread)).astype(np.int32) if spread else -1)
+    return docs, doc, ((s - doc * far) << 32) | (e - s)
+
+
+def _spans(ids, ties, start, end, bits: int, shard: int | None = None) -> pa.RecordBatch:
+    """Covers, united per document. Without ``shard`` the rows are dealt over the shards, to travel with the anchors."""
+    return _bucket_rows(*_united(ids, ties, start, end), bits, shard)
+
+
+def _bucket_rows(docs, doc, flat, bits: int, shard: int | None) -> pa.RecordBatch:
+    """One row for each of 2**bits buckets that documents fall in: packed ids, ties, how many numbers each has, the numbers."""
+    ids, ties = docs
+    count = np.bincount(doc, minlength=len(ids)).astype(np.int64)
+    bucket = (T.mix(ids.view(T.U64) ^ T.mix(ties.view(T.U64))) >> T.U64(64 - bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    flat = ragged(flat, (np.cumsum(count) - count)[order], count[order])
+    ids, ties, count, bucket = ids[order], ties[order], count[order], bucket[order]
+    some, first = np.unique(bucket, return_index=True)
+    cuts, ends = np.append(first, len(ids)), np.concatenate([[0], np.cumsum(count)])
+    payloads = [T.pack_many((ids[a:b].view(T.U64), False), (ties[a:b].view(T.U64), False), (count[a:b], False), (flat[ends[a]:ends[b]], False))
+                for a, b in zip(cuts[:-1], cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(some if shard is None else np.full(len(some), shard), pa.int32()), pa.array(some, pa.int32()),
+                                       pa.array(payloads, pa.binary())], names=["shard", "bucket", "payload"])
+
+
+def _gather(covers: bool):
+    """One row a document from the packed rows, which come by bucket: its united covers, or its wanted places."""
+    def rows(parts):
+        ids, ties, count, flat = (np.concatenate(x).view(np.int64) for x in zip(*parts))
+        ids, ties = np.repeat(ids, count), np.repeat(ties, count)
+        if covers:
+            docs, doc, flat = _united(ids, ties, flat >> 32, (flat >> 32) + (flat & 0xFFFFFFFF))
+        else:
+            docs, doc = _distinct_docs(ids, ties)
+            order = np.lexsort((flat, doc))
+            doc, flat = doc[order], flat[order]
+        cuts = np.searchsorted(doc, np.arange(len(docs[0]) + 1))
+        return pa.RecordBatch.from_arrays([pa.array(docs[0]), pa.array(docs[1]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))],
+                                          names=["doc_id", "tie", "spans"])
 
-
-def _doc_rows(docs, doc, flat, shard) -> pa.RecordBatch:
-    n = len(docs[0])
-    offsets = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
-    shards = np.full(n, shard, np.int32) if np.isscalar(shard) else shard
-    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(docs[0], pa.int64()), pa.array(docs[1], pa.int64()),
-                                       pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())), pa.nulls(n, pa.binary())],
-                                      names=["shard", "doc_id", "tie", "spans", "payload"])
+    def run(batches):
+        held, last = [], None
+        for b in batches:
+            for bucket, payload in zip(b.column(0).to_pylist(), b.column(1)):
+                if held and bucket != last:
+                    yield rows(held)
+                    held = []
+                held.append(T.unpack_many(payload.as_py()))
+                last = bucket
+        if held:
+            yield rows(held)
+    return run
 
 
 def unite(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,13 +250,13 @@ def unite(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _split(table: pa.Table) -> tuple[pa.Table, list[list[np.ndarray]]]:
     """(cover rows that only pass, unpacked payloads)."""
-    sent = table.column("doc_id").is_null()
+    sent = table.column("bucket").is_null()
     passed = table.filter(pc.invert(sent))
     passed = passed.set_column(0, "shard", pa.array(np.full(len(passed), -1), pa.int32()))
     return passed, [T.unpack_many(c.as_py()) for c in table.filter(sent).column("payload")]
 
 
-def _meet(length: int):
+def _meet(length: int, bits: int):
     """Of a shard of anchors: covers (shard -1) and the places whose bytes are needed (shard -2)."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         passed, parts = _split(table)
@@ -240,7 +277,7 @@ def _meet(length: int):
         kept = kept[order]
         context, ids, ties, at, left, right = map(np.concatenate, columns)
         keep, covered = _collapse(kept, context, ids, ties, at)
-        out = [_spans(ids[covered], ties[covered], at[covered] - left[covered], at[covered] + right[covered])]
+        out = [_spans(ids[covered], ties[covered], at[covered] - left[covered], at[covered] + right[covered], bits, -1)]
         keep = keep[np.argsort(kept[keep])]
         _, place, n = np.unique(kept[keep], return_inverse=True, return_counts=True)
         n = n[place]
@@ -248,7 +285,7 @@ def _meet(length: int):
         tier = np.searchsorted(TIERS, n)  # contexts of an anchor, by tens and thousands
         docs, doc = _distinct_docs(ids[keep], ties[keep])
         order = np.argsort(doc, kind="stable")
-        out.append(_doc_rows(docs, doc[order], (at[keep] * 4 + tier)[order], -2))
+        out.append(_bucket_rows(docs, doc[order], (at[keep] * 4 + tier)[order], bits, -2))
         return pa.concat_tables([passed, pa.Table.from_batches(out)])
     return run
 
@@ -303,7 +340,7 @@ def _context_hashes(body, size):
 def _send_contexts(held: list, bits: int) -> Iterator[pa.RecordBatch]:
     key, ids, ties, start, size, body = (np.concatenate(x) for x in zip(*held))
     keep, covered = _collapse(key, _context_hashes(body, size), ids, ties, start)
-    yield _spans(ids[covered], ties[covered], start[covered], start[covered] + size[covered], spread=1 << bits)
+    yield _spans(ids[covered], ties[covered], start[covered], start[covered] + size[covered], bits)
     base = np.cumsum(size) - size
     keep = keep[np.argsort(key[keep])]
     cuts = np.searchsorted((key[keep] >> T.U64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
@@ -316,7 +353,7 @@ def _send_contexts(held: list, bits: int) -> Iterator[pa.RecordBatch]:
     yield _packed_rows(shards, out)
 
 
-def _expand(length: int):
+def _expand(length: int, bits: int):
     """Suffix array, BWT and interval expansion over a shard's contexts; covers of all but the first."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         passed, parts = _split(table)
@@ -329,7 +366,7 @@ def _expand(length: int):
         del parts
         base = np.cumsum(size) - size
         keep, covered = _collapse(key, _context_hashes(body, size), ids, ties, start)
-        out = [_spans(ids[covered], ties[covered], start[covered], start[covered] + size[covered])]
+        out = [_spans(ids[covered], ties[covered], start[covered], start[covered] + size[covered], bits, -1)]
         keep = keep[np.argsort(key[keep])]
         keep = keep[_in_runs(_equal_runs(key[keep]))]
         heads = np.append(np.flatnonzero(~_equal_runs(key[keep])), len(keep))
@@ -341,7 +378,7 @@ def _expand(length: int):
                 spans.append(_repeats(body, base[o], size[o], ids[o], ties[o], start[o], length))
                 a = heads[i]
         if spans:
-            out.append(_spans(*map(np.concatenate, zip(*spans))))
+            out.append(_spans(*map(np.concatenate, zip(*spans)), bits, -1))
         return pa.concat_tables([passed, pa.Table.from_batches(out)])
     return run
 
@@ -498,14 +535,18 @@ def cut_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False) ->
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(T.NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("tie"),
                        text.alias("text"), *extra)
     bits = (files.shards_for(docs, SHARD_BYTES) - 1).bit_length()
-    met = (base.select("doc_id", "tie", "text").mapInArrow(_find_anchors(length, bits), _SENT).groupBy("shard").applyInArrow(_meet(length), _SENT)
-           .select("shard", *key, "spans").checkpoint())
-    gathered = lambda rows: rows.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans")).hint("shuffle_hash")
-    wanted = gathered(met.where("shard = -2"))
+    met = (base.select("doc_id", "tie", "text").mapInArrow(_find_anchors(length, bits), _SENT).groupBy("shard").applyInArrow(_meet(length, bits), _SENT)
+           .checkpoint())
+
+    def gathered(rows: DataFrame, covers: bool) -> DataFrame:
+        return (rows.select("bucket", "payload").repartition("bucket").sortWithinPartitions("bucket")
+                .mapInArrow(_gather(covers), "doc_id long, tie long, spans array<long>").hint("shuffle_hash"))
+
+    wanted = gathered(met.where("shard = -2"), False)
     # the same columns as in the last join, so that one shuffle of the texts serves both
     contexts = base.join(wanted, key).select(*base.columns, "spans").mapInArrow(_fetch(length, bits), _SENT)
-    expanded = contexts.groupBy("shard").applyInArrow(_expand(length), _SENT)
-    covers = gathered(met.where("shard = -1").select(*key, "spans").union(expanded.select(*key, "spans")))
+    expanded = contexts.groupBy("shard").applyInArrow(_expand(length, bits), _SENT)
+    covers = gathered(met.where("shard = -1").union(expanded), True)
     row = f", kept_text string, row {base.schema['row'].dataType.simpleString()}" if keep_text else ""
     return (base.join(covers, key, "left").select(*base.columns, "spans").mapInArrow(_cut(carry), _CUT + row)
             .dropDuplicates(key).drop("tie"))

@@ -185,5 +185,17 @@ def test_stage_edges(spark, edge, no_docs):
         if name != P.STAGES[-1][0]:
             assert docs.columns == edge.columns
     ids = sorted((r.doc_id for r in docs.collect()), key=lambda i: (i is None, i or 0))
-    # 4 and 7 are near copies of 3 and 6, 5 is one of a row without id, and the repeated row 3 is one
-    assert ids == [1, 2, 3, 6, 8, 9, 10, None, None]
+    # 4 and 7 are near copies of 3 and 6, a row without id is a copy of 5, and the repeated row 3 is one
+    assert ids == [1, 2, 3, 5, 6, 8, 9, 10, None]
+
+
+def test_groups_are_judged_by_row(spark):
+    """Near copies without ids, and one whose id another text has too: one row of the group stays."""
+    import corpus_pipeline as P
+    words = [f"w{i}" for i in range(60)]
+    near = lambda i: " ".join(words[:i] + ["other"] + words[i + 1:])
+    rows = [(None, near(0)), (None, near(59)), (7, " ".join(words)), (8, near(1)), (8, "a text of its own with enough words to be one"), (None, ""), (9, ""), (8, near(1))]
+    docs = spark.createDataFrame([(i, t, "row", 1) for i, t in rows], "doc_id long, text string, row_key string, kept int").repartition(3)
+    got = P.one_of_each_group(spark, docs, SF001)
+    assert got.columns == docs.columns
+    assert sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in got.collect()) == sorted([(7, " ".join(words)), (8, rows[4][1]), (-1, ""), (9, "")])
