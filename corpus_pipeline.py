@@ -5,8 +5,8 @@ folder and reads it again for the next stage, so a lost executor costs part of o
 the columns of ``documents``; other columns of the input pass through.
 
 Edge cases: null and empty texts pass the filters (no toxic terms, no shingles, no test words) and give the begin and end
-ids; identical rows (id and text) are one document from the second stage on; rows without an id are judged by their
-texts and are only merged where they are identical; empty tables give an empty result.
+ids; identical rows (id and text) are one document from the second stage on; rows without an id, and rows that share one, are judged
+by their texts; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -30,15 +30,20 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of similar documents."""
-    found = ngram_jaccard.jaccard_components(docs).checkpoint()
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    rows = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["kept"]), "left_semi")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+    """One row of each component of similar documents: that of the least doc_id (rows without one last), then of the least row key.
+
+    Rows are told apart by a key of id and text, so ids that occur twice and rows without ids are judged row by row."""
+    key = F.xxhash64("doc_id", "text")
+    found = ngram_jaccard.jaccard_components(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id").checkpoint()
+    ids = docs.select(key.alias("row_key"), "doc_id").distinct()
+    kept = (found.distinct().join(ids, "row_key").groupBy("component_id")
+            .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")).select(F.col("least.row_key").alias("kept")))
+    rows = docs.join(kept, key == kept["kept"], "left_semi")
+    if found.groupBy("row_key").count().where("count > 1").isEmpty():
         return rows
-    # some id occurs twice: identical rows become one
-    digest = "_".join(["text_digest", uuid.uuid4().hex])
-    return rows.withColumn(digest, F.sha2("text", 256)).dropDuplicates(["doc_id", digest]).drop(digest)
+    # identical rows become one
+    digest = "_".join(["row_key", uuid.uuid4().hex])
+    return rows.withColumn(digest, key).dropDuplicates([digest]).drop(digest)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
