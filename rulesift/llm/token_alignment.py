@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -59,6 +60,12 @@ class TokenizerPair:
         with open(second, "rb") as f:
             self.second = f.read()
         self._made = None
+        spec = json.loads(self.first)
+        split = spec.get("pre_tokenizer") or {}
+        pieces = self.made()[1]
+        #: Whether both tokenizers have a border before each single space between words; if not, a text is one segment.
+        self.separable = (spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space")
+                          and split.get("use_regex", True) and all(MARK not in pieces.id_to_piece(i).lstrip(MARK) for i in range(pieces.get_piece_size())))
 
     def __getstate__(self):
         return {**self.__dict__, "_made": None}
@@ -305,7 +312,7 @@ class Chunk:
     @staticmethod
     def align(pair: TokenizerPair, buf: np.ndarray, offsets: np.ndarray) -> Chunk:
         space = white(buf)
-        starts, ends, first = segments(buf, offsets, space)
+        starts, ends, first = segments(buf, offsets, space if pair.separable else np.ones(len(buf), bool))
         n = len(offsets) - 1
         text = np.repeat(np.arange(n), np.diff(first))
         # a text's first segment gets the space it lacks; the others' own space is the same one
@@ -319,7 +326,7 @@ class Chunk:
         spaced = np.full(int(cuts[-1]), 0x20, np.uint8)
         spaced[np.arange(int(size.sum())) + np.repeat(np.arange(1, len(size) + 1), size)] = ragged(buf, starts, size)
         marks = np.concatenate([[0], np.cumsum((buf == _MARK_BYTES[0]) & space)])
-        alone = space[starts] | space[ends - 1] | (marks[ends] > marks[starts]) if len(starts) else np.zeros(0, bool)
+        alone = space[starts] | space[ends - 1] | (marks[ends] > marks[starts]) | (not pair.separable) if len(starts) else np.zeros(0, bool)
         aligned, ok = pair.align(spaced, cuts, alone)
         bad = np.zeros(n, bool)
         bad[text[~ok[place]]] = True
