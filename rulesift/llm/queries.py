@@ -171,6 +171,21 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, archives).drop("error")
 
 
+#: Base 32 of the digest: its hexadecimal digits as bits, five bits a character.
+ORACLE["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+m AS (SELECT page_id, octet_length(encode(t)) AS n, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(string_split(h, ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits FROM m)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT)
+              + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+
 @register
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rulesift.llm.passage_chains import fuzzy_passages
