@@ -7,8 +7,8 @@ pieces have spans of a whole character or of nothing. Between two clean borders
 and every token's decoded bytes must equal the text where it lies.
 
 A text is cut before each single space that stands between characters other than white space. There both tokenizers always have a border (A's pattern starts
-a word with the space; only the first character of a piece of B is a mark), so each distinct segment of a chunk is aligned once and texts are put together
-from their segments; for the same reason segments that begin and end in a word are encoded many at a time. A long text without such spaces is one segment.
+a word with the space; only the first character of a piece of B is a mark), so a segment that a task has aligned is not aligned again and texts are put
+together from their segments; for the same reason segments that begin and end in a word are encoded many at a time. A long text without such spaces is one segment.
 
 The alignment is stored, a row for each chunk of texts, and read for counting and for measuring. Linked pairs (A id, B id) are counted by
 documents: each task counts its pairs, sums come from one aggregate by pair, and the table is written as sorted arrays that the measuring tasks map. Its size is bounded by the two vocabularies, not by the corpus.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+from collections import deque
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,8 +34,9 @@ from rulesift.llm import files
 from rulesift.llm import textarrays as T
 from rulesift.llm.pieces import MARK, ragged
 
-#: Bytes of text that share segments, of segments aligned at once, of segments encoded as one text; texts of one library call; pairs a task holds.
-CHUNK_BYTES, STEP_BYTES, RUN_BYTES, BATCH, FLUSH = 4 << 20, 1 << 18, 1 << 12, 32, 1 << 20
+#: Bytes of text in a chunk, of segments aligned at once, of segments encoded as one text; texts of one library call; chunks whose segments a task
+#: remembers; pairs it holds.
+CHUNK_BYTES, STEP_BYTES, RUN_BYTES, BATCH, KEPT, FLUSH = 3 << 19, 1 << 16, 1 << 10, 64, 12, 1 << 20
 #: Pairs in one file of the table of counts.
 PAIRS_A_FILE = 1 << 22
 
@@ -88,17 +90,16 @@ class TokenizerPair:
             self._made = a, b, _table(tokens_a), _table(tokens_b)
         return self._made
 
-    def align(self, buf: np.ndarray, offsets: np.ndarray, alone: np.ndarray) -> tuple[Segments, np.ndarray]:
-        """(both tokenizations of segments, whether a segment's tokens are its bytes; the others have none). Each segment begins with a space;
-        those that aren't to be encoded ``alone`` also begin a word there and end in one, so that neighbours don't change each other's tokens."""
+    def align(self, buf: np.ndarray, offsets: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(ids of A, how many each segment has, ids of B, how many, whether a segment's tokens are its bytes; the others have none).
+        Each segment begins with a space; those that aren't to be encoded ``alone`` also begin a word there and end in one, so that neighbours don't change each other's tokens."""
         parts, n = [], len(offsets) - 1
         at = 0
         while at < n:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, side="right")) - 1)
             parts.append(self._align(buf[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at], alone[at:to]))
             at = to
-        a, count_a, b, count_b, ok = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 4 + (np.zeros(0, bool),)
-        return Segments.of(a, count_a, b, count_b, self.made()[2][2], self.made()[3][2]), ok
+        return _joined(parts)
 
     def _align(self, buf: np.ndarray, offsets: np.ndarray, alone: np.ndarray):
         a, b, bytes_a, bytes_b = self.made()
@@ -141,6 +142,40 @@ class TokenizerPair:
         return *out, ok
 
 
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 4 + (np.zeros(0, bool),)
+
+
+class Known:
+    """Aligned segments that a task has met, by hash: what each of the last ``KEPT`` chunks had new."""
+
+    def __init__(self):
+        self.blocks: deque[tuple[np.ndarray, tuple[np.ndarray, ...]]] = deque(maxlen=KEPT)
+
+    def align(self, pair: TokenizerPair, keys: np.ndarray, cut) -> tuple[np.ndarray, ...]:
+        """``TokenizerPair.align`` of the segments of sorted distinct ``keys``; ``cut`` makes its arguments for some of them."""
+        todo, places, parts = np.arange(len(keys)), [], []
+        for stored, block in self.blocks:
+            at = np.minimum(np.searchsorted(stored, keys[todo]), len(stored) - 1)
+            hit = stored[at] == keys[todo]
+            places.append(todo[hit])
+            parts.append(_taken(block, at[hit]))
+            todo = todo[~hit]
+        if len(todo):
+            new = pair.align(*cut(todo))
+            self.blocks.append((keys[todo], new))
+            places.append(todo)
+            parts.append(new)
+        return _taken(_joined(parts), np.argsort(T.concat(places, np.int64)))
+
+
+def _taken(parts: tuple[np.ndarray, ...], at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The segments at some places."""
+    a, count_a, b, count_b, ok = parts
+    first_a, first_b = np.cumsum(count_a, dtype=np.int64) - count_a, np.cumsum(count_b, dtype=np.int64) - count_b
+    return ragged(a, first_a[at], count_a[at].astype(np.int64)), count_a[at], ragged(b, first_b[at], count_b[at].astype(np.int64)), count_b[at], ok[at]
+
+
 def _spans_a(tokenizer, texts: list[str]):
     """(ids, character spans) of each text."""
     for e in tokenizer.encode_batch(texts, add_special_tokens=False):
@@ -216,7 +251,7 @@ class Segments:
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(A token, B token, links of each segment): two tokens overlap in one piece of the common refinement of both cuts."""
         if not self._links:
-            cuts = np.union1d(self.ends_a, self.ends_b)
+            cuts = _distinct(np.sort(np.concatenate([self.ends_a, self.ends_b])))
             # the tokens that hold the byte before each cut
             self._links = (np.searchsorted(self.ends_a, cuts), np.searchsorted(self.ends_b, cuts),
                            np.diff(np.searchsorted(cuts, self.offsets, side="right")))
@@ -297,6 +332,10 @@ def segments(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> tuple[n
     return starts, np.append(starts[1:], n), np.searchsorted(starts, offsets)
 
 
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
 def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Sum of each slice between neighbouring cuts."""
     total = np.concatenate([[0], np.cumsum(values)])[cuts]
@@ -310,7 +349,8 @@ class Chunk:
         self.n, self.text, self.place, self.segments = n, text, place, segments
 
     @staticmethod
-    def align(pair: TokenizerPair, buf: np.ndarray, offsets: np.ndarray) -> Chunk:
+    def align(pair: TokenizerPair, buf: np.ndarray, offsets: np.ndarray, known: Known | None = None) -> Chunk:
+        known = known or Known()
         space = white(buf)
         starts, ends, first = segments(buf, offsets, space if pair.separable else np.ones(len(buf), bool))
         n = len(offsets) - 1
@@ -319,15 +359,20 @@ class Chunk:
         bare = np.zeros(len(starts), bool)
         bare[first[:-1][np.diff(first) > 0]] = True
         starts = starts + ~bare
-        _, where, place = np.unique(T.hash_ranges(buf, starts, ends), return_index=True, return_inverse=True)
+        keys, where, place = np.unique(T.hash_ranges(buf, starts, ends), return_index=True, return_inverse=True)
         starts, ends = starts[where], ends[where]
-        size = ends - starts
-        cuts = np.concatenate([[0], np.cumsum(size + 1)])
-        spaced = np.full(int(cuts[-1]), 0x20, np.uint8)
-        spaced[np.arange(int(size.sum())) + np.repeat(np.arange(1, len(size) + 1), size)] = ragged(buf, starts, size)
         marks = np.concatenate([[0], np.cumsum((buf == _MARK_BYTES[0]) & space)])
-        alone = space[starts] | space[ends - 1] | (marks[ends] > marks[starts]) | (not pair.separable) if len(starts) else np.zeros(0, bool)
-        aligned, ok = pair.align(spaced, cuts, alone)
+
+        def cut(some: np.ndarray):
+            a, b = starts[some], ends[some]
+            size = b - a
+            cuts = np.concatenate([[0], np.cumsum(size + 1)])
+            spaced = np.full(int(cuts[-1]), 0x20, np.uint8)
+            spaced[np.arange(int(size.sum())) + np.repeat(np.arange(1, len(size) + 1), size)] = ragged(buf, a, size)
+            return spaced, cuts, space[a] | space[b - 1] | (marks[b] > marks[a]) | (not pair.separable)
+
+        *tokens, ok = known.align(pair, keys, cut)
+        aligned = Segments.of(*tokens, pair.made()[2][2], pair.made()[3][2])
         bad = np.zeros(n, bool)
         bad[text[~ok[place]]] = True
         keep = ~bad[text]  # texts without tokens lose their segments
@@ -359,7 +404,7 @@ class Chunk:
         place, text = (used & T.U64(0xFFFFFFFF)).astype(np.int64), used >> T.U64(32)
         of_text = np.repeat(text, count[place])
         ranks = ragged(rank, (np.cumsum(count) - count)[place], count[place])
-        cells = np.unique((of_text << T.U64(32)) | ranks.astype(T.U64))
+        cells = _distinct(np.sort((of_text << T.U64(32)) | ranks.astype(T.U64)))
         n = np.bincount((cells & T.U64(0xFFFFFFFF)).astype(np.int64), minlength=len(keys))
         return keys[n > 0], n[n > 0]
 
@@ -367,10 +412,11 @@ class Chunk:
 def _aligned(shared):
     """One row a chunk: the documents' ids and the packed alignment."""
     def run(batches):
+        known = Known()
         for rows, buf, offsets in T.chunks(batches, size=CHUNK_BYTES):
             ids = rows.column(0)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                                              pa.array([Chunk.align(shared.value, buf, offsets).packed()], pa.binary())], names=["doc_ids", "payload"])
+                                              pa.array([Chunk.align(shared.value, buf, offsets, known).packed()], pa.binary())], names=["doc_ids", "payload"])
     return run
 
 
