@@ -9,8 +9,10 @@ cut after ``(m * (p div 2) + p div 2) div p`` rows; the two halves get
 ``p div 2`` and ``p - p div 2`` clusters. Sizes end within floor/ceil of n/k,
 so for n > 40 they lie in 10..20 and for 21..40 in 5..20.
 
-Coordinates are the rows' vectors reduced to at most 8 centred PCA
-dimensions, so each cell's widest dimension is one small aggregate.
+Up to 20 rules have no size limits and are clustered by k-means.
+
+Coordinates are the rows' centred principal components, all of them unless the caller keeps
+fewer, so each cell's widest dimension is one aggregate.
 
 Large cells are split with Spark: one level is a distributed global rank
 over (cell, projection, uid) and a per-cell offset (no window over a cell, so
@@ -26,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulesift.operators.features import fit_projection, with_vector
+from rulesift.operators.features import assign_clusters, fit_kmeans, fit_projection, with_vector
 from rulesift.operators.ranking import global_row_number
-from rulesift.operators.rules import cluster_count
+from rulesift.operators.rules import RULES_PER_CLUSTER, SMALL_N, cluster_count
 from rulesift.session import cut_lineage
 
 LEAF_ROWS = 20_000
@@ -69,6 +71,10 @@ def balanced_clusters(rules: DataFrame, vec: str = "embedding", uid: str = "uid"
     n = base.count()
     if n == 0:
         return spark.createDataFrame([], f"{uid} string, cluster_id int")
+    if k is None and n <= SMALL_N:  # no size limits: plain k-means
+        parts = n // RULES_PER_CLUSTER + 1
+        model = fit_kmeans(base, n, k=parts, features="features") if parts > 1 else None
+        return cut_lineage(assign_clusters(model, base).select(uid, F.col("cluster").cast("int").alias("cluster_id")))
     parts = k if k is not None else int(spark.range(1).select(cluster_count(F.lit(n))).first()[0])
     wide = len(base.select(vec).first()[0])
     dims = max(1, min(wide if max_dims is None else max_dims, wide, n))

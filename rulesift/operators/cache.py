@@ -142,6 +142,8 @@ def _through_store(store: KeyedStore, keyed: DataFrame, key: str, call) -> tuple
     keys = distinct_keys(keyed, key)
     known = cut_lineage(one_row(store.lookup(keys).where(F.col("error").isNull()), key, store.schema))
     missing = keys.join(known.select(key), key, "left_anti")
+    if missing.isEmpty():
+        return keys, known, known
     store.append(call(missing))
     one = cut_lineage(one_row(known.unionByName(store.recent(keys)), key, store.schema))
     store.fold()

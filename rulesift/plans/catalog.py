@@ -44,6 +44,6 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
     from rulesift.plans import (  # noqa: F401
-        explore_queries, ingest_queries, jobs_queries, ml_queries, rounds_queries,
+        explore_queries, ingest_queries, invariant_queries, jobs_queries, ml_queries, rounds_queries,
         rules_queries, state_queries, store_queries,
     )

@@ -170,7 +170,7 @@ def sort_confidence(spark, sf_dir):
     return X.sort_rows(round1(spark, sf_dir), "confidence").select("uid", "doc_id", "sort_group", "sort_value")
 
 
-@register("sort_confidence_change", with_views(", " + _PU + """
+@register("sort_confidence_change", with_views(", " + _PU.replace("FROM r1d c", "FROM r1 c") + """
 , c AS (SELECT uid, doc_id, coalesce(CASE WHEN uid IS NOT NULL AND match_way <> 'none'
                                           THEN confidence - prev_confidence END, 0.0) AS ch FROM m)
 SELECT uid, doc_id, CASE WHEN ch > 0 THEN 0 ELSE 1 END AS sort_group,

@@ -9,11 +9,13 @@ a confidence derived from the id, an edge-case flag by the annotation prompt's
 own rule (confidence <= 75 or label -1) and a rule text for edge cases.
 
 Round 1 is the re-labelling after rules were added:
-* documents in German were removed from the task;
 * the whole ``src3`` source was re-imported without ids (uid null), so those
   rows can only be matched to round 0 by text;
 * the ``benchmark`` passages arrive as new examples (no round-0 match);
 * confidences move up for earlier edge cases and jitter for the rest.
+
+Where removed rows are the feature (matching and counting rounds), ``removed`` leaves the German documents out (``r1d`` in SQL); every
+other query reads all of round 1.
 """
 
 from __future__ import annotations
@@ -63,8 +65,10 @@ def round0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("*", edge.alias("new_edge_case"), _rule(edge).alias("guideline_improvement"))
 
 
-def round1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r0 = round0(spark, sf_dir).where(F.col("lang") != "de")
+def round1(spark: SparkSession, sf_dir: str, removed: bool = False) -> DataFrame:
+    r0 = round0(spark, sf_dir)
+    if removed:
+        r0 = r0.where(F.col("lang") != "de")
     step = F.when(F.col("new_edge_case"), 20 - F.col("doc_id") % 7).otherwise(F.col("doc_id") % 5 - 2)
     docs = r0.select(
         "task_id",
@@ -162,11 +166,12 @@ r1 AS (
                GREATEST(0.0, LEAST(100.0, confidence +
                  CASE WHEN new_edge_case THEN 20 - doc_id % 7 ELSE doc_id % 5 - 2 END)) AS confidence,
                new_edge_case AS is_reannotated
-        FROM r0 WHERE lang <> 'de'
+        FROM r0
         UNION ALL
         SELECT 'docs', 1, concat('b', CAST(item_id AS VARCHAR)), CAST(NULL AS BIGINT), text,
                CAST(NULL AS VARCHAR), 'benchmark', '-1', CAST((item_id * 53) % 101 AS DOUBLE), false
         FROM benchmark) c),
+r1d AS (SELECT * FROM r1 WHERE source = 'benchmark' OR lang <> 'de'),
 pts AS (
   SELECT r0.*, CAST((doc_id * 7) % 4 AS INTEGER) AS cluster,
          CASE WHEN doc_id % 97 = 0 THEN CAST('NaN' AS DOUBLE)

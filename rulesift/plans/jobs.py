@@ -76,7 +76,29 @@ def _guideline(guidelines: DataFrame, task_id: str) -> tuple[str, list[str]]:
     return rows[0]["guideline"], rows[0]["labels"]
 
 
-def _answer(ex: DataFrame, guidelines: DataFrame, task_id: str, work_dir: str, plugins: Plugins,
+USAGE = "task_id string, round int, model string, calls long, input_tokens long, output_tokens long, failed long"
+
+
+def record_usage(answered: DataFrame, work_dir: str, task_id: str, round_no: int, model: str) -> None:
+    """What a job's calls used, as one row of ``<work_dir>/usage``: distinct prompts that were not in the cache."""
+    asked = answered.where("not cache_hit").groupBy("prompt_key").agg(F.min(F.struct("error", "input_tokens", "output_tokens")).alias("_r"))
+    (asked.agg(F.count("*").alias("calls"), F.sum("_r.input_tokens").alias("input_tokens"), F.sum("_r.output_tokens").alias("output_tokens"),
+               F.count("_r.error").alias("failed"))
+     .select(F.lit(task_id).alias("task_id"), F.lit(round_no).alias("round"), F.lit(model).alias("model"), "calls", "input_tokens", "output_tokens", "failed")
+     .write.mode("append").parquet(f"{work_dir}/usage"))
+
+
+def job_costs(spark: SparkSession, work_dir: str, prices: DataFrame) -> DataFrame:
+    """Calls, tokens and cost of each task, round and model over all jobs of ``work_dir``; ``prices`` as for ``run_cost``, a
+    model without a price has a null cost."""
+    used = spark.read.schema(USAGE).parquet(f"{work_dir}/usage").groupBy("task_id", "round", "model").agg(
+        *(F.sum(c).alias(c) for c in ("calls", "input_tokens", "output_tokens", "failed")))
+    p = prices.groupBy(F.col("model").alias("_m")).agg(F.max("input_usd_per_mtok").alias("_i"), F.max("output_usd_per_mtok").alias("_o"))
+    cost = F.col("input_tokens") / 1e6 * F.col("_i") + F.col("output_tokens") / 1e6 * F.col("_o")
+    return used.join(p, used["model"] == p["_m"], "left").select(*used.columns, F.round(cost, 6).alias("cost_usd"))
+
+
+def _answer(ex: DataFrame, guidelines: DataFrame, task_id: str, round_no: int, work_dir: str, plugins: Plugins,
             template: str) -> DataFrame:
     """F3 -> J2 -> F4-F6. A failed call keeps its error and gets no label, confidence or flag."""
     guideline, labels = _guideline(guidelines, task_id)
@@ -85,6 +107,7 @@ def _answer(ex: DataFrame, guidelines: DataFrame, task_id: str, work_dir: str, p
         ex.select("uid", "ordinal", "text_to_annotate"), f"{work_dir}/response_cache", plugins.annotate_model,
         plugins.annotator, prompt="text_to_annotate", context=template + guideline,
         render=lambda text: head + guideline + middle + text + tail, tasks=plugins.tasks)
+    record_usage(answered, work_dir, task_id, round_no, plugins.annotate_model)
     parsed = parse_annotations(answered.withColumnRenamed("response", "raw_annotations")
                                .withColumn("labels", F.array(*map(F.lit, labels)).cast("array<string>")), labels="labels")
     ok = F.col("error").isNull()
@@ -151,7 +174,7 @@ def annotate_round(examples: DataFrame, guidelines: DataFrame, task_id: str, rou
         placed = placed.withColumn("pca_x", F.lit(0.0)).withColumn("pca_y", F.lit(0.0))
     placed = placed.select("uid", "cluster", "pca_x", "pca_y")
 
-    parsed = _answer(ex, guidelines, task_id, work_dir, plugins, template)
+    parsed = _answer(ex, guidelines, task_id, round_no, work_dir, plugins, template)
     out = (parsed.join(placed, "uid", "left")
            .select(F.lit(task_id).alias("task_id"), F.lit(round_no).alias("round"), "uid", "ordinal",
                    "text_to_annotate", "cluster", "pca_x", "pca_y", "raw_annotations", "analyses", "annotation",
@@ -232,7 +255,7 @@ def annotate_increment(new_examples: DataFrame, annotations: DataFrame, guidelin
     emb = C.embed_with_cache(ex.select("uid", "text_to_annotate"), f"{work_dir}/embedding_cache",
                              plugins.embed_model, plugins.embedder, text="text_to_annotate", tasks=plugins.tasks)
     placed = M.project(pca, M.assign_clusters(km, M.with_vector(emb))).select("uid", "cluster", "pca_x", "pca_y")
-    parsed = _answer(ex, guidelines, task_id, work_dir, plugins, template)
+    parsed = _answer(ex, guidelines, task_id, round_no, work_dir, plugins, template)
     new_rows = parsed.join(placed, "uid", "left").select(
         F.lit(task_id).alias("task_id"), F.lit(round_no).alias("round"), "uid", "ordinal", "text_to_annotate",
         "cluster", "pca_x", "pca_y", "raw_annotations", "analyses", "annotation", "confidence", "new_edge_case",

@@ -25,7 +25,7 @@ m AS (SELECT c.*,
         CASE WHEN pu.uid IS NOT NULL THEN pu.uid ELSE pt.uid END AS prev_uid,
         CASE WHEN pu.uid IS NOT NULL THEN pu.confidence ELSE pt.confidence END AS prev_confidence,
         CASE WHEN pu.uid IS NOT NULL THEN pu.new_edge_case ELSE pt.new_edge_case END AS prev_new_edge_case
-      FROM r1 c LEFT JOIN pu ON c.uid = pu.uid
+      FROM r1d c LEFT JOIN pu ON c.uid = pu.uid
                 LEFT JOIN pt ON c.text_to_annotate = pt.text_to_annotate)
 """
 
@@ -56,7 +56,7 @@ def edge_transitions(spark, sf_dir):
 
 @register("round_counts", with_views("""
 , ids AS (SELECT uid AS k, count(*) FILTER (WHERE side = 0) AS nb, count(*) FILTER (WHERE side = 1) AS na
-          FROM (SELECT uid, 0 AS side FROM r0 UNION ALL SELECT uid, 1 FROM r1) GROUP BY uid)
+          FROM (SELECT uid, 0 AS side FROM r0 UNION ALL SELECT uid, 1 FROM r1d) GROUP BY uid)
 SELECT CAST(sum(nb) AS BIGINT) AS rows_before, CAST(sum(na) AS BIGINT) AS rows_after,
        CAST(coalesce(sum(nb) FILTER (WHERE k IS NULL), 0) AS BIGINT) AS null_ids_before,
        CAST(coalesce(sum(na) FILTER (WHERE k IS NULL), 0) AS BIGINT) AS null_ids_after,
@@ -71,7 +71,7 @@ FROM ids
 """))
 def round_counts(spark, sf_dir):
     """Row counts and id-set equality of two rounds."""
-    return R.round_counts(round0(spark, sf_dir), round1(spark, sf_dir))
+    return R.round_counts(round0(spark, sf_dir), round1(spark, sf_dir, removed=True))
 
 
 @register("round_match", with_views(", " + _PU + """
@@ -81,7 +81,7 @@ FROM m
 """))
 def round_match(spark, sf_dir):
     """Each round-1 row matched to round 0 by uid, else by text."""
-    m = R.match_rounds(round1(spark, sf_dir), round0(spark, sf_dir))
+    m = R.match_rounds(round1(spark, sf_dir, removed=True), round0(spark, sf_dir))
     return m.select("uid", "doc_id", "match_way", "prev_uid", "prev_confidence", "confidence",
                     F.round(F.col("confidence") - F.col("prev_confidence"), 6).alias("confidence_change"))
 
@@ -94,7 +94,7 @@ FROM m GROUP BY match_way
 """))
 def round_match_summary(spark, sf_dir):
     """J5 summary: rows and mean shift per way of matching."""
-    return R.match_summary(R.match_rounds(round1(spark, sf_dir), round0(spark, sf_dir)))
+    return R.match_summary(R.match_rounds(round1(spark, sf_dir, removed=True), round0(spark, sf_dir)))
 
 
 @register("point_membership", with_views("""

@@ -15,13 +15,16 @@ from rulesift.operators import templates as TP
 from rulesift.operators.keyed_store import KeyedStore, distinct_keys, one_row
 from rulesift.operators.merge_blocks import merge_by_model
 from rulesift.operators.ranking import global_row_number
+from rulesift.operators.search_index import SearchIndex, build
+from rulesift.operators.stored_pages import StoredPages, write_pages
 from rulesift.plans import jobs as J
 from rulesift.plans.catalog import register
-from rulesift.plans.fixtures import TASK_ID, edge_cases, round0, round1, with_views
+from rulesift.plans.fixtures import GUIDELINE, TASK_ID, edge_cases, points, round0, round1, with_views
 from rulesift.plans.ingest_queries import _TG, _sql_lit, task_guidelines
-from rulesift.plans.jobs_queries import _examples, _guidelines, _labels_sql
+from rulesift.plans.jobs_queries import _HEAD, _MIDDLE, _TAIL, _examples, _guidelines, _labels_sql, _quoted
 from rulesift.schema import RESPONSE_CACHE
 from rulesift.session import shared_path, table
+from rulesift.sources import sinks as K2
 
 # --- J2 / J3: keyed store -----------------------------------------------------------
 
@@ -291,3 +294,121 @@ def stored_rule_clusters(spark, sf_dir):
     one = F.lit(1).alias("_j")
     return (moved.select("*", one).join(counts.select("*", one), "_j").join(sizes.select("*", one), "_j")
             .select("stored_rules", "new_rules", "clustered_rules", "within_limits", "moved_without_refit"))
+
+
+# --- S5-S7: what was exported, read back --------------------------------------------------
+
+def _bundle(spark, sf_dir):
+    from rulesift.plans.fixtures import suggestions
+    from rulesift.plans.store_queries import _saved0
+    path = shared_path(spark, "bundle")
+    g = task_guidelines(spark, sf_dir)
+    K2.export_bundle(path, TASK_ID, 1, annotations=points(spark, sf_dir).drop("doc_id"), edge_cases=edge_cases(spark, sf_dir).drop("doc_id"),
+                     rules=suggestions(spark, sf_dir), previous_annotations=round0(spark, sf_dir), guideline=g.where("version = 2").drop("version"),
+                     saved_rules=_saved0(spark, sf_dir), history=g)
+    return path
+
+
+_BUNDLE_SQL = _TG + r"""
+, src AS (SELECT count(DISTINCT source) AS n FROM documents)
+"""
+
+
+@register("export_manifest", with_views(_BUNDLE_SQL + """
+SELECT section, rows, rows AS found_rows, true AS intact FROM (
+  SELECT 'annotations' AS section, (SELECT count(*) FROM r0) AS rows UNION ALL SELECT 'edge_cases', (SELECT count(*) FROM ec)
+  UNION ALL SELECT 'rules', (SELECT count(*) FROM sugg) UNION ALL SELECT 'previous_annotations', (SELECT count(*) FROM r0)
+  UNION ALL SELECT 'guideline', (SELECT n FROM src) UNION ALL SELECT 'saved_rules', (SELECT n FROM src) UNION ALL SELECT 'history', (SELECT 2 * n FROM src))
+"""))
+def export_manifest(spark, sf_dir):
+    """A bundle with guideline, saved rules and history is written and checked against its manifest."""
+    return K2.verify_bundle(spark, _bundle(spark, sf_dir))
+
+
+@register("exported_points", with_views("""
+SELECT uid, CASE WHEN isfinite(pca_x) THEN pca_x END AS pca_x, CASE WHEN isfinite(pca_y) THEN pca_y END AS pca_y, confidence, annotation, raw_annotations FROM pts
+"""))
+def exported_points(spark, sf_dir):
+    """The annotations of a bundle, read back (no NaN or infinity is written)."""
+    return K2.read_section(spark, _bundle(spark, sf_dir), "annotations").select("uid", "pca_x", "pca_y", "confidence", "annotation", "raw_annotations")
+
+
+@register("snapshot_content", with_views("""
+SELECT uid, CASE WHEN isfinite(pca_x) THEN pca_x END AS pca_x, CASE WHEN isfinite(pca_y) THEN pca_y END AS pca_y, confidence, text_to_annotate FROM pts
+"""))
+def snapshot_content(spark, sf_dir):
+    """A JSON snapshot, read back."""
+    rows = points(spark, sf_dir).select("uid", "pca_x", "pca_y", "confidence", "text_to_annotate")
+    return spark.read.schema(rows.schema).json(K2.write_snapshot(rows, shared_path(spark, "json")))
+
+
+@register("guideline_files", with_views(_TG + """
+SELECT task_id, concat(guideline, chr(10)) AS content FROM tg WHERE version = 2
+"""))
+def guideline_files(spark, sf_dir):
+    """Each task's guideline as a text file, read back whole."""
+    path = shared_path(spark, "guidelines")
+    K2.write_guideline(task_guidelines(spark, sf_dir).where("version = 2"), path)
+    return spark.read.text(path, wholetext=True).select(F.col("task_id").cast("string").alias("task_id"), F.col("value").alias("content"))
+
+
+# --- O6: stored pages -----------------------------------------------------------------------
+
+@register("stored_page", with_views("""
+, k AS (SELECT uid, doc_id, confidence, row_number() OVER (ORDER BY coalesce(confidence, 0.0), uid NULLS FIRST, sha256(text_to_annotate)) AS page_rank FROM r1),
+p AS (SELECT page_rank FROM k WHERE uid = '5')
+SELECT uid, doc_id, confidence, page_rank FROM k WHERE page_rank BETWEEN 351 AND 400 OR page_rank IN (SELECT page_rank FROM p)
+"""))
+def stored_page(spark, sf_dir):
+    """Page 8 of round 1 by confidence from a stored sort in parts of 200 rows, with the selected row."""
+    path = shared_path(spark, "pages")
+    write_pages(round1(spark, sf_dir), "confidence", path, part_rows=200)
+    return StoredPages(spark, path).page(8, pinned_uid="5").select("uid", "doc_id", "confidence", "page_rank")
+
+
+# --- A12: cost of the jobs ------------------------------------------------------------------
+
+_PROMPT_SQL = f"concat({_quoted(_HEAD + GUIDELINE + _MIDDLE)}, t, {_quoted(_TAIL)})"
+
+
+@register("job_costs", with_views(rf"""
+, c AS (SELECT DISTINCT regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS t
+        FROM (SELECT text AS t FROM documents UNION ALL SELECT text FROM benchmark)),
+p AS (SELECT {_PROMPT_SQL} AS prompt FROM c WHERE t IS NOT NULL AND length(t) > 0),
+h AS (SELECT prompt, CAST(concat('0x', substr(sha256(prompt), 1, 8)) AS BIGINT) AS h FROM p),
+a AS (SELECT prompt, h % 2 AS label, 40 + (h // 256) % 61 AS conf FROM h),
+s AS (SELECT count(*) AS calls, CAST(sum(ceil(length(prompt) / 4.0)) AS BIGINT) AS input_tokens,
+             CAST(sum(ceil(length('{{"analysis": "offline checksum answer", "annotation": "' || label || '", "confidence": ' || conf
+            || ', "new_edge_case": ' || CASE WHEN conf <= 75 THEN 'true' ELSE 'false' END || ', "new_edge_case_rule": "'
+            || CASE WHEN conf <= 75 THEN 'When the text is short and unclear -> classify as 0' ELSE 'EMPTY' END || '"}}') / 4.0)) AS BIGINT) AS output_tokens FROM a)
+SELECT '{TASK_ID}' AS task_id, 0 AS round, 'annotator' AS model, calls, input_tokens, output_tokens, CAST(0 AS BIGINT) AS failed,
+       round(input_tokens / 1e6 * 2.0::DOUBLE + output_tokens / 1e6 * 8.0::DOUBLE, 6) AS cost_usd FROM s
+"""))
+def job_costs(spark, sf_dir):
+    """What round 0 and an increment by the benchmark passages cost together; cached prompts cost nothing."""
+    work = shared_path(spark, "work")
+    ann = J.annotate_round(_examples(spark, sf_dir), _guidelines(spark), TASK_ID, 0, work, J.offline_plugins())
+    J.annotate_increment(_arrivals(spark, sf_dir), ann, _guidelines(spark), TASK_ID, 0, work, J.offline_plugins())
+    prices = spark.createDataFrame([("annotator", 2.0, 8.0)], "model string, input_usd_per_mtok double, output_usd_per_mtok double")
+    return J.job_costs(spark, work, prices)
+
+
+# --- P8: indexed search -----------------------------------------------------------------------
+
+_TERMS = ("from src7", "SRC1", "é", "q", "no such text at all")
+
+
+@register("indexed_search", with_views(f"""
+, terms AS (SELECT unnest([{', '.join(f"'{t}'" for t in _TERMS)}]) AS term)
+SELECT term, uid FROM pts JOIN terms ON coalesce(contains(lower(text_to_annotate), lower(term)), false)
+   OR coalesce(contains(lower(analyses), lower(term)), false) OR coalesce(contains(lower(raw_annotations), lower(term)), false)
+"""))
+def indexed_search(spark, sf_dir):
+    """The rows that hold each of five terms, long and short, found through trigram postings."""
+    path = shared_path(spark, "search")
+    build(points(spark, sf_dir).select("uid", "text_to_annotate", "analyses", "raw_annotations"), path, block_rows=16)
+    index, out = SearchIndex(spark, path), None
+    for term in _TERMS:
+        part = index.search(term).select(F.lit(term).alias("term"), "uid")
+        out = part if out is None else out.unionByName(part)
+    return out

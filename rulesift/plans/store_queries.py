@@ -203,14 +203,15 @@ def append_examples(spark, sf_dir):
 def _saved0(spark, sf_dir):
     n = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
     src = table(spark, sf_dir, "documents").select("source").distinct()
-    return src.where(n % 2 == 0).select(F.lit(TASK_ID).alias("task_id"), n.alias("cluster_no"), F.concat(
-        F.lit("When text comes from "), F.col("source"), F.lit(" -> review by hand")).alias("rule"))
+    return src.select(F.lit(TASK_ID).alias("task_id"), n.alias("cluster_no"), F.concat(
+        F.lit("When text comes from "), F.col("source"), F.when(n % 2 == 0, " -> review by hand").otherwise(" -> keep")).alias("rule"))
 
 
 _SAVED_SQL = r"""
 , src AS (SELECT DISTINCT source, CAST(regexp_extract(source, '(\d+)$', 1) AS INTEGER) AS n FROM documents),
-saved0 AS (SELECT 'docs' AS task_id, n AS cluster_no, 'When text comes from ' || source || ' -> review by hand' AS rule
-           FROM src WHERE n % 2 = 0)
+saved0 AS (SELECT 'docs' AS task_id, n AS cluster_no,
+                  'When text comes from ' || source || CASE WHEN n % 2 = 0 THEN ' -> review by hand' ELSE ' -> keep' END AS rule
+           FROM src)
 """
 
 

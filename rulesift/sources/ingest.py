@@ -99,12 +99,19 @@ def raise_on_violations(report: DataFrame) -> None:
 
 
 def read_round(spark: SparkSession, path: str, task_id: str, round_no: int,
-               schema: T.StructType | None = None) -> DataFrame:
+               schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
     """One task's round from a table partitioned by ``task_id`` / ``round``
-    (partition pruning keeps the scan to that folder)."""
+    (partition pruning keeps the scan to that folder). ``fmt`` as for ``write_round``; CSV needs the schema."""
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
+    if fmt == "csv":
+        if schema is None:
+            raise ValueError("a CSV round is read by a declared schema")
+        # the columns of the folders' names are not in the files
+        inside = T.StructType([f for f in schema.fields if f.name not in ("task_id", "round")] + [f for f in schema.fields if f.name in ("task_id", "round")])
+        reader = spark.read.schema(inside).option("header", True).option("escape", '"').option("multiLine", True).option("lineSep", "\n")
+        return reader.csv(path).where((F.col("task_id") == task_id) & (F.col("round") == round_no))
     return reader.parquet(path).where((F.col("task_id") == task_id) & (F.col("round") == round_no))
 
 

@@ -363,3 +363,73 @@ def test_no_answer_can_end_a_job(spark, field, value):
     df = spark.createDataFrame([(body,)], "raw_annotations string").withColumn("labels", F.array(F.lit("no"), F.lit("yes")))
     (r,) = parse_annotations(df).collect()
     assert r.annotation in ("no", "yes", "-1")
+
+
+# --- S6, O6, A12 ------------------------------------------------------------------------------
+
+def test_a_changed_section_shows(spark):
+    from rulesift.sources import sinks
+    path = shared_path(spark, "bundle")
+    rows = spark.createDataFrame([("a", 1.0), ("b", float("nan"))], "uid string, x double")
+    sinks.export_bundle(path, "t", 3, points=rows, guideline=spark.createDataFrame([("t", "g")], "task_id string, guideline string"), none=rows.limit(0))
+    assert {(r.section, r.found_rows, r.intact) for r in sinks.verify_bundle(spark, path).collect()} == {("points", 2, True), ("guideline", 1, True), ("none", 0, True)}
+    assert sorted(map(tuple, sinks.read_section(spark, path, "points").collect())) == [("a", 1.0), ("b", None)]
+    assert sinks.read_manifest(spark, path).where("exported_at is not null and round = 3").count() == 3
+    spark.createDataFrame([("a", 1.0), ("b", 2.0)], "uid string, x double").write.mode("overwrite").parquet(f"{path}/points")
+    assert {r.section: r.intact for r in sinks.verify_bundle(spark, path).collect()} == {"points": False, "guideline": True, "none": True}
+
+
+def test_a_page_reads_its_part(spark):
+    from rulesift.operators.explore import sorting
+    from rulesift.operators.stored_pages import StoredPages, write_pages
+    rows = spark.range(2000).select(F.format_string("u%05d", "id").alias("uid"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text_to_annotate"),
+                                    ((F.col("id") * 37) % 101).cast("double").alias("confidence"), (F.col("id") % 3).cast("string").alias("annotation"))
+    for option in ("confidence", "class"):
+        path = shared_path(spark, "pages")
+        assert write_pages(rows, option, path, part_rows=100) == 2000
+        keyed, order = sorting(rows, option)
+        want = [r.uid for r in keyed.orderBy(*order).collect()]
+        pages = StoredPages(spark, path)
+        for p in (1, 7, 40, 41):
+            got = pages.page(p)
+            assert [r.uid for r in sorted(got.collect(), key=lambda r: r.page_rank)] == want[50 * (p - 1):50 * p]
+            assert len({f.split("part=")[1].split("/")[0] for f in got.inputFiles()}) <= 1
+        assert pages.rank("u00007") == want.index("u00007") + 1 and pages.rank("nobody") is None
+        pinned = pages.page(2, pinned_uid=want[1500]).collect()
+        assert len(pinned) == 51 and max(pinned, key=lambda r: r.page_rank).uid == want[1500]
+        assert pages.page(2, pinned_uid=want[60]).count() == 50
+    empty = shared_path(spark, "pages")
+    assert write_pages(rows.limit(0), "confidence", empty) == 0 and StoredPages(spark, empty).page(1, "x").count() == 0
+
+
+def test_only_computed_calls_cost(spark):
+    work, prices = shared_path(spark, "w"), spark.createDataFrame([("annotator", 1.0, 1.0)], "model string, input_usd_per_mtok double, output_usd_per_mtok double")
+    for _ in range(2):  # the second round finds its answers in the cache
+        J.annotate_round(_examples(spark, ["a", "b", "a"]), _guideline(spark), "t", 0, work, J.offline_plugins()).count()
+    (r,) = J.job_costs(spark, work, prices).collect()
+    assert (r.calls, r.failed) == (2, 0) and r.cost_usd == pytest.approx((r.input_tokens + r.output_tokens) / 1e6, abs=1e-6)
+    assert J.job_costs(spark, work, prices.limit(0)).first().cost_usd is None
+
+
+# --- P8 ------------------------------------------------------------------------------------------
+
+def test_indexed_search_finds_the_same_rows_in_fewer_blocks(spark):
+    from rulesift.operators.explore import search
+    from rulesift.operators.search_index import SearchIndex, build
+    texts = [f"text {i} about {'needles' if i in (17, 333) else 'hay'} Ünï {i % 7}" for i in range(600)] + ["", "a", "ab", None, "😀x", "xq", "q"]
+    rows = spark.createDataFrame([(f"u{i}", t, None if i % 2 else f"note {i}") for i, t in enumerate(texts)], "uid string, text_to_annotate string, analyses string").repartition(4)
+    path = shared_path(spark, "search")
+    build(rows, path, block_rows=10)
+    index = SearchIndex(spark, path)
+    for term in ("needle", "NEEDLES", "ünï 3", "a", "ab", "q", "😀", "😀x", "note 12", "zz", "zzz", "text 599 about", " ", "", "t"):
+        assert sorted(r.uid for r in index.search(term).collect()) == sorted(r.uid for r in search(rows, term).collect()), term
+    assert index.blocks("needle").count() == 2 and index.blocks("zzz").count() == 0 and index.blocks("text").count() >= 60
+    assert index.search("needle").columns == rows.columns
+
+
+def test_few_rules_are_clustered_by_kmeans(spark):
+    far = [(f"u{i:02d}", [float(i >= 3) * 50 + i * 0.01, 0.0]) for i in range(18)]
+    got = {r.uid: r.cluster_id for r in balanced_clusters(spark.createDataFrame(far, "uid string, embedding array<float>")).collect()}
+    assert len(got) == 18 and len({got[f"u{i:02d}"] for i in range(3)}) == 1 and len({got[f"u{i:02d}"] for i in range(3, 18)}) == 1 and len(set(got.values())) == 2
+    few = balanced_clusters(spark.createDataFrame(far[:9], "uid string, embedding array<float>")).collect()
+    assert {r.cluster_id for r in few} == {0}
