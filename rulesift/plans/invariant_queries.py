@@ -3,6 +3,8 @@ of the sorts (O1, O2, O4)."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from rulesift.functions.text import text_key
@@ -19,6 +21,12 @@ from rulesift.sources import ingest as I
 from rulesift.sources import sinks as K
 
 
+def one_row_of(*tables):
+    """Tables of one row each side by side (a union and one aggregate, no join on a constant)."""
+    both = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
+
+
 @register("kmeans_invariants", """
 SELECT count(*) AS vectors, least(4, count(*)) AS clusters, CAST(0 AS BIGINT) AS not_nearest FROM embeddings WHERE embedding IS NOT NULL
 """)
@@ -66,10 +74,9 @@ def discover_invariants(spark, sf_dir):
     edge = edge.checkpoint()
     texts = edge.where("edge_case_id is not null").groupBy("edge_case_id").agg(F.count_distinct("guideline_improvement").alias("t"), F.min("guideline_improvement").alias("rule"))
     known = texts.join(sugg.select(F.col("rule_no").alias("edge_case_id"), F.col("rule").alias("r")), "edge_case_id", "left")
-    one = F.lit(1).alias("_j")
     rules = known.agg((F.max("t") == 1).alias("one_text_a_rule"), F.coalesce(F.min(F.col("r") == F.col("rule")) & (F.count("r") == F.count("*")), F.lit(False)).alias("suggested"))
     rows = edge.agg(F.count("*").alias("rows"), F.count_if(F.col("pca_x").isNotNull() & F.col("pca_y").isNotNull()).alias("placed"), F.count("edge_case_id").alias("with_rule"))
-    return rows.select("*", one).join(rules.select("*", one), "_j").drop("_j")
+    return one_row_of(rows, rules)
 
 
 @register("read_round_csv", with_views("""

@@ -291,8 +291,8 @@ def stored_rule_clusters(spark, sf_dir):
     moved = (before.select("uid", F.col("cluster_id").alias("was")).join(after, "uid").agg(
         F.count("*").alias("stored_rules"), F.count_if((F.col("was") != F.col("cluster_id")) & (F.col("how") != "refit")).alias("moved_without_refit")))
     counts = after.join(before.select("uid", F.lit(1).alias("_o")), "uid", "left").agg(F.count_if(F.col("_o").isNull()).alias("new_rules"), F.count("*").alias("clustered_rules"))
-    one = F.lit(1).alias("_j")
-    return (moved.select("*", one).join(counts.select("*", one), "_j").join(sizes.select("*", one), "_j")
+    from rulesift.plans.invariant_queries import one_row_of
+    return (one_row_of(moved, counts, sizes)
             .select("stored_rules", "new_rules", "clustered_rules", "within_limits", "moved_without_refit"))
 
 
