@@ -192,7 +192,9 @@ def test_response_cache_second_run_all_hits(spark):
     second = C.respond_with_cache(req, path, "annotator", annotator)
     assert second.where("NOT cache_hit").count() == 0
     distinct = req.select("prompt").distinct().count()
-    assert spark.read.parquet(path).select("prompt_key").distinct().count() == distinct
+    from rulesift.operators.keyed_store import KeyedStore
+    from rulesift.schema import RESPONSE_CACHE
+    assert KeyedStore(spark, path, RESPONSE_CACHE, "prompt_key", "annotator").rows().count() == distinct
 
 
 def test_embedding_halving_retry(spark):
