@@ -373,6 +373,27 @@ def test_changed_passages_are_found(spark):
         assert share >= least, (changed, length, share)
 
 
+@pytest.mark.parametrize("block", [2, 1024])
+def test_changed_passages_of_later_texts(spark, monkeypatch, block):
+    """Smaller ids hold parts of a changed passage: the later texts that hold all of it are still linked."""
+    from rulesift.llm import passage_chains as P
+    monkeypatch.setattr(P, "BLOCK_HOLDERS", block)
+    rng = random.Random(16)
+    noise = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    rows, want = [], set()
+    for k in range(0, 40, 4):
+        p = noise(70)
+        other = list(p)
+        for j in range(5, 70, 8):
+            other[j] = noise(1)[0]
+        rows += [(k + i, " ".join(d)) for i, d in enumerate([noise(30) + p[:35] + noise(20), noise(10) + p[35:] + noise(40), noise(20) + p + noise(30),
+                                                             noise(40) + other + noise(5)])]
+        want.add((k + 3, k + 2))
+    got = P.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.earlier_id) for r in got} == want and len(got) == len(want)
+    assert all(r.component_id == r.earlier_id and (r.start, r.end, r.earlier_start, r.earlier_end, r.equal_words) == (40, 109, 20, 89, 61) for r in got)
+
+
 def test_exact_passages_of_later_texts(spark):
     """Smaller ids hold parts of a passage, or the beginning of it at another place: later texts still share all of it."""
     from rulesift.llm.passage_chains import fuzzy_passages
