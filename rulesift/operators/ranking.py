@@ -16,40 +16,52 @@ from pyspark.sql import types as T
 from rulesift.session import cut_lineage
 
 
-ROWS_PER_PARTITION = 1_000_000
+ROWS_PER_PARTITION, PARTITION_BYTES = 1_000_000, 64 << 20
+
+
+def _row_bytes(df: DataFrame):
+    """About how many bytes a row has, from the lengths of its strings and lists."""
+    def of(f):
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        if isinstance(f.dataType, T.ArrayType):
+            return 8 * F.greatest(F.size(f"`{f.name}`"), F.lit(0))
+        return F.lit(8)
+    return sum((of(f) for f in df.schema.fields), F.lit(0)).cast("long")
 
 
 def global_row_number(df: DataFrame, order: list[str], out: str = "rn",
                       partitions: int | None = None) -> DataFrame:
-    """1-based row number over a total order (ties must be broken by ``order``).
+    """1-based row number over a total order (ties are in any order).
 
-    Range partitions hold about a million rows each, capped by
-    ``spark.sql.shuffle.partitions`` (one count sizes them).
+    Range partitions hold at most about a million rows and ``PARTITION_BYTES`` each, however many that makes (one
+    aggregate sizes them); rows with equal keys may lie in several.
     """
     spark = df.sparkSession
+    by = list(order)
     if partitions:
         n = partitions
     else:
-        df = cut_lineage(df)            # the count and the sort read the same rows once computed
-        cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = df.count()
-        n = max(1, min(cap, -(-rows // ROWS_PER_PARTITION)))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        # the aggregate, the bounds and the sort read the same rows once computed, so that the row's place can divide equal keys
+        df = cut_lineage(df).withColumn("_place", F.monotonically_increasing_id())
+        by.append("_place")
+        rows, size = df.agg(F.count("*"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+        n = max(1, -(-rows // ROWS_PER_PARTITION), -(-size // PARTITION_BYTES))
+    ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by).drop("_place")
     schema = T.StructType(ranged.schema.fields + [
         T.StructField("_pid", T.IntegerType(), False), T.StructField("_ln", T.LongType(), False)])
 
     def number(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
         seen = 0
         for b in batches:
-            b = b.copy()
-            b["_pid"] = pid
-            b["_ln"] = range(seen + 1, seen + 1 + len(b))
-            seen += len(b)
-            yield b
+            own = [pa.array([pid] * b.num_rows, pa.int32()), pa.array(range(seen + 1, seen + 1 + b.num_rows), pa.int64())]
+            seen += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[*b.schema.names, "_pid", "_ln"])
 
-    local = cut_lineage(ranged.mapInPandas(number, schema))
+    local = cut_lineage(ranged.mapInArrow(number, schema))
     counts = {r["_pid"]: r["_n"] for r in
               local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect()}
     offsets, acc = [], 0

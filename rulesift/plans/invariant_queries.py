@@ -102,7 +102,7 @@ def sort_ranks(spark, sf_dir):
     """The place of every row of round 1 in three sorts, by a distributed rank."""
     out = None
     for option in ("new", "confidence", "class"):
-        keyed = sort_keys(round1(spark, sf_dir), option).withColumn("_tk", text_key("text_to_annotate"))
+        keyed = sort_keys(round1(spark, sf_dir), option).select("sort_group", "sort_value", "uid", text_key("text_to_annotate").alias("_tk"), "doc_id")
         part = global_row_number(keyed, ["sort_group", "sort_value", "uid", "_tk", "doc_id"], "rank").select(F.lit(option).alias("sorted_by"), "uid", "doc_id", "rank")
         out = part if out is None else out.unionByName(part)
     return out

@@ -84,6 +84,17 @@ def test_global_row_number_exact(spark):
     assert sorted((r["k"] + 1, r["rn"]) for r in out) == [(i, i) for i in range(1, 5001)]
 
 
+@pytest.mark.parametrize("keys", [3000, 1])
+def test_no_task_of_a_ranking_holds_much_text(spark, monkeypatch, keys):
+    from rulesift.operators import ranking
+    monkeypatch.setattr(ranking, "PARTITION_BYTES", 100_000, raising=False)
+    df = spark.range(3000).select((F.col("id") * 7919 % keys).alias("k"), F.repeat(F.lit("x"), 1000).alias("text"))
+    out = ranking.global_row_number(df, ["k"], "rn").withColumn("p", F.spark_partition_id())
+    assert max(r["count"] for r in out.groupBy("p").count().collect()) <= 400          # 30 partitions of 100 rows, sampled bounds
+    rows = out.select("k", "rn").collect()
+    assert [r["k"] for r in sorted(rows, key=lambda r: r["rn"])] == sorted(r["k"] for r in rows) and {r["rn"] for r in rows} == set(range(1, 3001))
+
+
 # --- ML invariants (section 5, layer 3) -------------------------------------------------------
 
 def _sizes(df):
