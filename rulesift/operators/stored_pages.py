@@ -25,7 +25,8 @@ def write_pages(df: DataFrame, option: str, path: str, change: str | None = None
     spark = df.sparkSession
     keyed = sort_keys(df, option, change, ascending).withColumn("_tk", text_key("text_to_annotate"))
     ranked = global_row_number(keyed, ["sort_group", "sort_value", "uid", "_tk"], "page_rank").drop("_tk")
-    (ranked.withColumn("part", F.floor((F.col("page_rank") - 1) / part_rows)).repartition("part").sortWithinPartitions("page_rank")
+    # tasks hold consecutive ranks already; a part that two of them share has two files
+    (ranked.withColumn("part", F.floor((F.col("page_rank") - 1) / part_rows)).sortWithinPartitions("part", "page_rank")
      .write.partitionBy("part").mode("overwrite").parquet(f"{path}/rows"))
     rows = spark.read.schema(ranked.schema).parquet(f"{path}/rows")
     n = rows.count()
