@@ -60,13 +60,15 @@ def plan_versions(rows: DataFrame, versions: DataFrame, since: str = "since") ->
 
 
 def ask_version(rows: DataFrame, versions: DataFrame, version: int, cache_path: str, model: str, annotator: Annotator,
-                text: str = "text_to_annotate", tasks: int | None = None) -> DataFrame:
+                text: str = "text_to_annotate", tasks: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """The rows' answers under one version; rows whose prompt no earlier version made are asked, the others come from the cache.
 
-    Adds ``dependency`` and the columns of ``respond_with_cache``. Rows of tasks without this version are left out.
+    Adds ``dependency`` and the columns of ``respond_with_cache``. Rows of tasks without this version are left out. ``keep``: the
+    columns of ``rows`` that are returned, all by default.
     """
     v = with_digests(versions.where(F.col("version") == version)).select(
         F.col("task_id").alias("_task"), F.col("template").alias("_template"), F.col("guideline").alias("_guideline"), F.col("rules").alias("_rules"), "dependency")
     prompt = render(F.col("_template"), guideline=F.col("_guideline"), rules=F.col("_rules"), text=F.col(text))
-    asked = rows.join(v, rows["task_id"] == v["_task"]).select(*rows.columns, "dependency", prompt.alias("prompt"))
-    return respond_with_cache(asked, cache_path, model, annotator, tasks=tasks).drop("prompt")
+    # one version has a row for each task; the texts stay where they are
+    asked = rows.join(F.broadcast(v), rows["task_id"] == v["_task"]).select(*rows.columns, "dependency", prompt.alias("prompt"))
+    return respond_with_cache(asked, cache_path, model, annotator, tasks=tasks, keep=[*(rows.columns if keep is None else keep), "dependency"])

@@ -145,7 +145,7 @@ def ask_versions(spark, sf_dir):
     path, out = shared_path(spark, "version_cache"), None
     versions, rows = _versions(spark, sf_dir).checkpoint(), _versioned_rows(spark, sf_dir)
     for v, *_ in _VERSIONS:
-        got = TP.ask_version(rows.where(F.col("since") <= v), versions, v, path, "annotator", C.offline_annotator())
+        got = TP.ask_version(rows.where(F.col("since") <= v), versions, v, path, "annotator", C.offline_annotator(), keep=["doc_id"])
         part = got.where("not cache_hit").select(F.lit(v).alias("version"), "prompt_key").distinct()
         out = part if out is None else out.unionByName(part)
     return out.groupBy("version").agg(F.count("*").alias("asked"))
