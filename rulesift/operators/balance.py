@@ -83,36 +83,37 @@ def balanced_clusters(rules: DataFrame, vec: str = "embedding", uid: str = "uid"
         pts = proj.transform(base).select(uid, vector_to_array("_proj").alias("x"))
     else:
         pts = base.select(uid, F.array(F.lit(0.0)).alias("x"))
-    cells = pts.select(uid, "x", F.lit(0).alias("base"), F.lit(parts).alias("parts"), F.lit(0).cast("bigint").alias("cell"))
-    cells = cut_lineage(cells)
+    # a row's place divides rows that are equal otherwise
+    cells = cut_lineage(pts.select(uid, "x", F.lit(0).alias("base"), F.lit(parts).alias("parts"), F.lit(0).cast("bigint").alias("cell"),
+                                   F.monotonically_increasing_id().alias("_i")))
 
     # Spark levels while some cell is larger than a leaf.
     while True:
-        sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.first("parts").alias("p"))
-        big = sizes.where((F.col("m") > leaf_rows) & (F.col("p") > 1))
-        if big.limit(1).count() == 0:
+        sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.first("parts").alias("parts"))
+        big = cut_lineage(sizes.where((F.col("m") > leaf_rows) & (F.col("parts") > 1)))  # fewer than n / leaf_rows rows
+        if big.isEmpty():
             break
-        d = len(cells.select("x").first()[0])
-        spans = cells.join(big.select("cell"), "cell").groupBy("cell").agg(
+        d = dims if proj is not None else 1
+        spans = cells.join(F.broadcast(big.select("cell")), "cell").groupBy("cell").agg(
             *[(F.max(F.col("x")[i]) - F.min(F.col("x")[i])).alias(f"s{i}") for i in range(d)])
         widest = F.array_position(F.array(*[F.col(f"s{i}") for i in range(d)]),
                                   F.array_max(F.array(*[F.col(f"s{i}") for i in range(d)]))) - 1
-        spans = spans.select("cell", widest.cast("int").alias("dim"))
-        todo = cells.join(big.select("cell", "m"), "cell").join(spans, "cell")
-        todo = todo.withColumn("proj", F.element_at("x", F.col("dim") + 1))
-        ranked = global_row_number(todo, ["cell", "proj", uid], "_g")
+        spans = cut_lineage(spans.select("cell", widest.cast("int").alias("dim")))
+        at = F.element_at("x", F.col("dim") + 1)
+        # only the keys are ranked; the first row of each right half is where its cell is cut
+        ranked = global_row_number(cells.join(F.broadcast(spans), "cell").select("cell", at.alias("proj"), uid, "_i"), ["cell", "proj", uid, "_i"], "_g")
         start = ranked.groupBy("cell").agg(F.min("_g").alias("_s"))
-        ranked = ranked.join(start, "cell").withColumn("_r", F.col("_g") - F.col("_s"))
         h = F.floor(F.col("parts") / 2)
         cut = F.floor((F.col("m") * h + h) / F.col("parts"))
-        left = F.col("_r") < cut
-        split = ranked.select(
+        cuts = cut_lineage(ranked.join(F.broadcast(start), "cell").join(F.broadcast(big), "cell").where(F.col("_g") - F.col("_s") == cut)
+                           .select("cell", F.struct("proj", uid, "_i").alias("_cut")).join(F.broadcast(spans), "cell"))
+        left = F.struct(at.alias("proj"), uid, "_i") < F.col("_cut")
+        whole = F.col("_cut").isNull()
+        cells = cut_lineage(cells.join(F.broadcast(cuts), "cell", "left").select(
             uid, "x",
-            F.when(left, F.col("base")).otherwise(F.col("base") + h).cast("int").alias("base"),
-            F.when(left, h).otherwise(F.col("parts") - h).cast("int").alias("parts"),
-            (F.col("cell") * 2 + F.when(left, 1).otherwise(2)).cast("bigint").alias("cell"))
-        rest = cells.join(big.select("cell"), "cell", "left_anti")
-        cells = cut_lineage(rest.select(uid, "x", "base", "parts", "cell").unionByName(split))
+            F.when(whole | left, F.col("base")).otherwise(F.col("base") + h).cast("int").alias("base"),
+            F.when(whole, F.col("parts")).when(left, h).otherwise(F.col("parts") - h).cast("int").alias("parts"),
+            F.when(whole, F.col("cell")).otherwise(F.col("cell") * 2 + F.when(left, 1).otherwise(2)).cast("bigint").alias("cell"), "_i"))
 
     out_schema = T.StructType([T.StructField(uid, T.StringType()), T.StructField("cluster_id", T.IntegerType())])
 
@@ -122,4 +123,4 @@ def balanced_clusters(rules: DataFrame, vec: str = "embedding", uid: str = "uid"
         ids = _bisect_leaf(coords, list(pdf[uid]), int(pdf["base"].iloc[0]), int(pdf["parts"].iloc[0]))
         return pd.DataFrame({uid: pdf[uid], "cluster_id": ids.astype("int32")})
 
-    return cells.groupBy("cell").applyInPandas(finish, out_schema)
+    return cells.drop("_i").groupBy("cell").applyInPandas(finish, out_schema)

@@ -25,7 +25,7 @@ from rulesift.operators.balance import balanced_clusters
 from rulesift.operators.cache import path_exists
 from rulesift.operators.nearest import nearest
 from rulesift.operators.rules import LARGE_LIMITS
-from rulesift.session import cut_lineage
+from rulesift.session import cut_lineage, shared_path
 
 CANDIDATES = 8
 SPLITS = 16          # parts in which a cluster's bidders are first reduced to its room
@@ -42,26 +42,30 @@ def bid(new: DataFrame, cells: DataFrame, size_max: int) -> tuple[DataFrame, Dat
     room = cut_lineage(cells.select("cluster_id", "centre", (F.lit(size_max) - F.col("size")).alias("room")).where("room > 0"))
     left = cut_lineage(new.select("uid", "embedding"))
     placed = left.select("uid", F.lit(0).cast("long").alias("cluster_id")).limit(0)
+    spark, folder, rounds = new.sparkSession, shared_path(new.sparkSession, "placed"), 0
+    of = lambda numbers: spark.read.schema(placed.schema).parquet(*(f"{folder}/{i}" for i in numbers))
     while not left.isEmpty() and not room.isEmpty():
         found = cut_lineage(nearest(left, room, "cluster_id", "centre", "embedding", k=CANDIDATES)
                             .select("uid", F.posexplode(F.arrays_zip("_labels", "_distances")).alias("place", "c"))
                             .select("uid", "place", F.col("c._labels").alias("cluster_id"), F.col("c._distances").alias("d")))
-        free = room.select("cluster_id", "room")
-        waiting = found
+        free, waiting, first = room.select("cluster_id", "room"), found, rounds
         while not waiting.isEmpty():
             # each rule bids for its first candidate that still has room
             open_bids = waiting.join(free.where("room > 0"), "cluster_id")
-            bids = cut_lineage(open_bids.groupBy("uid").agg(F.min(F.struct("place", "cluster_id", "d", "room")).alias("b")).select("uid", "b.cluster_id", "b.d", "b.room"))
-            if bids.isEmpty():
-                break
+            bids = open_bids.groupBy("uid").agg(F.min(F.struct("place", "cluster_id", "d", "room")).alias("b")).select("uid", "b.cluster_id", "b.d", "b.room")
             # a cluster's room is small: reduced in parts first, so that a cluster many bid for is in no single window
             part = W.partitionBy("cluster_id", F.pmod(F.xxhash64("uid"), F.lit(SPLITS))).orderBy("d", "uid")
             some = bids.withColumn("_k", F.row_number().over(part)).where("_k <= room").drop("_k")
-            taken = cut_lineage(some.withColumn("_k", F.row_number().over(W.partitionBy("cluster_id").orderBy("d", "uid"))).where("_k <= room").select("uid", "cluster_id"))
-            placed = cut_lineage(placed.unionByName(taken.withColumn("cluster_id", F.col("cluster_id").cast("long"))))
-            used = taken.groupBy("cluster_id").agg(F.count("*").alias("_n"))
-            free = cut_lineage(free.join(used, "cluster_id", "left").select("cluster_id", (F.col("room") - F.coalesce("_n", F.lit(0))).cast("int").alias("room")))
+            taken = some.withColumn("_k", F.row_number().over(W.partitionBy("cluster_id").orderBy("d", "uid"))).where("_k <= room")
+            taken.select("uid", F.col("cluster_id").cast("long").alias("cluster_id")).write.parquet(f"{folder}/{rounds}")
+            taken, rounds = of([rounds]), rounds + 1
+            if taken.isEmpty():  # nobody's candidates have room
+                break
+            # all rounds are read as one table, so that every round has the same plan
+            used = of(range(first, rounds)).groupBy("cluster_id").agg(F.count("*").alias("_n"))
+            free = room.select("cluster_id", "room").join(used, "cluster_id", "left").select("cluster_id", (F.col("room") - F.coalesce("_n", F.lit(0))).cast("int").alias("room"))
             waiting = cut_lineage(waiting.join(taken.select("uid"), "uid", "left_anti"))
+        placed = of(range(rounds)) if rounds else placed
         room = cut_lineage(room.drop("room").join(free.where("room > 0"), "cluster_id"))
         left = cut_lineage(left.join(placed.select("uid"), "uid", "left_anti"))
     return placed, left

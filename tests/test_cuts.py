@@ -39,3 +39,58 @@ def test_texts_of_rules_are_read_for_the_result_only(spark, tmp_path):
     assert "text_to_annotate" not in _plan(edge.select("uid", "edge_case_id", "low_level_rule"))
     rows = edge.select("uid", "text_to_annotate", "edge_case_id").collect()
     assert len(rows) == n and all(r.text_to_annotate == "long text" and r.edge_case_id is not None for r in rows)
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_levels_rank_keys_only_and_cut_like_a_leaf(spark, monkeypatch, twice):
+    rng = np.random.default_rng(3)
+    rows = [(f"u{i:04d}", [float(v) for v in rng.normal(size=6) * (1, 1, 3, 1, 2, 1)]) for i in range(400)]
+    if twice:
+        rows = [(u, rows[i // 8 * 8][1]) for i, (u, _) in enumerate(rows)]  # equal places: the uid decides
+    e = spark.createDataFrame(rows, "uid string, embedding array<double>").repartition(5)
+    ranked, whole = [], B.global_row_number
+    monkeypatch.setattr(B, "global_row_number", lambda df, *a: ranked.append(df.columns) or whole(df, *a))
+    got = {r.uid: r.cluster_id for r in B.balanced_clusters(e, leaf_rows=60).collect()}
+    assert ranked and all("x" not in c for c in ranked)
+    sizes = np.bincount(list(got.values()))
+    assert len(got) == 400 and len(sizes) == 400 // 15 + 1 and sizes.min() >= 14 and sizes.max() <= 15
+    assert got == {r.uid: r.cluster_id for r in B.balanced_clusters(e).collect()}
+
+
+def test_bids_are_those_of_the_rounds(spark):
+    """Against the rounds one by one, in fewer Spark jobs than five cuts a round took."""
+    rng = random.Random(5)
+    place = lambda: [rng.gauss(0, 1) for _ in range(3)]
+    cells = [(i, rng.choice([15, 17, 18, 19, 20]), place()) for i in range(30)]
+    new = [(f"n{i:03d}", place()) for i in range(90)]
+    room, left, want = {i: 20 - n for i, n, _ in cells if n < 20}, dict(new), {}
+    centre = {i: np.array(c) for i, _, c in cells}
+    rounds = 0
+    while left and room:
+        d = {u: sorted((((np.array(x) - centre[c]) ** 2).sum(), c) for c in room)[:S.CANDIDATES] for u, x in left.items()}
+        while True:
+            bids = {}
+            for u, near in d.items():
+                for dist, c in near:
+                    if u in left and room.get(c, 0) > 0:
+                        bids.setdefault(c, []).append((dist, u))
+                        break
+            rounds += 1
+            if not bids:
+                break
+            for c, b in bids.items():
+                for _, u in sorted(b)[:room[c]]:
+                    want[u] = c
+                    del left[u]
+                room[c] -= min(len(b), room[c])
+        room = {c: n for c, n in room.items() if n}
+    spark.sparkContext.setJobGroup("bids", "bids")
+    try:
+        placed, rest = S.bid(spark.createDataFrame(new, "uid string, embedding array<double>").repartition(3),
+                             spark.createDataFrame(cells, "cluster_id long, size long, centre array<double>"), 20)
+        got = {r.uid: r.cluster_id for r in placed.collect()}
+        assert {r.uid for r in rest.collect()} == set(left)
+        print("rounds", rounds, "jobs", len(spark.sparkContext.statusTracker().getJobIdsForGroup("bids")))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want
