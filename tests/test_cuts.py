@@ -94,3 +94,21 @@ def test_bids_are_those_of_the_rounds(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == want
+
+
+def test_texts_are_written_once_with_their_ids(spark, monkeypatch):
+    cuts, cut = [], J.cut_lineage
+    monkeypatch.setattr(J, "cut_lineage", lambda df: cuts.append(df.columns) or cut(df))
+    path = shared_path(spark, "registry")
+    ex = lambda *rows: spark.createDataFrame(list(rows), "task_id string, ordinal long, text_to_annotate string").repartition(3)
+    first, added = J.identify(ex(("t", 1, " a "), ("t", 0, "a"), ("t", 2, "b"), ("t", 3, None), ("t", 4, "  ")), "t", None, path)
+    assert sum("text_to_annotate" in c for c in cuts) == 1
+    ids = {r.text_to_annotate: r.uid for r in first.collect()}
+    assert set(ids) == {"a", "b"} and {(r.text_to_annotate, r.uid) for r in added.collect()} == set(ids.items())
+    known = spark.createDataFrame([("t", J.registry_of(spark, path, "t").rows().where("text_to_annotate = 'a'").first().text_key, "a", "0-own")],
+                                  "task_id string, text_key string, text_to_annotate string, uid string")
+    again, added = J.identify(ex(("t", 7, "c"), ("t", 8, "b"), ("t", 9, "a")), "t", known, path)
+    got = {r.text_to_annotate: (r.uid, r.is_new, r.ordinal) for r in again.collect()}
+    assert got["b"] == (ids["b"], False, 8) and got["a"] == (min(ids["a"], "0-own"), False, 9) and got["c"][1:] == (True, 7)
+    assert [r.text_to_annotate for r in added.collect()] == ["c"]
+    assert {r.uid for r in J.registry_of(spark, path, "t").rows().collect()} == {*ids.values(), got["c"][0]}
