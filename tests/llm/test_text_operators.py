@@ -406,3 +406,18 @@ def test_exact_passages_of_later_texts(spark):
     got = {(r.doc_id, r.earlier_id, r.start, r.end, r.earlier_start, r.earlier_end)
            for r in fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == {(4, 3, 40, 100, 20, 80), (5, 3, 0, 60, 20, 80), (7, 6, 50, 110, 62, 122)}
+
+
+def test_holders_of_a_phrase_are_not_paired(spark):
+    """A phrase that many texts hold leads to no rows; the two of them that share a changed passage around it are linked."""
+    from rulesift.llm import passage_chains as P
+    rng = random.Random(21)
+    noise = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    phrase, p = noise(5), noise(60)
+    other = [noise(1)[0] if k % 8 == 3 else w for k, w in enumerate(p)]
+    docs = [noise(40) + phrase + noise(40) for _ in range(120)] + [p[:30] + phrase + p[30:], noise(9) + other[:30] + phrase + other[30:]]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = P.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.earlier_id) for r in got} == {(121, 120)}
+    assert not hasattr(P, "_pairs")
+    assert P.outermost([(0, 60, 0, 60, 60), (5, 60, 5, 60, 55), (5, 70, 5, 70, 50)]) == [(0, 60, 0, 60, 60), (5, 70, 5, 70, 50)]
