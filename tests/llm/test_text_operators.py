@@ -421,3 +421,19 @@ def test_holders_of_a_phrase_are_not_paired(spark):
     assert {(r.doc_id, r.earlier_id) for r in got} == {(121, 120)}
     assert not hasattr(P, "_pairs")
     assert P.outermost([(0, 60, 0, 60, 60), (5, 60, 5, 60, 55), (5, 70, 5, 70, 50)]) == [(0, 60, 0, 60, 60), (5, 70, 5, 70, 50)]
+
+
+def test_changed_passages_of_connected_texts(spark):
+    """Later texts that another passage connects already: a changed passage of which earlier texts hold parts has its row too."""
+    from rulesift.llm.passage_chains import fuzzy_passages
+    rng = random.Random(25)
+    noise = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    p, shared = noise(70), noise(60)
+    other = [noise(1)[0] if k % 8 == 5 else w for k, w in enumerate(p)]
+    docs = [noise(20) + shared + noise(20), noise(30) + p[:37] + noise(20), noise(10) + p[33:] + noise(40),
+            noise(90) + p + noise(150) + shared, shared + noise(160) + other + noise(80)]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = {(r.doc_id, r.earlier_id, r.start, r.end, r.earlier_start, r.earlier_end)
+           for r in fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {(3, 0, 310, 370, 20, 80), (4, 0, 0, 60, 20, 80), (4, 3, 220, 289, 90, 159)} <= got
+    assert {(d, e) for d, e, *_ in got} == {(3, 0), (4, 0), (4, 3)}
