@@ -437,3 +437,26 @@ def test_changed_passages_of_connected_texts(spark):
            for r in fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert {(3, 0, 310, 370, 20, 80), (4, 0, 0, 60, 20, 80), (4, 3, 220, 289, 90, 159)} <= got
     assert {(d, e) for d, e, *_ in got} == {(3, 0), (4, 0), (4, 3)}
+
+
+def test_a_phrase_alone_does_not_make_a_candidate():
+    """23 words beside a seed that any holder may have: of the others in 50 words, ten must be shared (over 37 words, none)."""
+    import numpy as np
+    from rulesift.llm import passage_chains as P
+    near = P.Neighbours(None, None, 50, 75)
+    given = (near.offsets < -12) | (near.offsets >= P.SEED_WORDS + 11)
+    inside = np.ones((1, len(given)), bool)
+    assert (~given).sum() == 23 and near.needed(given[None], inside).tolist() == [10]
+    # a text that ends there has no stretch of 50 words, and no partner either
+    assert near.needed(np.zeros_like(inside), ~given[None]).tolist() == [10]
+
+
+def test_extensions_that_can_gain_nothing_more_are_left():
+    import numpy as np
+    from rulesift.llm.passage_chains import extend
+    rng = np.random.default_rng(5)
+    b, a = rng.integers(0, 1 << 30, (2, 40, 79))
+    a[0, :60] = b[0, :60]
+    a[1, 1:50] = b[1, :49]
+    a[2, 40:] = b[2, 40:]
+    assert [tuple(int(v[i]) for v in extend(b, a, 1)) for i in range(4)] == [(60, 60, 60), (49, 50, 49), (0, 0, 0), (0, 0, 0)]
