@@ -460,3 +460,15 @@ def test_extensions_that_can_gain_nothing_more_are_left():
     a[1, 1:50] = b[1, :49]
     a[2, 40:] = b[2, 40:]
     assert [tuple(int(v[i]) for v in extend(b, a, 1)) for i in range(4)] == [(60, 60, 60), (49, 50, 49), (0, 0, 0), (0, 0, 0)]
+
+
+def test_steps_of_the_longest_common_subsequence():
+    import numpy as np
+    from rulesift.llm.passage_chains import common_steps, common_words
+    rng = np.random.default_rng(8)
+    for width in (1, 64, 150):
+        x, y = rng.integers(0, 12, (30, 90)), rng.integers(0, 12, (30, width))
+        got = common_steps(x, y)
+        for r in range(30):
+            assert got[0][r].tolist() == np.diff([common_words(x[r, :i], y[r]) for i in range(91)]).astype(bool).tolist()
+            assert got[1][r].tolist() == np.diff([common_words(x[r], y[r, :j]) for j in range(width + 1)]).astype(bool).tolist()
